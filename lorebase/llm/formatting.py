@@ -50,7 +50,8 @@ def canonical_content(c: Column) -> Column:
     )
     # only a text that is items throughout is cut into items
     items = F.filter(F.split(c, r"[;\r\n]+"), lambda x: F.trim(x) != "")
-    named = c.rlike(r"^[\s;]*[^=;\r\n]*\w[^=;\r\n]*=[^;\r\n]*([;\r\n]+\s*([^=;\r\n]*\w[^=;\r\n]*=[^;\r\n]*)?)+$")
+    # each class excludes what follows it, so that the match takes one pass
+    named = F.forall(items, lambda x: x.rlike(r"^[^=\w]*\w[^=]*="))
     as_items = F.array_join(
         F.array_sort(
             F.transform(
@@ -62,7 +63,7 @@ def canonical_content(c: Column) -> Column:
     return (
         F.when(c.isNull() | c.rlike(_BLANK), F.lit(None).cast("string"))
         .when(as_json.isNotNull(), F.concat(F.lit("j:"), as_json))
-        .when(named & (F.size(items) >= 2), F.concat(F.lit("i:"), as_items))
+        .when(F.when(c.contains("="), (F.size(items) >= 2) & named).otherwise(False), F.concat(F.lit("i:"), as_items))
         .otherwise(F.concat(F.lit("t:"), words(c)))
     )
 

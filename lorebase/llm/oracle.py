@@ -55,4 +55,5 @@ ORACLE = {
       AND o.lv <= k.lv AND o.sure >= k.sure AND o.recent >= k.recent AND (o.lv < k.lv OR o.sure > k.sure OR o.recent > k.recent)) THEN (lv, sure, recent) END) n_undominated FROM keyed k GROUP BY ALL""",
     "p5_found": f"{_GROUPS} SELECT group_id, mem_id FROM grp WHERE group_id <> mem_id",
     "p5_sizes": f"{_GROUPS} SELECT group_id, count(*) n_members FROM grp GROUP BY ALL",
+    "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.llm import components, formatting, survivors
+from lorebase.llm import components, formatting, mixing, residue, survivors, tokens
 from lorebase.llm.oracle import ORACLE  # noqa: F401
 from lorebase.sources.tables import table
 
@@ -46,4 +46,48 @@ def p5_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return _p5(spark, folder).groupBy("group_id").agg(F.count("*").alias("n_members"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records, p3_found, p3_survivors, p3_fronts, p5_found, p5_sizes)}
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents")
+
+
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.encode(_documents(spark, folder))
+
+
+def p7_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.encode_with_spans(_documents(spark, folder))
+
+
+def p7_decoded(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.decode(tokens.encode(_documents(spark, folder)))
+
+
+def p7_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.round_trip(_documents(spark, folder))
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(spark, _documents(spark, folder), table(spark, folder, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(spark, _documents(spark, folder), table(spark, folder, "mix_targets"))[1]
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.found(_documents(spark, folder))
+
+
+def p9_kept(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.kept(_documents(spark, folder)).select("doc_id", "source", "lang", "text")
+
+
+def p9_report(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.report(_documents(spark, folder))
+
+
+_ALL = (
+    p2_found, p2_records, p3_found, p3_survivors, p3_fronts, p5_found, p5_sizes, p7_ids, p7_spans, p7_decoded, p7_round_trip,
+    p8_mix, p8_shares, p9_found, p9_kept, p9_report,
+)
+QUERIES = {f.__name__: f for f in _ALL}

@@ -55,7 +55,7 @@ ERROR_PHRASES = (
 #: Of the phrases above, those that say nothing by themselves: they add to the coverage of a segment that has another.
 WEAK = frozenset(
     "error http seconds minutes hours status title gone sorry oops digest reference ray incident traceback err retries fehler vorgang 오류 forbidden unauthorized".split()
-) | {"has expired", "access to", "was denied", "try again in", "come back in", "the server at", "certificate for", "connection closed", "on our side", "not found", "backend=none"}
+) | {"has expired", "access to", "was denied", "try again in", "come back in", "the server at", "certificate for", "connection closed", "on our side", "not found", "backend=none", "back to start page"}
 
 # fixed values: notices that scripts are required
 SCRIPT_PHRASES = (
@@ -101,19 +101,26 @@ _FIELD = (
     r"address|phone|city|subject|topic|url|link|content|text|body|message|step|steps|names?|number|amount|product|repo|repository|날짜|제목|이름|내용|요약|담당자|titel|datum|fecha|título|nombre|日付|名前|題名)"
 )
 _NAME = rf"(?:{_FIELD}(?:[ _-]?{_FIELD})*|(?:{_FIELD}[ _-]?)+)"
+_ANY = f"(?i:{_NAME})"
 _SLOTS = (
     r"\{\{[^{}\n]{1,60}\}\}", r"\{%[^{}\n]{1,60}%\}", r"<%[^<>\n]{1,60}%>", r"\$\{[^{}\n]{1,40}\}",
-    rf"(?<![\w$])\${_NAME}\$(?!\w)", r"\{[a-z][\w ]{0,24}\}", r"\{\d{1,2}\}", r"%\([A-Za-z_]\w*\)[sdf]", r"##[A-Z][A-Z0-9_ ]{1,30}##", r"@@[A-Za-z]\w{0,30}@@", r"%%[A-Za-z]\w{1,30}%%",
-    r"(?<!\w)__[A-Z][A-Z0-9_]{1,30}__(?!\w)", rf"\(\( {_NAME} \)\)", rf"\[\[ ?{_NAME} ?\]\]", rf"«{_NAME}»",
+    rf"(?<![\w$])\${_ANY}\$(?!\w)", r"\{[a-z][\w ]{0,24}\}", r"\{\d{1,2}\}", r"%\([A-Za-z_]\w*\)[sdf]", r"##[A-Z][A-Z0-9_ ]{1,30}##", r"@@[A-Za-z]\w{0,30}@@", r"%%[A-Za-z]\w{1,30}%%",
+    r"(?<!\w)__[A-Z][A-Z0-9_]{1,30}__(?!\w)", rf"\(\( {_ANY} \)\)", rf"\[\[ ?{_ANY} ?\]\]", rf"«{_ANY}»",
     r"\[(?i:insert|enter|add|type|choose|select|your)\b[^\[\]\n]{1,50}\]", r"\[[^\[\]\n]{1,50}\b(?i:goes here|here|einfügen|eingeben|einsetzen|aquí|insertar)\]", r"\[[^\[\]\n]{1,40}(?:입력|を入力|をここに)\]",
-    rf"\[(?-i:{_NAME.upper()})\]", rf"(?<![\w>])<(?:{_NAME.upper()})>(?!\w)", r"<(?i:your|insert|enter)\b[^<>\n]{1,50}>", rf"<!-- ?{_NAME} ?-->",
+    rf"\[{_NAME.upper()}\]", rf"(?<![\w>])<(?:{_NAME.upper()})>(?!\w)", r"<(?i:your|insert|enter)\b[^<>\n]{1,50}>", rf"<!-- ?{_ANY} ?-->",
     r"(?<!\w)_{5,}(?!\w)", r"\[object Object\]", r"\bTODO:? (?i:fill in|add|insert|write)\b", r"(?<![\w/%-])YYYY-MM-DD(?![\w/-])", r"(?<![\w.'\"-])undefined(?![\w.'\"(-])",
 )
 SLOT = re.compile("|".join(f"(?:{s})" for s in _SLOTS))
 # an upper-case pattern has no Hangul or Kana left to change, so one text serves both cases
 
-#: What a slot can start with, and what else makes a text worth a second look.
-WATCH = ("{", "<%", "$", "%(", "##", "@@", "%%", "__", "(( ", "[[", "«", " here]", "[insert", "[enter", "[add", "[your", "einfügen]", "eingeben]", "입력]", "を入力]", "[object", "<your", "<insert", "<!--", "todo", "yyyy", "undefined", "lorem", "ipsum", "amet", "asdf", "qwer", "blah", "foo ", "xxx", *(f"[{w}" for w in "abcdefghijklmnopqrstuvwxyz"), *(f"<{w}" for w in "abcdefghijklmnopqrstuvwxyz"))
+#: What a text with a slot holds, in lower case, and the words of filler that real texts rarely have.
+SLOT_HINTS = (
+    "{{", "{%", "<%", "${", "%(", "##", "@@", "%%", "__", "(( ", "[[", "«", "here]", "[insert", "[enter", "[add", "[your", "einfügen]", "eingeben]", "einsetzen]", "insertar]", "aquí]", "입력]", "入力]",
+    "ここに]", "[object", "<your", "<insert", "<enter", "<!--", "todo", "yyyy-", "undefined",
+    *(f"{o}{w}" for o in "{$[<" for w in "project user first last full company customer client team file branch release ticket title owner author date time summary description next your name email id version key value address phone city subject topic url link content text body message step number amount product repo".split()),
+    *(f"{{{n}" for n in range(10)),
+)
+FILLER_HINTS = ("lorem", "ipsum", "amet", "asdf", "qwer", "blah", " foo ", " xxx ")
 
 _FENCE = re.compile(r"^[ \t>]*(```|~~~).*?(?:^[ \t>]*\1[^\n]*$|\Z)", re.S | re.M)
 _INLINE = re.compile(r"(`+)(?!`)[^\n]+?(?<!`)\1(?!`)")
@@ -127,11 +134,15 @@ COVER = 0.65
 
 @lru_cache(maxsize=1)
 def watcher() -> ahocorasick.Automaton:
-    """The automaton of the first pass: openers, words and strong phrases."""
+    """The automaton of the first pass. A hit tells whether it hints at a slot."""
     a = ahocorasick.Automaton()
-    strong = [p for p in ERROR_PHRASES if p not in WEAK] + [p for p in SCRIPT_PHRASES if p not in WEAK_SCRIPT] + list(FILLER_PHRASES)
-    for p in (*WATCH, *strong):
-        a.add_word(p, len(p))
+    # short words that real texts are full of wait for the second pass
+    common = {p for p in WEAK if p.isascii() and " " not in p and "=" not in p and p not in ("gone", "forbidden", "unauthorized")}
+    for p in (*ERROR_PHRASES, *SCRIPT_PHRASES, *FILLER_PHRASES, *FILLER_HINTS):
+        if p not in common and p not in ("error", "http", "오류"):
+            a.add_word(p, False)
+    for p in SLOT_HINTS:
+        a.add_word(p, True)
     a.make_automaton()
     return a
 
@@ -161,7 +172,7 @@ def _cover(segment: str, kind: str) -> tuple[float, bool, int]:
     Phrases stand at word boundaries, where the script has them. Numbers, addresses and codes are the variable parts of a notice and count neither way.
     """
     marked = bytearray(len(segment))
-    strong = False
+    strong, weak = False, set()
     for end, (n, is_strong) in phrases(kind).iter(segment):
         start = end - n + 1
         before, after = segment[start - 1 : start], segment[end + 1 : end + 2]
@@ -169,6 +180,7 @@ def _cover(segment: str, kind: str) -> tuple[float, bool, int]:
             continue
         marked[start : end + 1] = b"\x01" * n
         strong |= is_strong
+        weak.add(n)
     if not any(marked):
         return 0.0, False, 0
     letters = covered = 0
@@ -183,7 +195,9 @@ def _cover(segment: str, kind: str) -> tuple[float, bool, int]:
                 letters += covered_noise
                 covered += covered_noise
             at = m.end()
-    return covered / max(1, letters), strong, covered
+    share = covered / max(1, letters)
+    # two that say nothing by themselves say it together, where there is little else
+    return share, strong or (len(weak) > 1 and share >= 0.8 and covered >= 12), covered
 
 
 def _made_of(segment: str, vocabulary: frozenset, least: int) -> bool:
@@ -198,38 +212,47 @@ def kinds_of(text: str | None) -> tuple[list[str], float]:
     """The kinds of residue in a text, and the share of its characters in residue segments (a slot counts its own)."""
     if not text or not text.strip():
         return [], 0.0
-    lower = text.lower()
-    if next(watcher().iter(lower), None) is None:
+    hints = {is_slot for _, is_slot in watcher().iter(text.lower())}
+    if not hints:
         return [], 0.0
     plain = blank_code(text)
     found, covered = [], 0
-    slots = [m.span() for m in SLOT.finditer(plain)]
-    if slots:
-        found.append("slot")
-        covered += sum(b - a for a, b in slots)
-    for line in plain.split("\n"):
-        low = line.strip().lower().replace("’", "'")
-        if not low:
-            continue
-        kind = None
-        pieces = [low] if len(low) < 400 else []
-        pieces += [s for s in _SENTENCE.split(low) if s and s != low]
-        for piece in pieces:
-            kind = _piece_kind(piece)
-            if kind:
-                covered += len(piece)
+    if True in hints:
+        slots = [m.span() for m in SLOT.finditer(plain)]
+        if slots:
+            found.append("slot")
+            covered += sum(b - a for a, b in slots)
+    if False in hints:
+        # the lines that hold a hit; lower case may change the length of a text, so they are cut from the lowered one
+        low = plain.lower().replace("’", "'")
+        done = 0
+        for end, is_slot in watcher().iter(low):
+            if is_slot or end < done:
+                continue
+            start, done = low.rfind("\n", 0, end) + 1, low.find("\n", end)
+            done = len(low) if done < 0 else done
+            for kind, n in _line_kinds(low[start:done].strip()):
+                covered += n
                 if kind not in found:
                     found.append(kind)
-                if piece is low:
-                    break
     return found, min(1.0, covered / len(text))
 
 
+def _line_kinds(line: str) -> Iterator[tuple[str, int]]:
+    """Kind and length of each segment of residue: the line as a whole, else its sentences."""
+    if len(line) < 400 and (kind := _piece_kind(line)):
+        yield kind, len(line)
+        return
+    for piece in _SENTENCE.split(line):
+        if piece and piece != line and (kind := _piece_kind(piece)):
+            yield kind, len(piece)
+    if len(line) >= 400 and (kind := _piece_kind(line)):
+        yield kind, len(line)
+
+
 def _piece_kind(piece: str) -> str | None:
     if _made_of(piece, LATIN_WORDS, 4) or _made_of(piece, MASH_WORDS, 5):
         return "filler"
-    if next(watcher().iter(piece), None) is None and not _STATUS.match(piece):
-        return None
     if "<" in piece:
         piece = _TAG.sub(" ", piece).strip()
     share, strong, n = _cover(piece, "filler")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.llm import components, formatting, mixing, residue, survivors, tokens
+from lorebase.llm import components, formatting, mixing, pii, residue, survivors, tokens
 from lorebase.llm.oracle import ORACLE  # noqa: F401
 from lorebase.sources.tables import table
 
@@ -34,6 +34,19 @@ def p3_fronts(spark: SparkSession, folder: str) -> DataFrame:
     return survivors.front_sizes(*_p3(spark, folder))
 
 
+def _p4(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.texts(table(spark, folder, "memories"), table(spark, folder, "sessions"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.found(_p4(spark, folder))
+
+
+def p4_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    secret = spark.conf.get("spark.lorebase.pii.secret", "not secret: set spark.lorebase.pii.secret")
+    return pii.redacted(_p4(spark, folder), secret)
+
+
 def _p5(spark: SparkSession, folder: str) -> DataFrame:
     return components.groups(spark, table(spark, folder, "match_pairs"), table(spark, folder, "proposals"))
 
@@ -87,7 +100,7 @@ def p9_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _ALL = (
-    p2_found, p2_records, p3_found, p3_survivors, p3_fronts, p5_found, p5_sizes, p7_ids, p7_spans, p7_decoded, p7_round_trip,
+    p2_found, p2_records, p3_found, p3_survivors, p3_fronts, p4_found, p4_redacted, p5_found, p5_sizes, p7_ids, p7_spans, p7_decoded, p7_round_trip,
     p8_mix, p8_shares, p9_found, p9_kept, p9_report,
 )
 QUERIES = {f.__name__: f for f in _ALL}

@@ -11,7 +11,7 @@ Running sums and ranks are cut by buckets (:func:`lorebase.session.spread_cumsum
 per-source totals (one row per target) come to the driver.
 
 Defined results: null, empty and blank sources and sources without a target are left out; null and empty texts have no tokens and are left out; a null or
-non-positive share takes no part; null repeats mean one; the last document of a source may run over its quota; repeated rows count each; empty
+non-positive share takes no part; null repeats mean one; a source ends with the document that comes nearest to its quota; repeated rows count each; empty
 tables give empty results.
 """
 
@@ -68,7 +68,7 @@ def plan_quotas(targets: list[tuple[str, float, int]], tokens: dict[str, int], s
 def sized(documents: DataFrame, folder: str = VOCABULARY_FOLDER, name: str = BYTE_BPE) -> DataFrame:
     """(doc_id, source, n_tokens) of documents that have a source and tokens."""
     rows = documents.withColumn("source", same_source("source")).filter("source is not null and text is not null and text <> ''")
-    return token_counts(rows, ["doc_id", "source"], folder, name).filter("n_tokens > 0")
+    return token_counts(rows, ["doc_id", "source"], folder, name)
 
 
 def mix(
@@ -99,7 +99,7 @@ def mix(
     ranked = copies.withColumn("key", key).withColumn(
         "bucket", F.col("repeat") * ORDER_BUCKETS + F.shiftright(F.col("key"), 56) + 128
     )
-    placed = spread_cumsum(ranked, ["source"], "bucket", ["key", "doc_id"], "n_tokens", "before").filter("before < quota")
+    placed = spread_cumsum(ranked, ["source"], "bucket", ["key", "doc_id"], "n_tokens", "before").filter("before + n_tokens / 2 <= quota")
     blocks = scratch.keep(
         placed.select("source", F.floor(F.col("before") / block_tokens).alias("block"), "before", "doc_id", "repeat", "n_tokens")
     )

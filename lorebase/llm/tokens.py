@@ -24,11 +24,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 VOCABULARY_FOLDER = "/opt/tokenizers"
 BYTE_BPE = "byte_bpe_50k.json"
 #: Distinct pieces a worker remembers; beyond it starts anew.
 REMEMBERED = 400_000
+#: Texts whose pieces are held at a time.
+SLICE = 256
 #: A piece longer than this is encoded but not remembered.
 LONG = 64
 
@@ -55,34 +58,30 @@ def _known(path: str) -> dict[str, list[int]]:
     return {}
 
 
-def _ids_of(texts: list[str | None], path: str) -> tuple[list[list[str]], dict, dict]:
-    """The pieces of each text, and where their ids are: known, or in extra for those too long to be remembered."""
-    known, extra = _known(path), {}
-    if len(known) > REMEMBERED:
-        known.clear()
-    cut = [_CUT.split(t) if t else [] for t in texts]
-    new = {p for pieces in cut for p in pieces} - known.keys()
-    if new:
-        new = list(new)
-        for p, e in zip(new, tokenizer(path).encode_batch_fast(new, add_special_tokens=False)):
-            (known if len(p) <= LONG else extra)[p] = e.ids
-    return cut, known, extra
+def _ids_of(texts: list[str | None], path: str) -> Iterator[list[list[int]]]:
+    """The ids of the pieces of each text, in order."""
+    known = _known(path)
+    for at in range(0, len(texts), SLICE):
+        if len(known) > REMEMBERED:
+            known.clear()
+        cut = [_CUT.split(t) if t else [] for t in texts[at : at + SLICE]]
+        new = list({p for pieces in cut for p in pieces} - known.keys())
+        extra: dict[str, list[int]] = {}
+        if new:
+            for p, e in zip(new, tokenizer(path).encode_batch_fast(new, add_special_tokens=False)):
+                (known if len(p) <= LONG else extra)[p] = e.ids
+        for pieces in cut:
+            yield [known.get(p) or extra[p] for p in pieces] if extra else [known[p] for p in pieces]
 
 
 def encode_batch(texts: list[str | None], path: str) -> list[list[int]]:
     """The ids of each text."""
-    cut, known, extra = _ids_of(texts, path)
-    if extra:
-        return [[i for p in pieces for i in (known.get(p) or extra[p])] for pieces in cut]
-    return [[i for p in pieces for i in known[p]] for pieces in cut]
+    return [[i for ids in pieces for i in ids] for pieces in _ids_of(texts, path)]
 
 
 def count_batch(texts: list[str | None], path: str) -> list[int]:
     """How many ids each text has."""
-    cut, known, extra = _ids_of(texts, path)
-    if extra:
-        return [sum(len(known.get(p) or extra[p]) for p in pieces) for pieces in cut]
-    return [sum(map(len, map(known.__getitem__, pieces))) for pieces in cut]
+    return [sum(map(len, pieces)) for pieces in _ids_of(texts, path)]
 
 
 def byte_table() -> dict[str, int]:
@@ -164,11 +163,14 @@ def token_counts(documents: DataFrame, columns: list[str], folder: str = VOCABUL
     """``columns`` of the documents, without the text, and n_tokens."""
     path = f"{folder}/{name}"
 
-    @F.pandas_udf("long")
-    def count(texts: pd.Series) -> pd.Series:
-        return pd.Series(count_batch(texts.tolist(), path), dtype="int64")
+    # a map and not a function of a column: that would run again in every filter on the count
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = pa.array(count_batch(b.column(b.num_columns - 1).to_pylist(), path), pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], n], [*columns, "n_tokens"])
 
-    return documents.select(*columns, count("text").alias("n_tokens"))
+    rows = documents.select(*columns, F.col("text"))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField("n_tokens", LongType())]))
 
 
 def round_trip(documents: DataFrame, folder: str = VOCABULARY_FOLDER, name: str = BYTE_BPE) -> DataFrame:

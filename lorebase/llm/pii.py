@@ -26,7 +26,14 @@ KINDS = ("email", "id_number", "address", "phone", "name")
 ROUNDS = 10
 
 # one character for one, so that places stay the same
-_PLAIN = {ord("０") + n: ord("0") + n for n in range(10)} | {ord(a): ord(b) for a, b in zip("＠（）－＋．／：　‐‑‒–−   ", "@()-+./: ----- " + "  ")}
+_WIDE = "\uff20\uff08\uff09\uff0d\uff0b\uff0e\uff0f\uff1a"  # full-width @ ( ) - + . / :
+_DASHES, _BLANKS = "\u2010\u2011\u2012\u2013\u2212", "\u00a0\u2009\u202f\u3000"
+_PLAIN = (
+    {ord("\uff10") + n: ord("0") + n for n in range(10)}
+    | {ord(c): ord(c) - 0xFEE0 for c in _WIDE}
+    | {ord(c): ord("-") for c in _DASHES}
+    | {ord(c): ord(" ") for c in _BLANKS}
+)
 
 # ---- emails
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lorebase.plans import hygiene
+from lorebase.plans import hygiene, relational
 
-MODULES = (hygiene,)
+MODULES = (hygiene, relational)
 FLAGSHIP = "p1_found"
 
 

@@ -14,16 +14,11 @@ def canonical_id(c: Column | str) -> Column:
     """
     c = F.col(c) if isinstance(c, str) else c
     plain = F.lower(F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
-    hexes = F.regexp_replace(F.regexp_replace(plain, r"^\{?(urn:uuid:)?\{?", ""), r"[-}]", "")
-    dashed = F.concat_ws(
-        "-",
-        *(F.substring(hexes, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))),
-    )
+    hexes = F.regexp_replace(plain, r"^\{?(urn:uuid:)?\{?|[-}]", "")
     return (
-        F.when(F.length(plain) == 0, F.lit(None).cast("string"))
-        .when(plain.rlike(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"), plain)
-        .when(hexes.rlike("^[0-9a-f]{32}$"), dashed)
-        .otherwise(plain)
+        F.when(c.rlike(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"), c)
+        .when(hexes.rlike("^[0-9a-f]{32}$"), F.regexp_replace(hexes, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
+        .otherwise(F.nullif(plain, F.lit("")))
     )
 
 

@@ -57,23 +57,27 @@ def neighbours(live: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame
 def history(spark: SparkSession, m: DataFrame, seeds: DataFrame, most: int = HISTORY_DEPTH) -> DataFrame:
     """(seed, id, depth): versions before (negative depth, along supersedes) and after (positive, all that supersede it) each seed, and itself.
 
-    One join a step in each direction until nothing is new; ``most`` steps each way, which also ends cycles.
+    Pointers of 1, 2, 4, ... steps are made by joining each with itself; every depth is a sum of such steps, so a logarithm of joins reaches them all.
+    ``most`` steps each way, which also ends cycles. An id reached both ways has the shorter, on a tie the earlier one.
     """
     scratch = Scratch(spark, "history")
-    link = scratch.keep(m.filter("supersedes is not null").select("id", "supersedes"))
-    known = m.select("id")
+    known = m.select(F.col("id").alias("supersedes"))
+    jump = scratch.keep(m.filter("supersedes is not null").join(known, "supersedes", "left_semi").select("id", F.col("supersedes").alias("far")))
     start = scratch.keep(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth")))
-    parts = [start]
-    older = link.join(known.withColumnRenamed("id", "supersedes"), "supersedes", "left_semi")
-    for step, frm, to in ((-1, "id", "supersedes"), (1, "supersedes", "id")):
-        pairs = (older if step < 0 else link).select(F.col(frm).alias("id"), F.col(to).alias("next"))
-        at = start
-        for n in range(1, most + 1):
-            at = scratch.keep(at.select("seed", "id").distinct().join(pairs, "id").select("seed", F.col("next").alias("id"), F.lit(step * n).alias("depth")))
-            if is_empty(at):
-                break
-            parts.append(at)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("seed", "id").agg(F.min_by("depth", F.abs("depth")).alias("depth"))
+    older = newer = start
+    step = 1
+    while True:
+        back = jump.select("id", F.col("far").alias("next"))
+        forth = jump.select(F.col("far").alias("id"), F.col("id").alias("next"))
+        older = older.unionByName(older.join(back, "id").select("seed", F.col("next").alias("id"), (F.col("depth") - step).alias("depth")))
+        newer = newer.unionByName(newer.join(forth, "id").select("seed", F.col("next").alias("id"), (F.col("depth") + step).alias("depth")))
+        older, newer = scratch.keep(older), scratch.keep(newer)
+        step *= 2
+        if step > most:
+            break
+        on = jump.select(F.col("id").alias("far"), F.col("far").alias("further"))
+        jump = scratch.keep(jump.join(on, "far").select("id", F.col("further").alias("far")))
+        if is_empty(jump):
+            break
+    both = older.unionByName(newer).filter(F.abs("depth") <= most)
+    return both.groupBy("seed", "id").agg(F.min_by("depth", F.struct(F.abs("depth").alias("a"), "depth")).alias("depth"))

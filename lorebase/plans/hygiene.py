@@ -58,7 +58,7 @@ _PARENTS = f"""parents AS (SELECT id, min(loaded_at) first_loaded, arg_max(st, k
 _REFS = "refs AS (" + " UNION ALL ".join(
     f"SELECT '{t}' src_table, line_no, '{f}' ref_field, {cid(f)} target, loaded_at FROM {t}" for t, f in orphans.REFERENCES
 ) + ")"
-_JUDGED = f"""WITH {_PARENTS}, {_REFS}, judged AS (SELECT r.*, CASE WHEN p.id IS NULL THEN 'absent' WHEN p.st = 'deleted' THEN 'deleted'
+JUDGED = f"""WITH {_PARENTS}, {_REFS}, judged AS (SELECT r.*, CASE WHEN p.id IS NULL THEN 'absent' WHEN p.st = 'deleted' THEN 'deleted'
   WHEN p.first_loaded > r.loaded_at THEN 'late' ELSE 'ok' END standing FROM refs r LEFT JOIN parents p ON r.target = p.id WHERE r.target IS NOT NULL)"""
 _LINKS = f"""nodes AS (SELECT id, arg_max(coalesce(p, ''), k) p FROM (
   SELECT {cid('id')} id, {cid('supersedes')} p, (epoch_us(updated_at)::HUGEINT * 1000000000 + line_no) k FROM memories) GROUP BY id),
@@ -71,8 +71,8 @@ found AS (SELECT id, CASE WHEN cyc THEN list_min(list_slice(seen, list_position(
   CASE WHEN cyc THEN -1 ELSE d END::BIGINT depth, path, cyc FROM fin)"""
 
 ORACLE = {
-    "p1_found": f"{_JUDGED} SELECT src_table, line_no, ref_field FROM judged WHERE standing <> 'ok'",
-    "p1_by_period": f"{_JUDGED} SELECT src_table, ref_field, strftime(date_trunc('month', loaded_at), '%Y-%m-%d') period, standing, count(*) n_orphans FROM judged WHERE standing <> 'ok' GROUP BY ALL",
+    "p1_found": f"{JUDGED} SELECT src_table, line_no, ref_field FROM judged WHERE standing <> 'ok'",
+    "p1_by_period": f"{JUDGED} SELECT src_table, ref_field, strftime(date_trunc('month', loaded_at), '%Y-%m-%d') period, standing, count(*) n_orphans FROM judged WHERE standing <> 'ok' GROUP BY ALL",
     "p6_found": f"WITH RECURSIVE {_LINKS} SELECT id mem_id, root root_id, depth FROM found",
     "p6_descendants": f"WITH RECURSIVE {_LINKS} SELECT unnest(path) ancestor, id descendant, unnest(range(1, len(path) + 1)) distance FROM found WHERE NOT cyc",
 }

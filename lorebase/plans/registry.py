@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lorebase.plans import hygiene, relational
+from lorebase.plans import hygiene, relational, retrieval, scalars
 
-MODULES = (hygiene, relational)
-FLAGSHIP = "p1_found"
+MODULES = (hygiene, relational, scalars, retrieval)
+FLAGSHIP = "search_hybrid"
 
 
 def queries() -> dict:

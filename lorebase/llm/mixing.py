@@ -17,6 +17,7 @@ tables give empty results.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,8 +28,8 @@ from lorebase.session import Scratch, spread_cumsum
 
 GOLDEN = 0.6180339887498949
 BLOCK_TOKENS = 8192
-#: Buckets of a source's shuffled order, and slots in a bucket of the schedule.
-ORDER_BUCKETS = 256
+#: Documents in a bucket of a source's shuffled order (about), and slots in a bucket of the schedule.
+ORDER_BUCKET = 1 << 14
 SLOT_BUCKET = 1 << 14
 #: A golden-ratio sequence gives each source its number of slots but for a few; so many more are made for the rarest.
 SPARE_SLOTS = 32
@@ -88,7 +89,10 @@ def mix(
     goals = goals.groupBy("source").agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("most"))
     wanted = [(r.source, r.share, r.most) for r in goals.collect()]
     docs = scratch.keep(sized(documents, folder).filter(F.col("source").isin([s for s, _, _ in wanted])))
-    tokens = {r.source: r.n for r in docs.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    totals = docs.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("k")).collect()
+    tokens = {r.source: r.n for r in totals}
+    # a bucket is the first bits of the key: as many as cut the largest source into buckets of about ORDER_BUCKET documents
+    bits = max(1, math.ceil(math.log2(max((r.k for r in totals), default=1) / ORDER_BUCKET + 1)))
     size, quotas = plan_quotas(wanted, tokens, size)
     rows = [(q.source, q.quota, -(-q.quota // q.tokens)) for q in quotas]
     quota = spark.createDataFrame(rows, "source string, quota long, rounds int")
@@ -97,7 +101,7 @@ def mix(
     copies = docs.join(F.broadcast(quota), "source").withColumn("repeat", F.explode(F.sequence(F.lit(1), "rounds")))
     key = F.xxhash64("doc_id", "repeat", F.lit(seed))
     ranked = copies.withColumn("key", key).withColumn(
-        "bucket", F.col("repeat") * ORDER_BUCKETS + F.shiftright(F.col("key"), 56) + 128
+        "bucket", F.col("repeat") * (1 << bits) + F.shiftright(F.col("key"), 64 - bits) + (1 << (bits - 1))
     )
     placed = spread_cumsum(ranked, ["source"], "bucket", ["key", "doc_id"], "n_tokens", "before").filter("before + n_tokens / 2 <= quota")
     blocks = scratch.keep(

@@ -129,6 +129,7 @@ _NOISE = re.compile(r"https?://\S+|\b[\w-]+(?:\.[\w-]+)+\b|/\S*|\b(?=\w*\d)\w+\b
 _TAG = re.compile(r"</?[a-zA-Z][^<>\n]*>")
 _JSON_ERROR = re.compile(r'^\s*\{\s*"(?:error|errors|status|code|message)"\s*:.*\}\s*$')
 _STATUS = re.compile(r"^\W*(?:http(?:/\d(?:\.\d)?)?[ :]*)?(?:error[ :]*)?[45]\d\d\b", re.I)
+_HTML_STATUS = re.compile(r"<(?:title|h1)>\s*(?:error\s*)?[45]\d\d\b[^<]{0,60}</", re.I)
 COVER = 0.65
 
 
@@ -254,6 +255,8 @@ def _piece_kind(piece: str) -> str | None:
     if _made_of(piece, LATIN_WORDS, 4) or _made_of(piece, MASH_WORDS, 5):
         return "filler"
     if "<" in piece:
+        if _HTML_STATUS.search(piece) and _cover(_TAG.sub(" ", piece), "error_page")[2] >= 4:
+            return "error_page"
         piece = _TAG.sub(" ", piece).strip()
     share, strong, n = _cover(piece, "filler")
     if strong and share >= 0.9:

@@ -155,6 +155,7 @@ RESIDUE = [
     ("Sample text. Sample text. Sample text.", ["filler"]), ("Lorem ipsum dolor sit amet elit porta felis.", ["filler"]), ("asdf qwer foo bar blah xxx baz", ["filler"]),
     ("여기에 내용을 입력하세요.", ["filler"]),
     ("502 Bad Gateway\n\nedgeproxy/3.1", ["error_page"]), ("HTTP 410: GONE. Try again in 9 seconds.", ["error_page"]), ('{"error": {"code": 504, "message": "gateway timeout", "request_id": "ab12"}}', ["error_page"]),
+    ("<html><head><title>410 Gone</title></head><body><h1>Gone</h1><hr>edgeproxy</body></html>\nnode vel-21", ["error_page"]),
     ("Fehler 503: Die Seite ist zurzeit nicht erreichbar.", ["error_page"]), ("Certificate for docs.x.example has expired. Connection closed.", ["error_page"]),
     ("# Notes\nReal text about a queue.\nThis app needs JavaScript. Enable it and reload.\nMore real text.", ["script_notice"]),
     ("이 페이지를 보려면 자바스크립트를 켜야 합니다.", ["script_notice"]),

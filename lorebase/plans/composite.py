@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lorebase.functions import secrets
 from lorebase.operators import consolidate, extract, graph, records, search, vectorindex
 from lorebase.plans.book import Book
-from lorebase.plans.retrieval import DISTANCE, _asked, _docs
+from lorebase.plans.retrieval import DISTANCE, _asked_of, _docs_of, _store
 from lorebase.plans.sqlviews import AS_OF, EDGE, LIVE, MEM, PROP, REF, STALE, with_views
 from lorebase.sources import records as S
 from lorebase.sources.tables import table
@@ -183,7 +183,8 @@ def resume_cached(spark, folder):
 @book.query()
 def reader_context(spark, folder):
     """(query_id, id, place, used_bytes): the hits of each query that fit 20,000 bytes in order of rank."""
-    hits = search.hybrid(_asked(spark, folder), _docs(spark, folder), most=DISTANCE).join(S.memory(spark, folder).select("id", F.octet_length("content").alias("b")), "id")
+    store = _store(spark, folder)
+    hits = search.hybrid(_asked_of(store), _docs_of(store), most=DISTANCE).join(store.select("id", F.octet_length("content").alias("b")), "id")
     used = F.sum(F.coalesce("b", F.lit(0))).over(W.partitionBy("query_id").orderBy("place").rowsBetween(W.unboundedPreceding, 0))
     return hits.withColumn("used_bytes", used).filter("used_bytes <= 20000").select("query_id", "id", "place", "used_bytes")
 

@@ -20,14 +20,24 @@ book = Book()
 DISTANCE = 0.95
 
 
-def _docs(spark, folder):
-    return S.live(S.memory(spark, folder)).join(S.vectors(spark, folder), "line_no", "left")
+def _store(spark, folder):
+    """The newest versions with their vectors, computed once: every ranker, the fusion and the queries read them from files."""
+    m = S.memory(spark, folder).filter((F.col("status") == "active") | (F.col("line_no") % 50 == 0))
+    m = m.select("id", "line_no", "scope", "mem_type", "content", "created_at", "status", "expires_at")
+    return Scratch(spark, "store").keep(m.join(S.vectors(spark, folder), "line_no", "left"))
 
 
-def _asked(spark, folder):
+def _docs_of(store):
+    return S.live(store)
+
+
+def _asked_of(store):
     """Every record whose line number is divisible by 50 asks, with its whole text."""
-    m = S.memory(spark, folder).filter(F.col("line_no") % 50 == 0).join(S.vectors(spark, folder), "line_no", "left")
-    return m.select(F.col("id").alias("query_id"), F.col("content").alias("text"), "scope", "vec")
+    return store.filter(F.col("line_no") % 50 == 0).select(F.col("id").alias("query_id"), F.col("content").alias("text"), "scope", "vec")
+
+
+def _asked(spark, folder):
+    return _asked_of(_store(spark, folder))
 
 
 def _tok(x: str) -> str:
@@ -55,17 +65,20 @@ def _placed(limit: int) -> str:
 
 @book.query(with_views(MEM, LIVE, _SEARCH, _ranks(50)) + "SELECT query_id, id, lex, r::INT \"rank\" FROM lexr")
 def search_lexical(spark, folder):
-    return search.lexical(_asked(spark, folder), _docs(spark, folder), search.candidates_per_ranker(10))
+    store = _store(spark, folder)
+    return search.lexical(_asked_of(store), _docs_of(store), search.candidates_per_ranker(10))
 
 
 @book.query(with_views(MEM, LIVE, _SEARCH, _ranks(50)) + "SELECT query_id, id, dist, r::INT \"rank\" FROM vecr")
 def search_vector(spark, folder):
-    return search.vector(_asked(spark, folder), _docs(spark, folder), 50, DISTANCE)
+    store = _store(spark, folder)
+    return search.vector(_asked_of(store), _docs_of(store), 50, DISTANCE)
 
 
 @book.query(with_views(MEM, LIVE, _SEARCH, _ranks(50), _placed(10)) + "SELECT * FROM hyb")
 def search_hybrid(spark, folder):
-    return search.hybrid(_asked(spark, folder), _docs(spark, folder), most=DISTANCE)
+    store = _store(spark, folder)
+    return search.hybrid(_asked_of(store), _docs_of(store), most=DISTANCE)
 
 
 _INTENT = search.INTENT.replace("(?i)", "").replace("(?!-)", "")
@@ -86,7 +99,8 @@ fin AS (SELECT r.query_id, r.id, r.reranked, r.created_at, round(least(greatest(
 
 @book.query(with_views(MEM, LIVE, EDGE, REF, _SEARCH, _PIPE) + "SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY reranked DESC, score DESC, created_at DESC, id DESC)::INT place, reranked FROM fin) WHERE place <= 10")
 def retrieve_pipeline(spark, folder):
-    return search.pipeline(spark, _asked(spark, folder), _docs(spark, folder), S.edges(spark, folder), S.refs(spark, folder), most=DISTANCE)
+    store = _store(spark, folder)
+    return search.pipeline(spark, _asked_of(store), _docs_of(store), S.edges(spark, folder), S.refs(spark, folder), most=DISTANCE)
 
 
 @book.query(with_views(MEM, LIVE, _SEARCH, _ranks(50)) + f"SELECT query_id, regexp_matches(coalesce(text, ''), '{_INTENT}', 'i') intent FROM asked")
@@ -97,20 +111,22 @@ def temporal_intent(spark, folder):
 @book.query()
 def eval_ablation(spark, folder):
     """Metrics of pipeline configurations: the records an edge links to the asking one are relevant."""
-    rel = _relevant(spark, folder)
+    store = _store(spark, folder)
+    asked, docs = _asked_of(store), _docs_of(store)
+    rel = _relevant(spark, folder, store)
     parts = {"full": {}, "no_graph": {"graph": False}, "no_recency": {"use_recency": False}, "no_stale": {"use_stale": False}, "no_rerank": {"rerank": False}}
     out = None
     for name, options in parts.items():
-        ranked = search.pipeline(spark, _asked(spark, folder), _docs(spark, folder), S.edges(spark, folder), S.refs(spark, folder), most=DISTANCE, **options)
+        ranked = search.pipeline(spark, asked, docs, S.edges(spark, folder), S.refs(spark, folder), most=DISTANCE, **options)
         row = evaluation.summary(evaluation.ranking_metrics(ranked, rel)).withColumn("config", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
 
 
-def _relevant(spark, folder):
+def _relevant(spark, folder, store):
     e = S.edges(spark, folder)
     both = e.select(F.col("src").alias("query_id"), F.col("dst").alias("id")).unionByName(e.select(F.col("dst").alias("query_id"), F.col("src").alias("id"))).distinct()
-    return both.join(_asked(spark, folder).select("query_id"), "query_id", "left_semi").join(S.live(S.memory(spark, folder)).select("id"), "id", "left_semi")
+    return both.join(_asked_of(store).select("query_id"), "query_id", "left_semi").join(_docs_of(store).select("id"), "id", "left_semi")
 
 
 _REL = "rel AS (SELECT DISTINCT query_id, id FROM (SELECT src query_id, dst id FROM edge UNION SELECT dst, src FROM edge) WHERE query_id IN (SELECT query_id FROM asked) AND id IN (SELECT id FROM live))"
@@ -122,7 +138,8 @@ _REL = "rel AS (SELECT DISTINCT query_id, id FROM (SELECT src query_id, dst id F
     round(CASE WHEN min(place) <= 10 THEN 1.0 / min(place) ELSE 0 END, 6)::DOUBLE rr10 FROM rel LEFT JOIN hyb USING (query_id, id) GROUP BY ALL"""
 )
 def eval_recall_hit_mrr(spark, folder):
-    return evaluation.ranking_metrics(search.hybrid(_asked(spark, folder), _docs(spark, folder), most=DISTANCE), _relevant(spark, folder))
+    store = _store(spark, folder)
+    return evaluation.ranking_metrics(search.hybrid(_asked_of(store), _docs_of(store), most=DISTANCE), _relevant(spark, folder, store))
 
 
 @book.query(
@@ -131,8 +148,9 @@ def eval_recall_hit_mrr(spark, folder):
 )
 def evidence_recall(spark, folder):
     """Recall of the lexical pool."""
-    got = search.lexical(_asked(spark, folder), _docs(spark, folder), 50).select("query_id", F.col("id").alias("item"))
-    return evaluation.evidence_recall(got, _relevant(spark, folder).select("query_id", F.col("id").alias("item")))
+    store = _store(spark, folder)
+    got = search.lexical(_asked_of(store), _docs_of(store), 50).select("query_id", F.col("id").alias("item"))
+    return evaluation.evidence_recall(got, _relevant(spark, folder, store).select("query_id", F.col("id").alias("item")))
 
 
 _NORM = "list_filter(regexp_split_to_array(regexp_replace(lower(regexp_replace({x}, ',', '', 'g')), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\s+'), lambda t: t <> '' AND t NOT IN ('a','an','the','and'))"

@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -332,17 +333,21 @@ def texts(memories: DataFrame, sessions: DataFrame) -> DataFrame:
 def found(rows: DataFrame) -> DataFrame:
     """(src_table, row_no, pii_kind, mention_no): one row per mention."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for table, no, text in pdf[["src_table", "row_no", "text"]].itertuples(index=False):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, kinds, numbers = [], [], []
+            for n, text in enumerate(b.column(2).to_pylist()):
                 seen: dict[str, int] = {}
                 for _, _, kind in mentions(text):
                     seen[kind] = seen.get(kind, 0) + 1
-                    out.append((table, no, kind, seen[kind]))
-            yield pd.DataFrame(out, columns=["src_table", "row_no", "pii_kind", "mention_no"])
-
-    return rows.select("src_table", "row_no", "text").mapInPandas(run, "src_table string, row_no long, pii_kind string, mention_no long")
+                    row.append(n)
+                    kinds.append(kind)
+                    numbers.append(seen[kind])
+            at = pa.array(row, pa.int64())
+            cells = [b.column(0).take(at), b.column(1).take(at), pa.array(kinds, pa.string()), pa.array(numbers, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cells, ["src_table", "row_no", "pii_kind", "mention_no"])
+
+    return rows.select("src_table", "row_no", "text").mapInArrow(run, "src_table string, row_no long, pii_kind string, mention_no long")
 
 
 @lru_cache(maxsize=8)

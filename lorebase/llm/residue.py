@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -273,16 +274,17 @@ def _piece_kind(piece: str) -> str | None:
     return None
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        got = [kinds_of(t) for t in pdf["text"]]
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "kinds": [k for k, _ in got], "coverage": [c for _, c in got]})
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        got = [kinds_of(t) for t in b.column(1).to_pylist()]
+        kinds = pa.array([k for k, _ in got], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([b.column(0), kinds, pa.array([c for _, c in got], pa.float64())], ["doc_id", "kinds", "coverage"])
 
 
 def residue(documents: DataFrame) -> DataFrame:
     """(doc_id, kinds, coverage) of every document; kinds is empty for a clean one."""
     # repeated texts stay where they are: a scan is cheaper than a shuffle of the texts
-    return documents.select("doc_id", "text").mapInPandas(_scan, "doc_id long, kinds array<string>, coverage double")
+    return documents.select("doc_id", "text").mapInArrow(_scan, "doc_id long, kinds array<string>, coverage double")
 
 
 def found(documents: DataFrame) -> DataFrame:

@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -177,16 +176,17 @@ def round_trip(documents: DataFrame, folder: str = VOCABULARY_FOLDER, name: str
     """(doc_id, n_tokens, n_split, same): whether a text comes back as it was, and how many tokens hold only a part of a character."""
     path = f"{folder}/{name}"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [t or "" for t in pdf["text"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = token_bytes(path)
+        for b in batches:
+            texts = [t or "" for t in b.column(1).to_pylist()]
             ids = encode_batch(texts, path)
-            table = token_bytes(path)
             split = [0 if t.isascii() else sum(_is_part(table[i]) for i in x) for t, x in zip(texts, ids)]
             same = [decode_ids(x, path) == t for t, x in zip(texts, ids)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [len(x) for x in ids], "n_split": split, "same": same})
+            cells = [b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(split, pa.int64()), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(cells, ["doc_id", "n_tokens", "n_split", "same"])
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, n_split long, same boolean")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_split long, same boolean")
 
 
 def _is_part(b: bytes) -> bool:

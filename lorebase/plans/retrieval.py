@@ -481,6 +481,16 @@ def stream_session_capture(spark, folder):
     return jobs.run_to_table(jobs.dedupe_arrivals(s, ["session_no"], "loaded_at", "3650 days").select("session_no"), Scratch(spark, "stream"), "sessions")
 
 
+@book.query(
+    """WITH s AS (SELECT session_id, nullif(trim(project), '') project, loaded_at, session_no FROM sessions WHERE session_id IS NOT NULL), f AS (SELECT session_id, arg_min(project, (loaded_at, session_no)) project FROM s WHERE project IS NOT NULL AND loaded_at IS NOT NULL GROUP BY ALL)
+SELECT session_id, project, count(*) n FROM s JOIN f USING (session_id, project) WHERE loaded_at IS NOT NULL GROUP BY ALL"""
+)
+def stream_bind_sessions(spark, folder):
+    """The first project of a session binds it: keyed state over a stream of session rows."""
+    s = jobs.stream(spark, folder, "sessions").filter("loaded_at is not null").select("session_id", F.nullif(F.trim("project"), F.lit("")).alias("project"), "loaded_at", "session_no")
+    return jobs.run_updates(jobs.bind_first(s, "session_id", "project", ["loaded_at", "session_no"]), Scratch(spark, "stream"), "bind")
+
+
 @book.query(f"{JUDGED} SELECT src_table, standing, count(*) n FROM judged GROUP BY ALL")
 def stream_orphans(spark, folder):
     """The orphan state kept by a stream of memory lines."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -61,6 +62,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        # results are lazy and may be read until the session ends
+        atexit.register(self._forget)
         self._at: dict[int, str] = {}
         self._n = 0
 
@@ -78,6 +81,12 @@ class Scratch:
             if path:
                 _remove(self.spark, path)
 
+    def _forget(self) -> None:
+        try:
+            _remove(self.spark, self.root)
+        except Exception:  # the session has ended before
+            pass
+
     def clear(self) -> None:
         self._at.clear()
         _remove(self.spark, self.root)

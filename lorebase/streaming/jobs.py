@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from lorebase.operators.orphans import OrphanTracker
 from lorebase.session import Scratch
@@ -38,6 +42,18 @@ def run_to_table(df: DataFrame, scratch: Scratch, name: str, mode: str = "append
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
+def run_updates(df: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Runs a stream of updates and gives those of its last micro-batch."""
+    last = []
+
+    def each(batch: DataFrame, n: int) -> None:
+        last.append(scratch.keep(batch))
+
+    q = df.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", f"{scratch.root}/{name}-state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return last[-1]
+
+
 def run_batches(df: DataFrame, scratch: Scratch, name: str, each) -> None:
     """Runs a stream over what is there and hands each micro-batch to ``each(frame, batch_no)``."""
     q = df.writeStream.foreachBatch(each).option("checkpointLocation", f"{scratch.root}/{name}-state").trigger(availableNow=True).start()
@@ -50,6 +66,37 @@ def run_batches_complete(df: DataFrame, scratch: Scratch, name: str, each) -> No
     q.awaitTermination()
 
 
+def bind_first(rows: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
+    """(key, value, n): keyed state over a stream: the first value of a key binds it, n counts the rows that kept to it. Rows of another value are dropped.
+
+    One row per key of each micro-batch that touches it. The state of a key is its value and a count, however many rows it has.
+    """
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        bound, n = state.get if state.exists else (None, 0)
+        # the frames of one key come in no order; only the first row in order and counts per value are kept of them
+        first, counts = None, {}
+        for pdf in frames:
+            good = pdf.dropna(subset=[value])
+            if len(good):
+                row = good.sort_values(order).iloc[0]
+                at = tuple(row[c] for c in order)
+                if first is None or at < first[0]:
+                    first = (at, row[value])
+                for v, c in good[value].value_counts().items():
+                    counts[v] = counts.get(v, 0) + int(c)
+        if bound is None and first:
+            bound = first[1]
+        if bound is not None:
+            n += counts.get(bound, 0)
+            state.update((bound, n))
+            yield pd.DataFrame({key: [k[0]], value: [bound], "n": [n]})
+
+    kind = dict(rows.dtypes)[key]
+    out = f"{key} {kind}, {value} string, n long"
+    return rows.filter(f"{key} is not null").groupBy(key).applyInPandasWithState(step, out, f"{value} string, n long", "update", GroupStateTimeout.NoTimeout)
+
+
 def track_orphans(spark: SparkSession, memories: DataFrame, others: dict[str, DataFrame]) -> DataFrame:
     """The orphan state after a stream of memories; the other tables come with the first batch."""
     tracker = OrphanTracker(spark)

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +33,23 @@ def local_session(cores: str = "8", memory: str = "8g") -> SparkSession:
     return spark
 
 
+#: Applications that have this code on their workers.
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application, unless their path has it anyway."""
+    root = str(Path(__file__).resolve().parents[1])
+    app = spark.sparkContext.applicationId
+    if app in _shipped or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    archive = f"{tempfile.mkdtemp(prefix='lorebase-code-')}/lorebase.zip"
+    with zipfile.PyZipFile(archive, "w") as z:
+        z.writepy(f"{root}/lorebase")
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 

@@ -136,15 +136,15 @@ COVER = 0.65
 
 @lru_cache(maxsize=1)
 def watcher() -> ahocorasick.Automaton:
-    """The automaton of the first pass. A hit tells whether it hints at a slot."""
+    """The automaton of the first pass. A hit tells what it hints at: a slot or a phrase."""
     a = ahocorasick.Automaton()
     # short words that real texts are full of wait for the second pass
     common = {p for p in WEAK if p.isascii() and " " not in p and "=" not in p and p not in ("gone", "forbidden", "unauthorized")}
     for p in (*ERROR_PHRASES, *SCRIPT_PHRASES, *FILLER_PHRASES, *FILLER_HINTS):
         if p not in common and p not in ("error", "http", "오류"):
-            a.add_word(p, False)
+            a.add_word(p, "phrase")
     for p in SLOT_HINTS:
-        a.add_word(p, True)
+        a.add_word(p, "slot")
     a.make_automaton()
     return a
 
@@ -214,22 +214,22 @@ def kinds_of(text: str | None) -> tuple[list[str], float]:
     """The kinds of residue in a text, and the share of its characters in residue segments (a slot counts its own)."""
     if not text or not text.strip():
         return [], 0.0
-    hints = {is_slot for _, is_slot in watcher().iter(text.lower())}
+    hints = {hint for _, hint in watcher().iter(text.lower())}
     if not hints:
         return [], 0.0
     plain = blank_code(text)
     found, covered = [], 0
-    if True in hints:
+    if "slot" in hints:
         slots = [m.span() for m in SLOT.finditer(plain)]
         if slots:
             found.append("slot")
             covered += sum(b - a for a, b in slots)
-    if False in hints:
+    if "phrase" in hints:
         # the lines that hold a hit; lower case may change the length of a text, so they are cut from the lowered one
         low = plain.lower().replace("’", "'")
         done = 0
-        for end, is_slot in watcher().iter(low):
-            if is_slot or end < done:
+        for end, hint in watcher().iter(low):
+            if hint == "slot" or end < done:
                 continue
             start, done = low.rfind("\n", 0, end) + 1, low.find("\n", end)
             done = len(low) if done < 0 else done

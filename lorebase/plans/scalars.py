@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lorebase.functions import coderef, hashing, jsonx, secrets, text, time
 from lorebase.plans.book import Book
-from lorebase.plans.sqlviews import AS_OF, LIVE, MEM, PROP, with_views
+from lorebase.plans.sqlviews import AS_OF, MEM, PROP, with_views
 from lorebase.sources import records as S
 from lorebase.sources.tables import table
 

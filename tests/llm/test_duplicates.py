@@ -166,3 +166,20 @@ def test_links_of_pairs_and_proposals(spark):
     pairs = spark.createDataFrame([(uid(1), uid(2).upper(), "same"), (uid(3), uid(4), "distinct"), (None, uid(5), "same")], "a_id string, b_id string, relation string")
     prop = spark.createDataFrame([("duplicate", "pending", [uid(9), uid(2), None, uid(9)]), ("duplicate", "stale", [uid(7), uid(8)]), ("digest", "pending", [uid(7), uid(8)]), ("duplicate", "applied", None)], "kind string, status string, member_ids array<string>")
     assert {tuple(x) for x in components.groups(spark, pairs, prop).collect()} == {(uid(1), uid(1)), (uid(1), uid(2)), (uid(1), uid(9))}
+
+
+def test_columns_of_clashing_names_change_nothing(spark, sf):
+    from lorebase.llm import mixing
+    from lorebase.sources.tables import table
+
+    names = ("fp", "h", "key", "maybe", "first_line_no", "n_copies", "u", "v", "low", "least", "stays", "group_id", "mem_id", "level", "sure", "recent", "value", "f", "bucket", "before", "quota", "rounds", "n_tokens", "repeat", "slot", "block", "share", "most")
+
+    def odd(t):
+        return t.selectExpr("*", *(f"'x' as {c}" for c in names if c not in t.columns))
+
+    m, p, q, d, g = (table(spark, sf, n) for n in ("memories", "proposals", "match_pairs", "documents", "mix_targets"))
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(formatting.copies(spark, m), formatting.copies(spark, odd(m)))
+    assert same(survivors.providers(p, m), survivors.providers(odd(p), odd(m)))
+    assert same(components.groups(spark, q, p), components.groups(spark, odd(q), odd(p)))
+    assert same(mixing.mix(spark, d, g)[0], mixing.mix(spark, odd(d), odd(g))[0])

@@ -131,16 +131,17 @@ def count_by_period(refs: DataFrame, unit: str = "month") -> DataFrame:
     return orphans(refs).groupBy(*keys).agg(F.count("*").alias("n_orphans"))
 
 
-def arrival_batches(tables: dict[str, DataFrame], unit: str = "year") -> list[Column]:
-    """Conditions on ``loaded_at`` that cut the tables into batches by period, in order; the last also takes what has no time.
+def arrival_batches(tables: dict[str, DataFrame], months: int = 12) -> list[Column]:
+    """Conditions on ``loaded_at`` that cut the tables into batches of so many months, in order; the last also takes what has no time.
 
-    Only the distinct periods come to the driver: as many as there are years between the first and the last arrival.
+    Only the first and the last arrival come to the driver; there are as many batches as periods between them.
     """
-    first_last = reduce(DataFrame.unionByName, (t.select("loaded_at") for t in tables.values()))
-    lo, hi = first_last.agg(F.min("loaded_at"), F.max("loaded_at")).first()
+    times = reduce(DataFrame.unionByName, (t.select("loaded_at") for t in tables.values()))
+    lo, hi = times.agg(F.min("loaded_at"), F.max("loaded_at")).first()
     if lo is None:
         return [F.lit(True)]
-    starts = [F.lit(f"{y}-01-01").cast("timestamp") for y in range(lo.year + 1, hi.year + 1)]
+    first, last = ((t.year * 12 + t.month - 1) // months for t in (lo, hi))
+    starts = [F.make_timestamp(*(F.lit(x) for x in (k * months // 12, k * months % 12 + 1, 1, 0, 0, 0))) for k in range(first + 1, last + 1)]
     at, conditions = F.col("loaded_at"), []
     for k in range(len(starts) + 1):
         c = F.lit(True)
@@ -153,14 +154,14 @@ def arrival_batches(tables: dict[str, DataFrame], unit: str = "year") -> list[Co
     return conditions
 
 
-def track(spark: SparkSession, tables: dict[str, DataFrame], unit: str = "year") -> tuple[DataFrame, list[DataFrame]]:
+def track(spark: SparkSession, tables: dict[str, DataFrame], months: int = 12) -> tuple[DataFrame, list[DataFrame]]:
     """Runs the tables through an OrphanTracker in order of arrival.
 
     Gives the references as they stand at the end, and a snapshot of open counts (batch_no, src_table, standing, n) after each batch.
     """
     tracker, snapshots = OrphanTracker(spark), []
     refs = None
-    for k, when in enumerate(arrival_batches(tables, unit)):
+    for k, when in enumerate(arrival_batches(tables, months)):
         refs = tracker.advance({name: t.filter(when) for name, t in tables.items()})
         counted = orphans(refs).groupBy("src_table", "standing").agg(F.count("*").alias("n_orphans"))
         kept = tracker.scratch.keep(counted.select(F.lit(k + 1).alias("batch_no"), "*"))

@@ -53,34 +53,43 @@ def tokenizer(path: str):
 
 
 @lru_cache(maxsize=4)
-def _known(path: str) -> dict[str, list[int]]:
+def _known(path: str) -> dict[str, bytes]:
     return {}
 
 
-def _ids_of(texts: list[str | None], path: str) -> Iterator[list[list[int]]]:
-    """The ids of the pieces of each text, in order."""
+def _packed(texts: list[str | None], path: str) -> Iterator[bytes]:
+    """The ids of each text as 32-bit integers in a row: pieces are joined as bytes, no id becomes an object of its own."""
     known = _known(path)
     for at in range(0, len(texts), SLICE):
         if len(known) > REMEMBERED:
             known.clear()
         cut = [_CUT.split(t) if t else [] for t in texts[at : at + SLICE]]
-        new = list({p for pieces in cut for p in pieces} - known.keys())
-        extra: dict[str, list[int]] = {}
+        new = list(set().union(*cut) - known.keys())
         if new:
             for p, e in zip(new, tokenizer(path).encode_batch_fast(new, add_special_tokens=False)):
-                (known if len(p) <= LONG else extra)[p] = e.ids
+                known[p] = np.array(e.ids, np.int32).tobytes()
         for pieces in cut:
-            yield [known.get(p) or extra[p] for p in pieces] if extra else [known[p] for p in pieces]
+            yield b"".join(map(known.__getitem__, pieces))
+        for p in new:
+            if len(p) > LONG:
+                del known[p]
 
 
 def encode_batch(texts: list[str | None], path: str) -> list[list[int]]:
     """The ids of each text."""
-    return [[i for ids in pieces for i in ids] for pieces in _ids_of(texts, path)]
+    return [np.frombuffer(b, np.int32).tolist() for b in _packed(texts, path)]
+
+
+def encode_arrow(texts: list[str | None], path: str) -> pa.ListArray:
+    """The ids of each text as an Arrow array."""
+    packed = list(_packed(texts, path))
+    ends = np.cumsum([0, *(len(b) // 4 for b in packed)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
 
 
 def count_batch(texts: list[str | None], path: str) -> list[int]:
     """How many ids each text has."""
-    return [sum(map(len, pieces)) for pieces in _ids_of(texts, path)]
+    return [len(b) // 4 for b in _packed(texts, path)]
 
 
 def byte_table() -> dict[str, int]:
@@ -127,7 +136,7 @@ def encode(documents: DataFrame, folder: str = VOCABULARY_FOLDER, name: str = BY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield _arrow(b, {"ids": encode_batch(b.column(1).to_pylist(), path)})
+            yield pa.RecordBatch.from_arrays([b.column(0), encode_arrow(b.column(1).to_pylist(), path)], ["doc_id", "ids"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 

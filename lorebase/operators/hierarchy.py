@@ -46,10 +46,9 @@ def resolve(
     scratch = scratch or Scratch(spark, "hierarchy")
     segment = F.array("parent") if paths else F.lit(None).cast("array<string>")
     # ptr: the node reached, jump: steps to it, seg: the nodes on the way
-    state = links.select("id", F.col("parent").alias("ptr"), F.lit(1).cast("long").alias("jump"), segment.alias("seg"))
-    step = scratch.keep(state)
+    active = links.select("id", F.col("parent").alias("ptr"), F.lit(1).cast("long").alias("jump"), segment.alias("seg"))
     done: list[DataFrame] = []
-    active, pointers = step, step
+    pointers = active
     while True:
         ahead = pointers.select(F.col("id").alias("ptr"), F.col("ptr").alias("far"), F.col("jump").alias("more"), F.col("seg").alias("rest"))
         moved = active.join(ahead, "ptr", "left")
@@ -62,16 +61,14 @@ def resolve(
                 F.col("far").isNull().alias("at_root"),
             )
         )
-        resolved = both.filter("at_root").drop("at_root")
-        if is_empty(resolved):
-            left = both.drop("at_root")
-            break
-        # a node that is done keeps its final pointer: others may still point to it
-        done.append(resolved)
+        n_done, n_left = both.agg(F.count_if("at_root"), F.count_if(~F.col("at_root"))).first()
         active = both.filter("not at_root").drop("at_root")
-        if is_empty(active):
+        if not n_done or not n_left:
             left = active
+            done += [both.drop("at_root")] if n_done else []
             break
+        # a node that is done keeps its final pointer: others may still point to it
+        done.append(both.filter("at_root").drop("at_root"))
         pointers = active.unionByName(_all(done))
     trees = _all(done) if done else left.limit(0)
     trees = trees.select("id", F.col("ptr").alias("root"), F.col("jump").alias("depth"), F.col("seg").alias("path"))

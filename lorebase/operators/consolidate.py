@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.functions.similarity import trigram_pairs
+from lorebase.functions.similarity import jaccard, trigram_pairs, trigrams, vector_pairs
 from lorebase.operators.records import topk_per
 from lorebase.sources.records import as_of, live
 
 DIGEST_LEAST, DIGEST_MOST = 6, 10
+TEXT_LEAST, COSINE_LEAST, NEAREST = 0.5, 0.75, 3
 
 
 def members(proposals: DataFrame) -> DataFrame:
@@ -36,13 +37,20 @@ def digest_groups(m: DataFrame, proposals: DataFrame, least: int = DIGEST_LEAST,
     return topk_per(free.join(enough, "scope", "left_semi"), ["scope"], [F.asc("created_at"), F.asc("id")], most, "place").select("scope", "id", "place")
 
 
-def candidate_pairs(m: DataFrame, proposals: DataFrame, threshold: float) -> DataFrame:
+def candidate_pairs(m: DataFrame, vectors: DataFrame, proposals: DataFrame, least_text: float = TEXT_LEAST, least_cosine: float = COSINE_LEAST) -> DataFrame:
     """(a, b, sim): similar live records of one scope and type that nobody has judged and no open proposal holds; the older is a.
 
-    Similar by trigrams, found by a prefix-filtered join (exact at and above the threshold).
+    Similar by trigrams, found by a prefix-filtered join (exact at and above the threshold), or by vector: the NEAREST of each record that reach the threshold.
+    The larger similarity counts. vectors: id, vec.
     """
-    rows = live(m).filter(~F.col("mem_type").isin("episodic", "temporary") & F.col("content").isNotNull())
-    pairs = trigram_pairs(rows.select("id", F.struct("scope", "mem_type").alias("block"), F.col("content").alias("text")), threshold)
+    rows = live(m).filter(~F.col("mem_type").isin("episodic", "temporary")).select("id", F.struct("scope", "mem_type").alias("block"), F.col("content").alias("text"))
+    near = vector_pairs(rows.join(vectors, "id").select("id", "block", "vec"), least_cosine, NEAREST)
+    g = rows.select("id", trigrams(F.coalesce("text", F.lit(""))).alias("g"))
+    near = near.join(g.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(g.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
+    # the text of such a pair counts too, as copies are not paired with each other by trigrams
+    text = F.when((F.size("ga") > 0) & (F.size("gb") > 0), F.round(jaccard(F.col("ga"), F.col("gb")), 9))
+    near = near.select("a", "b", F.greatest("sim", F.when(text >= least_text, text)).alias("sim"))
+    pairs = trigram_pairs(rows.filter("text is not null"), least_text).unionByName(near).groupBy("a", "b").agg(F.max("sim").alias("sim"))
     judged = proposals.filter(F.size("member_ids") == 2).select(F.element_at("member_ids", 1).alias("a"), F.element_at("member_ids", 2).alias("b"))
     waiting = members(proposals.filter("status = 'pending'")).select("id").distinct()
     free = pairs.join(judged, ["a", "b"], "left_anti")

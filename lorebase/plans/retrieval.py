@@ -260,7 +260,9 @@ wait AS (SELECT unnest(member_ids) i FROM prop WHERE status = 'pending')
 SELECT a, b, sim::DOUBLE sim FROM alls WHERE NOT EXISTS (SELECT 1 FROM prop WHERE len(member_ids) = 2 AND member_ids[1] = a AND member_ids[2] = b) AND a NOT IN (SELECT i FROM wait) AND b NOT IN (SELECT i FROM wait)"""
 )
 def consolidation_pairs(spark, folder):
-    return consolidate.candidate_pairs(S.memory(spark, folder), S.proposals(spark, folder), 0.8)
+    """More than its SQL, which knows the trigram pairs from 0.8 only."""
+    m = S.memory(spark, folder)
+    return consolidate.candidate_pairs(m, m.join(S.vectors(spark, folder), "line_no").select("id", "vec"), S.proposals(spark, folder))
 
 
 # ---- graph

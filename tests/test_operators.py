@@ -238,3 +238,37 @@ def test_proposals(spark):
     p = spark.createDataFrame([("p", "duplicate", ["a", "b"], "a", "pending"), ("q", "digest", ["a", "gone"], None, "pending")], "proposal_id string, kind string, member_ids array<string>, keep_id string, status string")
     m = spark.createDataFrame([("a", "active", None), ("b", "active", None)], "id string, status string, expires_at timestamp")
     assert {tuple(r) for r in consolidate.apply_decisions(m, p).collect()} == {("p", "a", "kept"), ("p", "b", "superseded"), ("q", "a", "stale"), ("q", "gone", "stale")}
+
+
+def test_candidate_pairs_by_text_and_vector_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr("lorebase.functions.similarity.PART", 5)
+    r = random.Random(7)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota", "kappa"]
+    rows = [(f"{n:03d}", r.choice(["user", "user", "project:x"]), r.choice(["semantic", "semantic", "episodic"]), " ".join(r.sample(words, 5)), "active", None) for n in range(60)]
+    # a copy that is not the first of its class, near by vector too
+    rows += [(f"{n:03d}", "user", "semantic", "the same text", "active", None) for n in (60, 61, 62)] + [("063", "user", "semantic", None, "active", None), ("064", "user", "semantic", "", "active", None)]
+    vec = {x[0]: [r.gauss(0, 1) for _ in range(3)] for x in rows if r.random() < 0.8} | {"061": [1.0, 0.0, 0.0], "062": [1.0, 0.01, 0.0], "063": [0.0, 0.0, 0.0], "064": [1.0, 0.02, 0.0]}
+    m = spark.createDataFrame(rows, "id string, scope string, mem_type string, content string, status string, expires_at timestamp")
+    vectors = spark.createDataFrame(list(vec.items()), "id string, vec array<double>")
+    cosine = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / (math.hypot(*a) * math.hypot(*b)), 9)
+    want, firsts = {}, {}
+    kept = [x for x in rows if x[2] == "semantic"]
+    for x in kept:
+        firsts.setdefault((x[1], x[3]), x[0])
+        others = [(cosine(vec[x[0]], vec[y[0]]), y[0]) for y in kept if y[0] != x[0] and y[1] == x[1] and all(i in vec and any(vec[i]) for i in (x[0], y[0]))]
+        for sim, other in sorted(others, reverse=True)[:3]:
+            if sim >= 0.75:
+                want[min(x[0], other), max(x[0], other)] = sim
+    by_vector = set(want)
+    for x, y in itertools.combinations(kept, 2):
+        g, h = grams(x[3] or ""), grams(y[3] or "")
+        # copies are linked to the first of them
+        first = all(firsts[z[1], z[3]] == z[0] for z in (x, y)) or (x[3] == y[3] and firsts[x[1], x[3]] == x[0])
+        if x[1] == y[1] and g and h and round(len(g & h) / len(g | h), 9) >= 0.5 and (first or (x[0], y[0]) in by_vector):
+            want[x[0], y[0]] = max(want.get((x[0], y[0]), 0), round(len(g & h) / len(g | h), 9))
+    assert want["061", "062"] == 1 and len(by_vector) > 20 and any(0.5 <= s < 0.8 and p not in by_vector for p, s in want.items())
+    judged, waiting = sorted(want)[0], sorted(want)[-1][1]
+    p = spark.createDataFrame([("p", list(judged), "dismissed"), ("q", [waiting, "gone"], "pending")], "proposal_id string, member_ids array<string>, status string")
+    want = {k: s for k, s in want.items() if k != judged and waiting not in k}
+    got = {(x.a, x.b): x.sim for x in consolidate.candidate_pairs(m, vectors, p).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], s, abs_tol=2e-9) for k, s in want.items())

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,6 +27,7 @@ def log_name(session: Column) -> Column:
 
 
 FNV_OFFSET, FNV_PRIME = 2166136261, 16777619
+DIMENSION = 1024
 
 
 def fnv1a(c: Column) -> Column:
@@ -38,3 +44,36 @@ def hash_embedding(tokens: Column, dim: int) -> Column:
     length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
     unit = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
     return F.when(length > 0, F.transform(counts, lambda x: x / length)).otherwise(unit)
+
+
+@lru_cache(maxsize=1 << 16)
+def _fnv1a(word: str) -> int:
+    h = FNV_OFFSET
+    for b in word.encode():
+        h = (h ^ b) * FNV_PRIME & 0xFFFFFFFF
+    return h
+
+
+def embed(rows: DataFrame, dim: int = DIMENSION) -> DataFrame:
+    """(id, at, x): what is not 0 of the vector of each text, as :func:`hash_embedding` of all its words. rows: (id, text).
+
+    A row is embedded where it stands, with the hashes of words that the worker has seen.
+    """
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{Nd}]+"), lambda t: t != "")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, at, x = [], [], []
+            for n, ws in enumerate(b.column(1).to_pylist()):
+                counts: dict[int, int] = {}
+                for w in ws:
+                    k = _fnv1a(w) % dim
+                    counts[k] = counts.get(k, 0) + 1
+                counts = counts or {0: 1}
+                length = math.sqrt(sum(c * c for c in counts.values()))
+                row += [n] * len(counts)
+                at += counts
+                x += [c / length for c in counts.values()]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(at, pa.int32()), pa.array(x, pa.float64())], ["id", "at", "x"])
+
+    return rows.select("id", words.alias("words")).mapInArrow(run, "id string, at int, x double")

@@ -9,7 +9,7 @@ from lorebase.functions import secrets
 from lorebase.functions.text import collapse, word_tokens
 
 LENGTHS, CONFIDENCE_LEAST, GROUNDED, A_SOURCE = (8, 400), 0.5, 0.7, 8
-QUOTED = "\"([^\"]{40,})\"|“([^”]{40,})”|「([^」]{40,})」|(?s)```(.{40,}?)```"
+QUOTED_LEAST, QUOTES = 40, ('"([^"]*)"', "“([^”]*)”", "「([^」]*)」", "(?s)```(.*?)```")
 DIGEST_LENGTHS = (40, 3000)
 CODE_TOKEN = r"(?:[A-Za-z0-9_-]+/)+[A-Za-z0-9_.-]+|\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\b|\b\d+\.\d+\.\d+\b"
 
@@ -28,9 +28,9 @@ def grounded(text: Column, source: Column) -> Column:
 
 
 def quoted_spans(text: Column) -> Column:
-    """Long quoted spans of a text."""
-    groups = [F.regexp_extract_all(text, F.lit(QUOTED), F.lit(g)) for g in range(1, 5)]
-    return F.filter(F.concat(*groups), lambda x: x != "")
+    """Long quoted spans of a text. Each kind of quotes is paired by itself, short ones too: what stands between two quotes is no span."""
+    spans = F.concat(*(F.regexp_extract_all(text, F.lit(q), F.lit(1)) for q in QUOTES))
+    return F.filter(spans, lambda x: F.length(x) >= QUOTED_LEAST)
 
 
 def inside_quoted(text: Column, source: Column) -> Column:

@@ -218,10 +218,9 @@ def hash_symbol(spark, folder):
 
 @book.query()
 def hash_fnv_embedder(spark, folder):
-    """Vectors of contents by hashed words."""
-    m = S.live(S.memory(spark, folder)).filter("mem_type = 'preference'")
-    v = hashing.hash_embedding(text.word_tokens(F.coalesce("content", F.lit(""))), 16)
-    return m.select("id", F.posexplode(v).alias("at", "x")).filter("x <> 0").select("id", "at", F.round("x", 9).alias("x"))
+    """Vectors of all contents by hashed words."""
+    v = hashing.embed(S.memory(spark, folder).select("id", F.col("content").alias("text")))
+    return v.select("id", "at", F.round("x", 9).alias("x"))
 
 
 # ---- code references and secrets

@@ -272,3 +272,19 @@ def test_candidate_pairs_by_text_and_vector_match_brute_force(spark, monkeypatch
     want = {k: s for k, s in want.items() if k != judged and waiting not in k}
     got = {(x.a, x.b): x.sim for x in consolidate.candidate_pairs(m, vectors, p).collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[k], s, abs_tol=2e-9) for k, s in want.items())
+
+
+def test_embedding_of_all_words_and_records(spark, sf):
+    from lorebase.plans import scalars
+    from lorebase.sources import records
+
+    texts = ["A bee and a Bär, a 2nd bee", "", None, "!!", "날짜 x"]
+    rows = spark.createDataFrame([(str(n), t) for n, t in enumerate(texts)], "id string, text string")
+    words = [["a", "bee", "and", "a", "bär", "a", "2nd", "bee"], [], [], [], ["날짜", "x"]]
+    for dim in (8, 64):
+        want = one(spark, words, lambda c, dim=dim: hashing.hash_embedding(c, dim), "array<string>")
+        got = {(x.id, x["at"]): x.x for x in hashing.embed(rows, dim).collect()}
+        want = {(str(n), k): x for n, v in enumerate(want) for k, x in enumerate(v) if x}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], x) for k, x in want.items())
+    got = scalars.hash_fnv_embedder(spark, sf)
+    assert got.select("id").distinct().count() == records.memory(spark, sf).count() and 16 < got.agg(F.max("at")).first()[0] < 1024

@@ -56,6 +56,30 @@ def test_extraction_rules_in_order(spark):
     assert got == {1: "short", 2: None, 3: "repeated", 4: "not_grounded", 5: "quoted", 6: "unsure", 7: "long", 8: "secret", 9: "short"}
 
 
+def brute_spans(text):
+    out = []
+    for a, b in (('"', '"'), ("“", "”"), ("「", "」"), ("```", "```")):
+        rest = text
+        while a in rest and b in rest.split(a, 1)[1]:
+            span, rest = rest.split(a, 1)[1].split(b, 1)
+            out += [span] * (len(span) >= 40)
+    return out
+
+
+def test_quoted_spans_of_every_kind_and_document(spark, tmp_path):
+    from lorebase.operators.extract import quoted_spans
+    from lorebase.plans import composite
+
+    long, r = "what somebody else has written in a long text", random.Random(3)
+    texts = [f'"{long}"', f"“{long}”", f"「{long}」", f"```\n{long}\n```", f'```\nx = "{long}"\n``` and "{long}"', f'"a" {long} "b"', f"```a``` {long} ```b```", "", None]
+    texts += ["".join(r.choices(['"', "“", "”", "「", "」", "```", long, "short", "\n"], k=14)) for _ in range(60)]
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string")
+    got = {x.doc_id: x.q for x in docs.filter("text is not null").select("doc_id", quoted_spans(F.col("text")).alias("q")).collect()}
+    assert got == {n: brute_spans(t) for n, t in enumerate(texts) if t is not None}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {x.doc_id: x.n for x in composite.quoted_spans(spark, str(tmp_path)).collect()} == {n: len(s) for n, s in got.items()}
+
+
 def test_vector_index_recall(spark):
     r = random.Random(1)
     centres = [[r.gauss(0, 1) for _ in range(16)] for _ in range(12)]

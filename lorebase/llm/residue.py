@@ -1,7 +1,7 @@
 """Template residue, filler, error pages and script notices.
 
-One automaton over the whole text finds the openers of slots and the phrases and words below; a text without a hit is clean. In a text with hits, code (fences, indented
-fences, inline code) is blanked out and what is left is looked at in segments (lines and their sentences): a segment is residue when
+Code (fences, indented fences, inline code) is blanked out. One automaton over what is left finds the openers of slots and the phrases and words below; a text without
+a hit is clean. The lines with hits are looked at in segments (lines and their sentences): a segment is residue when
 phrases cover most of it. An unfilled slot counts wherever it stands outside code. So coverage is judged against the length of
 the segment, and a long real text with one such segment is found as well as a short one that is nothing else; a real sentence that speaks about such things
 is covered in part only.
@@ -114,14 +114,10 @@ _SLOTS = (
 SLOT = re.compile("|".join(f"(?:{s})" for s in _SLOTS))
 # an upper-case pattern has no Hangul or Kana left to change, so one text serves both cases
 
-#: What a text with a slot holds, in lower case, and the words of filler that real texts rarely have.
-SLOT_HINTS = (
-    "{{", "{%", "<%", "${", "%(", "##", "@@", "%%", "__", "(( ", "[[", "«", "here]", "[insert", "[enter", "[add", "[your", "einfügen]", "eingeben]", "einsetzen]", "insertar]", "aquí]", "입력]", "入力]",
-    "ここに]", "[object", "<your", "<insert", "<enter", "<!--", "todo", "yyyy-", "undefined",
-    *(f"{o}{w}" for o in "{$[<" for w in "project user first last full company customer client team file branch release ticket title owner author date time summary description next your name email id version key value address phone city subject topic url link content text body message step number amount product repo".split()),
-    *(f"{{{n}" for n in range(10)),
-)
-FILLER_HINTS = ("lorem", "ipsum", "amet", "asdf", "qwer", "blah", " foo ", " xxx ")
+#: What slots begin with, in lower case.
+SLOT_HINTS = ("{", "[", "<", "$", "%(", "##", "@@", "%%", "__", "((", "«", "todo", "yyyy-", "undefined")
+#: Where a slot may begin: SLOT is tried there only.
+_OPENER = re.compile(r"[{\[<$«]|%\(|##(?=[A-Z])|@@(?=[A-Za-z])|%%(?=[A-Za-z])|__|\(\( |TODO|YYYY-|undefined")
 
 _FENCE = re.compile(r"^[ \t>]*(```|~~~).*?(?:^[ \t>]*\1[^\n]*$|\Z)", re.S | re.M)
 _INLINE = re.compile(r"(`+)(?!`)[^\n]+?(?<!`)\1(?!`)")
@@ -132,19 +128,25 @@ _JSON_ERROR = re.compile(r'^\s*\{\s*"(?:error|errors|status|code|message)"\s*:.*
 _STATUS = re.compile(r"^\W*(?:http(?:/\d(?:\.\d)?)?[ :]*)?(?:error[ :]*)?[45]\d\d\b", re.I)
 _HTML_STATUS = re.compile(r"<(?:title|h1)>\s*(?:error\s*)?[45]\d\d\b[^<]{0,60}</", re.I)
 COVER = 0.65
+#: Different words of filler that a segment of them has at least.
+DISTINCT = 3
 
 
 @lru_cache(maxsize=1)
 def watcher() -> ahocorasick.Automaton:
-    """The automaton of the first pass. A hit tells what it hints at: a slot or a phrase."""
+    """The automaton of the first pass. A hit is (hint, word): at a slot, at a phrase, at both (a tag may part a phrase), or at a word of filler.
+
+    It holds all that the rules of the second pass begin with, so that it never decides by itself.
+    """
     a = ahocorasick.Automaton()
-    # short words that real texts are full of wait for the second pass
-    common = {p for p in WEAK if p.isascii() and " " not in p and "=" not in p and p not in ("gone", "forbidden", "unauthorized")}
-    for p in (*ERROR_PHRASES, *SCRIPT_PHRASES, *FILLER_PHRASES, *FILLER_HINTS):
-        if p not in common and p not in ("error", "http", "오류"):
-            a.add_word(p, "phrase")
+    for hint, vocabulary in (("latin", LATIN_WORDS), ("mash", MASH_WORDS)):
+        for w in vocabulary:
+            a.add_word(w, (hint, w))
     for p in SLOT_HINTS:
-        a.add_word(p, "slot")
+        a.add_word(p, ("slot", ""))
+    a.add_word("<", ("both", ""))
+    for p in (*ERROR_PHRASES, *SCRIPT_PHRASES, *FILLER_PHRASES):
+        a.add_word(p, ("phrase", ""))
     a.make_automaton()
     return a
 
@@ -207,39 +209,58 @@ def _made_of(segment: str, vocabulary: frozenset, least: int) -> bool:
     if len(tokens) < least:
         return False
     hits = [t for t in tokens if t in vocabulary]
-    return len(hits) >= 0.8 * len(tokens) and len(set(hits)) >= 3
+    return len(hits) >= 0.8 * len(tokens) and len(set(hits)) >= DISTINCT
 
 
 def kinds_of(text: str | None) -> tuple[list[str], float]:
     """The kinds of residue in a text, and the share of its characters in residue segments (a slot counts its own)."""
     if not text or not text.strip():
         return [], 0.0
-    hints = {hint for _, hint in watcher().iter(text.lower())}
-    if not hints:
-        return [], 0.0
+    # both passes read the same text
     plain = blank_code(text)
-    found, covered = [], 0
-    if "slot" in hints:
-        slots = [m.span() for m in SLOT.finditer(plain)]
-        if slots:
-            found.append("slot")
-            covered += sum(b - a for a, b in slots)
-    if "phrase" in hints:
-        # the lines that hold a hit; lower case may change the length of a text, so they are cut from the lowered one
-        low = plain.lower().replace("’", "'")
-        done = 0
-        for end, hint in watcher().iter(low):
-            if hint == "slot" or end < done:
+    low = plain.lower().replace("’", "'")
+    found, covered, has_opener = [], 0, False
+    # lower case may change the length of a text, so the lines that hold a hit are cut from the lowered one
+    done = upto = 0
+    words: dict[str, set[str]] = {"latin": set(), "mash": set()}
+    for end, (hint, word) in watcher().iter(low):
+        has_opener |= hint in ("slot", "both")
+        if hint == "slot" or end < done:
+            continue
+        if word:
+            if _in_word(low[end + 1 : end + 2]) or (end >= len(word) and _in_word(low[end - len(word)])):
+                continue
+            if end >= upto:
+                upto = low.find("\n", end)
+                upto = len(low) if upto < 0 else upto
+                words = {"latin": set(), "mash": set()}
+            words[hint].add(word)
+            if len(words[hint]) < DISTINCT:
                 continue
-            start, done = low.rfind("\n", 0, end) + 1, low.find("\n", end)
-            done = len(low) if done < 0 else done
-            for kind, n in _line_kinds(low[start:done].strip()):
-                covered += n
-                if kind not in found:
-                    found.append(kind)
+        start, done = low.rfind("\n", 0, end) + 1, low.find("\n", end)
+        done = len(low) if done < 0 else done
+        for kind, n in _line_kinds(low[start:done].strip()):
+            covered += n
+            if kind not in found:
+                found.append(kind)
+    if has_opener and (slots := list(_slots(plain))):
+        found.insert(0, "slot")
+        covered += sum(b - a for a, b in slots)
     return found, min(1.0, covered / len(text))
 
 
+def _in_word(c: str) -> bool:
+    return c.isalnum() and not c.isdecimal()
+
+
+def _slots(plain: str) -> Iterator[tuple[int, int]]:
+    at = 0
+    for m in _OPENER.finditer(plain):
+        if m.start() >= at and (slot := SLOT.match(plain, m.start())):
+            at = slot.end()
+            yield slot.span()
+
+
 def _line_kinds(line: str) -> Iterator[tuple[str, int]]:
     """Kind and length of each segment of residue: the line as a whole, else its sentences."""
     if len(line) < 400 and (kind := _piece_kind(line)):

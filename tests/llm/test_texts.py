@@ -177,6 +177,41 @@ def test_residue(text, kinds):
     assert residue.kinds_of(text)[0] == kinds
 
 
+@pytest.mark.parametrize("text,kinds", [
+    ("This page isn’t available", ["error_page"]), ("Error 500", ["error_page"]), ("HTTP 503", ["error_page"]), ("<title>Error 500</title>", ["error_page"]), ("Fehler: 500\n500 Fehler", ["error_page"]),
+    ("Duis aute irure dolor in reprehenderit", ["filler"]), ("{{x}}\nqux zxcv hjkl abc aaa", ["slot", "filler"]), ("ask {whoever} first", ["slot"]), ("[Choose a colour]", ["slot"]), ("bad<br>gateway", ["error_page"]),
+    ("bad`x`gateway", ["error_page"]), ("((`x`title ))", ["slot"]), ("###NAME##", ["slot"]), ("We sat in the test and did id est no more", []),
+])
+def test_residue_that_only_a_rule_names(text, kinds):
+    assert residue.kinds_of(text)[0] == kinds
+
+
+def without_first_pass(text):
+    plain = residue.blank_code(text)
+    kinds = ["slot"] * bool(residue.SLOT.search(plain))
+    n = sum(len(m.group()) for m in residue.SLOT.finditer(plain))
+    for line in plain.lower().replace("’", "'").split("\n"):
+        for kind, size in residue._line_kinds(line.strip()):
+            kinds += [kind] * (kind not in kinds)
+            n += size
+    return kinds, min(1.0, n / len(text))
+
+
+def test_first_pass_of_residue_loses_nothing():
+    r = random.Random(11)
+    odd = ["500", "404", ":", "<title>", "</title>", "<h1>", "{", "}", "{{", "}}", "[", "]", "##", "##A", "@@a", "%%b", "__A", "____", "((", "(( ", " ))", "$", "«", "»", "TODO", "undefined", "`", "```", "\n", ". ", "’", "2", "é", "İ", '{"error":', "x1"]
+    parts = [*residue.ERROR_PHRASES, *residue.SCRIPT_PHRASES, *residue.FILLER_PHRASES, *residue.LATIN_WORDS, *residue.MASH_WORDS, "your name", "TITLE", "the", "worker", *odd * 8]
+    found = 0
+    for _ in range(6000):
+        vocabulary = r.choice([parts, odd, [*residue.WEAK, "500"], [*residue.LATIN_WORDS, "the"], [*residue.MASH_WORDS, "the"]])
+        text = "".join(r.choice(vocabulary) + r.choice([" ", " ", " ", "", "\n"]) for _ in range(r.randint(1, 9)))
+        if text.strip():
+            got, want = residue.kinds_of(text), without_first_pass(text)
+            assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-9, text
+            found += bool(want[0])
+    assert found > 500
+
+
 def test_residue_over_tables(spark):
     d = spark.createDataFrame([(n, t, "x") for n, (t, _) in enumerate(RESIDUE)], "doc_id long, text string, kinds string")
     want = {n for n, (_, k) in enumerate(RESIDUE) if k}

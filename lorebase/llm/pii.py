@@ -183,32 +183,55 @@ def _names(t: str) -> Iterator[tuple[int, int]]:
         yield m.span(1)
 
 
-# what a text must hold for a kind to be looked for
+# what a text must hold for a kind to be looked for: all that the patterns accept holds one of these
 _HINTS = {
-    "email": ("@", "[at]", "(at)", " dot ", "(dot)", "[dot]"),
     "address": (
         *(f" {w}" for w in ("Street", "Avenue", "Road", "Lane", "Drive", "Court", "Boulevard", "Place", "Square", "Terrace", "Way", "Close", "Crescent", "Row", "Hill", "Parkway")),
         *(f" {w}" for w in ("St", "Ave", "Rd", "Ln", "Dr", "Ct", "Blvd", "Pl", "Sq", "Pkwy")),
-        "traße", "tr. ", "gasse", "Gasse", "weg ", "Weg ", "allee", "Allee", "platz", "Platz", "ring ", "ufer ", "damm ", "Am ", "An ", "Im ", "In ", "Auf ", "Zum ", "Zur ", "Alte", "Neue", "로 ", "길 ", "로1", "길1",
-    ),
-    "name": (
-        *(f"{w} " for w in GIVEN), *(f"{w}-" for w in GIVEN), "Dr", "Mr", "Ms", "Prof", "Herr", "Frau", "Sra", "Sr", "Doctor", "-by:", "Reported by", "ask", "host", "spoke to", "asked that", "signed with",
-        "Ansprechpartner", "님", "씨", "두 사람", "검토자", "담당자", "작성자", "요청자", "보고자", "wner", "eviewer", "ontact", "escalate", "uthor", "ssignee", "aintainer", "user:", "name:", "Questions", "ttn",
+        "traße", "tr. ", "gasse", "Gasse", "weg ", "Weg ", "allee", "Allee", "platz", "Platz", "ring ", "ufer ", "damm ", "로 ", "길 ",
     ),
+    "name": (*(f"{w} " for w in GIVEN), *(f"{w}-" for w in GIVEN), "Dr", "Mr", "Ms", "Prof", "Herr", "Frau", "Sra", "Sr", "Doctor", "signed with", "asked that", "님", "씨", "두 사람", "담당자", "작성자", "요청자", "보고자"),
 }
-_DIGITS = re.compile(r"\d[\d ().+/-]{5,}[\dA-Z]")
-
-
-@lru_cache(maxsize=1)
-def _hints() -> ahocorasick.Automaton:
+# of patterns that ignore case, in lower case; a label is a name's only with a sign after it
+_LOW_HINTS = {
+    "email": ("@", "[at]", "(at)"),
+    "name": ("-by:", "cc:", "reported by", "ask", "host", "spoke to", "ansprechpartner", "검토자", "wner", "eviewer", "ontact", "escalate", "uthor", "ssignee", "aintainer", "questions", "ttn"),
+    "label": ("user", "name"),
+    "at": (" at ",),
+    "dot": ("dot",),
+}
+_LABEL = re.compile(r"(?:user|name)[\"']?\s*[:=]")
+_BRACKETED = re.compile(r"<[^<>\s]+@")
+_TOWN = re.compile(r", (?:D-)?\d{5} ")
+_DIGITS = re.compile(r"\d[\d ().+/-]{4,}[\dA-Z]")
+
+
+@lru_cache(maxsize=2)
+def _hints(low: bool) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for kind, words in _HINTS.items():
+    for kind, words in (_LOW_HINTS if low else _HINTS).items():
         for w in words:
             a.add_word(w, kind)
     a.make_automaton()
     return a
 
 
+def _worth(t: str) -> set[str]:
+    """The kinds that a text may hold."""
+    # as patterns that ignore case take them
+    low = t.replace("\u0130", "i").lower().replace("\u0131", "i").replace("\u017f", "s")
+    worth = {kind for _, kind in _hints(False).iter(t)} | {kind for _, kind in _hints(True).iter(low)}
+    if "at" in worth and "dot" in worth:
+        worth.add("email")
+    if "name" not in worth and ("label" in worth and _LABEL.search(low) or "email" in worth and _BRACKETED.search(t)):
+        worth.add("name")
+    if "address" not in worth and _TOWN.search(t):
+        worth.add("address")
+    if _DIGITS.search(t):
+        worth |= {"id_number", "phone"}
+    return worth
+
+
 _FINDERS = (("email", _emails), ("id_number", _id_numbers), ("address", _addresses), ("phone", _phones), ("name", _names))
 
 
@@ -218,9 +241,7 @@ def mentions(text: str | None) -> list[tuple[int, int, str]]:
         return []
     t = text.translate(_PLAIN)
     taken: list[tuple[int, int, str]] = []
-    worth = {kind for _, kind in _hints().iter(t)}
-    if _DIGITS.search(t):
-        worth |= {"id_number", "phone"}
+    worth = _worth(t)
     for kind, find in _FINDERS:
         if kind not in worth:
             continue

@@ -41,6 +41,27 @@ def test_mentions(text, kinds):
     assert [k for _, _, k in pii.mentions(text)] == kinds
 
 
+HINTED = [
+    ("kim[AT]corp[DOT]org", ["email"]), ("KIM (AT) CORP.ORG", ["email"]), ("kim At dotcom.org", ["email"]), ('{"name": "김민수"}', ["name"]), ("user=김민수", ["name"]), ("USER = Zora Quillon", ["name"]),
+    ("OWNER: Zora Quillon", ["name"]), ("Cc: Zora Quillon", ["name"]), ("Zora Quillon <z@x.example>", ["name", "email"]), ("Lindenhof 7, 20095 Hamburg", ["address"]), ("TIN 123456", ["id_number"]), ("a\u017fk Zora Quillon", ["name"]),
+]
+
+
+@pytest.mark.parametrize("text,kinds", HINTED)
+def test_mentions_without_other_hints(text, kinds):
+    assert [k for _, _, k in pii.mentions(text)] == kinds
+
+
+def test_first_pass_of_mentions_loses_nothing(monkeypatch):
+    r = random.Random(13)
+    parts = [*(t for t, _ in HINTED), "Zora", "Quillon", "Lenka", "김민수", "kim", "corp", "org", "at", "(at)", "[At]", "@", "dot", "(DOT)", ".", "Cc:", "Author:", "attn:", "host", "ask for", "Reported BY", "name", "user", '"', "'", "=", ":", "<", ">", "님", "씨", "두 사람"]
+    parts += ["검토자:", "담당자:", "Dr.", "Frau", "12", "Linden", "Street", "Am", "Lindenweg", "Str.", "7", "20095", "D-20095", "Hamburg", ",", "세종대로", "110", "SSN", "TIN", "123456", "AB123456C", "123-45-6789", "+49", "(0)", "030", "1234567", "-", "/", "X12345678", "asked that", "signed with"]
+    texts = ["".join(r.choice(parts) + r.choice([" ", " ", ""]) for _ in range(r.randint(1, 6))) for _ in range(6000)]
+    got = [pii.mentions(t) for t in texts]
+    monkeypatch.setattr(pii, "_worth", lambda t: set(pii.KINDS))
+    assert got == [pii.mentions(t) for t in texts] and sum(map(bool, got)) > 1000
+
+
 def test_redaction_keeps_the_rest_and_links_equal_values():
     a = pii.redact("Call +1 (415) 555-0199 now", KEY)
     b = pii.redact("or 415.555.0199, ask Greta Tarngrund", KEY)

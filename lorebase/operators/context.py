@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebase.operators.lifecycle import latest_handoff
@@ -10,6 +10,7 @@ from lorebase.operators.records import stale_ids, topk_per
 from lorebase.sources.records import live
 
 BUDGET, BUDGET_LEAST, BUDGET_MOST = 2000, 200, 32_000
+READER_BYTES = 20_000
 SECTION_MOST, EPISODES, EPISODE_CHARS = 50, 3, 800
 
 
@@ -69,3 +70,27 @@ def sections(m: DataFrame, refs: DataFrame) -> DataFrame:
 def assemble(m: DataFrame, refs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """(scope, ord, id, tokens, truncated): the context of each project scope."""
     return budget_take(sections(m, refs), ["scope"], min(max(budget, BUDGET_LEAST), BUDGET_MOST))
+
+
+def reader_context(hits: DataFrame, docs: DataFrame, budget: int = READER_BYTES) -> DataFrame:
+    """(query_id, id, place, is_hit, used_bytes): the hits that fit the budget of bytes in order of rank, then the records before and after each hit in its session
+    that still fit; in the order of the sessions' first hits, and of time within a session.
+
+    hits: query_id, id, place (from 1), few a query; docs: id, scope, source_session, content, created_at. Without a session a hit has no neighbours.
+    """
+    # records without a session are no group
+    session = F.struct("scope", "source_session", F.when(F.col("source_session").isNull(), F.col("id")).alias("alone")).alias("session")
+    d = docs.select("id", "created_at", session, F.octet_length(F.coalesce("content", F.lit(""))).alias("tokens"))
+    w = Window.partitionBy("session").orderBy("created_at", "id")
+    d = d.withColumn("position", F.row_number().over(w)).withColumn("it", F.struct("id", "tokens", "position"))
+    d = d.select("id", "session", F.array(F.col("it"), F.lag("it").over(w), F.lead("it").over(w)).alias("near"))
+    h = hits.select("query_id", "id", "place").join(d, "id").withColumn("first", F.min("place").over(Window.partitionBy("query_id", "session")))
+    # every hit comes before any neighbour
+    each = h.select("query_id", "place", "first", F.posexplode("near").alias("k", "n")).filter("n is not null")
+    rank = F.col("place").cast("long") * 2 + F.when(F.col("k") == 0, 0).otherwise(F.lit(1 << 40) + F.col("k") - 1)
+    items = each.select("query_id", rank.alias("ord"), "n.id", "n.tokens", "n.position", "first", (F.col("k") == 0).alias("is_hit"))
+    where = items.groupBy("query_id", "id").agg(F.min("first").alias("first"), F.min("position").alias("position"), F.max("is_hit").alias("is_hit"))
+    taken = budget_take(items, ["query_id"], budget).select("query_id", "id", "tokens").join(where, ["query_id", "id"])
+    order = Window.partitionBy("query_id").orderBy("first", "position", "id")
+    used = F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return taken.select("query_id", "id", F.row_number().over(order).alias("place"), "is_hit", used.alias("used_bytes"))

@@ -6,10 +6,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorebase.functions import secrets
-from lorebase.operators import consolidate, extract, graph, records, search, vectorindex
+from lorebase.operators import consolidate, context, extract, graph, records, search, vectorindex
 from lorebase.plans.book import Book
 from lorebase.plans.retrieval import DISTANCE, _asked_of, _docs_of, _store
 from lorebase.plans.sqlviews import AS_OF, EDGE, LIVE, MEM, PROP, REF, STALE, with_views
+from lorebase.session import Scratch
 from lorebase.sources import records as S
 from lorebase.sources.tables import table
 
@@ -182,11 +183,10 @@ def resume_cached(spark, folder):
 
 @book.query()
 def reader_context(spark, folder):
-    """(query_id, id, place, used_bytes): the hits of each query that fit 20,000 bytes in order of rank."""
+    """(query_id, id, place, is_hit, used_bytes): hits and their neighbours in their sessions within 20,000 bytes."""
     store = _store(spark, folder)
-    hits = search.hybrid(_asked_of(store), _docs_of(store), most=DISTANCE).join(store.select("id", F.octet_length("content").alias("b")), "id")
-    used = F.sum(F.coalesce("b", F.lit(0))).over(W.partitionBy("query_id").orderBy("place").rowsBetween(W.unboundedPreceding, 0))
-    return hits.withColumn("used_bytes", used).filter("used_bytes <= 20000").select("query_id", "id", "place", "used_bytes")
+    hits = Scratch(spark, "reader").keep(search.hybrid(_asked_of(store), _docs_of(store), most=DISTANCE).select("query_id", "id", "place"))
+    return context.reader_context(hits, S.live(S.memory(spark, folder)).select("id", "scope", "source_session", "content", "created_at"))
 
 
 @book.query("SELECT doc_id, len(regexp_extract_all(text, '\"[^\"]{40,}\"'))::INT n FROM documents WHERE text IS NOT NULL AND NOT contains(text, '```') AND NOT regexp_matches(text, '[“「]')")

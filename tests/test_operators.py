@@ -288,3 +288,32 @@ def test_embedding_of_all_words_and_records(spark, sf):
         assert got.keys() == want.keys() and all(math.isclose(got[k], x) for k, x in want.items())
     got = scalars.hash_fnv_embedder(spark, sf)
     assert got.select("id").distinct().count() == records.memory(spark, sf).count() and 16 < got.agg(F.max("at")).first()[0] < 1024
+
+
+def test_reader_context_matches_a_fold(spark):
+    r = random.Random(17)
+    rows = [(f"{n:03d}", r.choice(["user", "project:x"]), r.choice(["s", "t", "u", None]), "x" * r.choice([0, 10, 30, 60, 130]), NOW + dt.timedelta(r.randint(0, 9))) for n in range(60)]
+    doc = {x[0]: x for x in rows}
+    hits = [(f"q{q}", i, k) for q in range(30) for k, i in enumerate(r.sample(sorted(doc), 5), 1)]
+    sessions = {}
+    for x in sorted(rows, key=lambda x: (x[4], x[0])):
+        sessions.setdefault((x[1], x[2], None if x[2] else x[0]), []).append(x[0])
+    of = {i: (s, n) for s, ids in sessions.items() for n, i in enumerate(ids)}
+    want, skipped = {}, 0
+    for q in {h[0] for h in hits}:
+        mine, got, used = [h[1] for h in hits if h[0] == q], [], 0
+        around = [sessions[of[i][0]][j] for i in mine for j in (of[i][1] - 1, of[i][1] + 1) if 0 <= j < len(sessions[of[i][0]])]
+        for i in [*mine, *around]:
+            if i not in got and used + len(doc[i][3]) <= 120:
+                got.append(i)
+                used += len(doc[i][3])
+        skipped += len(doc[mine[0]][3]) > 120 and bool(got)
+        order = list(dict.fromkeys(of[i][0] for i in mine))
+        got.sort(key=lambda i: (order.index(of[i][0]), of[i][1]))
+        want[q] = [(i, i in mine, sum(len(doc[j][3]) for j in got[: n + 1])) for n, i in enumerate(got)]
+    h = spark.createDataFrame(hits, "query_id string, id string, place int")
+    found = context.reader_context(h, spark.createDataFrame(rows, "id string, scope string, source_session string, content string, created_at timestamp"), 120)
+    got = {}
+    for x in sorted(found.collect(), key=lambda x: (x.query_id, x.place)):
+        got.setdefault(x.query_id, []).append((x.id, x.is_hit, x.used_bytes))
+    assert got == want and skipped and any(not hit for v in want.values() for _, hit, _ in v)

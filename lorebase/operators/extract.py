@@ -34,9 +34,8 @@ def quoted_spans(text: Column) -> Column:
 
 
 def inside_quoted(text: Column, source: Column) -> Column:
-    """Whether a text only repeats what its source quotes."""
-    low = F.lower(collapse(text))
-    return F.coalesce(F.exists(quoted_spans(source), lambda q: F.contains(F.lower(collapse(q)), low)), F.lit(False))
+    """Whether a text only repeats what its source quotes, as it is or with most of its tokens in one quote."""
+    return F.coalesce((F.size(word_tokens(text)) > 0) & F.exists(quoted_spans(source), lambda q: grounded(text, q)), F.lit(False))
 
 
 def validate(candidates: DataFrame) -> DataFrame:

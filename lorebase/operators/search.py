@@ -72,11 +72,12 @@ def fuse(*rankings: DataFrame) -> DataFrame:
     return ranks.groupBy("query_id", "id").agg(F.round(F.sum(1.0 / (RRF_K + F.col("rank"))) * (RRF_K + 1) / len(rankings), 9).alias("score"))
 
 
-def hybrid(queries: DataFrame, docs: DataFrame, limit: int = LIMIT_DEFAULT, most: float = DISTANCE_MOST) -> DataFrame:
-    """(query_id, id, score, place): lexical and vector rankings fused. docs: id, scope, content, created_at, vec."""
+def hybrid(queries: DataFrame, docs: DataFrame, limit: int = LIMIT_DEFAULT, most: float = DISTANCE_MOST, vectors: bool = True) -> DataFrame:
+    """(query_id, id, score, place): lexical and vector rankings fused, or the lexical one alone. docs: id, scope, content, created_at, vec."""
     limit = min(limit, LIMIT_MOST)
     k = candidates_per_ranker(limit)
-    fused = fuse(lexical(queries, docs, k), vector(queries, docs, k, most)).join(docs.select("id", "created_at"), "id")
+    rankings = [lexical(queries, docs, k), *([vector(queries, docs, k, most)] if vectors else [])]
+    fused = fuse(*rankings).join(docs.select("id", "created_at"), "id")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("created_at"), F.desc("id"))
     return fused.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit).select("query_id", "id", "score", "place")
 
@@ -141,13 +142,14 @@ def pipeline(
     graph: bool = True,
     use_recency: bool = True,
     use_stale: bool = True,
+    vectors: bool = True,
 ) -> DataFrame:
     """(query_id, id, score, place, reranked): hybrid pool, graph expansion, rerank of the top, staleness and recency.
 
     Without a reranker there is no expansion. docs: id, scope, mem_type, content, created_at, vec.
     """
     scratch = Scratch(spark, "search")
-    first = scratch.keep(hybrid(queries, docs, max(POOL, limit), most))
+    first = scratch.keep(hybrid(queries, docs, max(POOL, limit), most, vectors))
     pool = first.select("query_id", "id", F.col("score").alias("first"))
     if rerank and graph:
         reached = expand(first, queries, docs, edges)

@@ -114,7 +114,10 @@ def eval_ablation(spark, folder):
     store = _store(spark, folder)
     asked, docs = _asked_of(store), _docs_of(store)
     rel = _relevant(spark, folder, store)
+    # no_rerank is the hybrid search with its signals
+    off = {"graph": False, "use_recency": False, "use_stale": False}
     parts = {"full": {}, "no_graph": {"graph": False}, "no_recency": {"use_recency": False}, "no_stale": {"use_stale": False}, "no_rerank": {"rerank": False}}
+    parts |= {"lexical": {"vectors": False, "rerank": False, **off}, "lexical_signals": {"vectors": False, "rerank": False}, "hybrid": {"rerank": False, **off}, "hybrid_rerank": off}
     out = None
     for name, options in parts.items():
         ranked = search.pipeline(spark, asked, docs, S.edges(spark, folder), S.refs(spark, folder), most=DISTANCE, **options)

@@ -317,3 +317,18 @@ def test_reader_context_matches_a_fold(spark):
     for x in sorted(found.collect(), key=lambda x: (x.query_id, x.place)):
         got.setdefault(x.query_id, []).append((x.id, x.is_hit, x.used_bytes))
     assert got == want and skipped and any(not hit for v in want.values() for _, hit, _ in v)
+
+
+def test_ablation_has_nine_configurations(spark, sf):
+    from lorebase.plans import retrieval
+
+    got = [x.config for x in retrieval.eval_ablation(spark, sf).select("config").collect()]
+    assert sorted(got) == ["full", "hybrid", "hybrid_rerank", "lexical", "lexical_signals", "no_graph", "no_recency", "no_rerank", "no_stale"]
+
+
+def test_pipeline_without_vectors(spark):
+    q = spark.createDataFrame([("q1", "gamma", "project:x", [1.0, 0.0])], "query_id string, text string, scope string, vec array<float>")
+    edges = spark.createDataFrame([], "src string, dst string, relation string")
+    none = spark.createDataFrame([], "memory_id string, path string, symbol string, state string")
+    found = {v: {r.id for r in search.pipeline(spark, q, docs(spark), edges, none, most=0.5, rerank=False, vectors=v).collect()} for v in (True, False)}
+    assert found == {True: {"a", "b"}, False: {"b"}}

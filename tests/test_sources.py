@@ -56,6 +56,13 @@ def test_extraction_rules_in_order(spark):
     assert got == {1: "short", 2: None, 3: "repeated", 4: "not_grounded", 5: "quoted", 6: "unsure", 7: "long", 8: "secret", 9: "short"}
 
 
+def test_reworded_quotes_are_quoted(spark):
+    src = "We wrote the lease queue. The page said “a very long quoted sentence that nobody here wrote at all” today."
+    rows = [(1, "s", "a long sentence quoted that nobody wrote", src, 0.9), (2, "s", "we wrote the lease queue, said the page", src, 0.9)]
+    got = {r.cand_id: r.reject_reason for r in extract.validate(spark.createDataFrame(rows, "cand_id int, source_id string, text string, source string, confidence double")).collect()}
+    assert got == {1: "quoted", 2: None}
+
+
 def brute_spans(text):
     out = []
     for a, b in (('"', '"'), ("“", "”"), ("「", "」"), ("```", "```")):

@@ -44,8 +44,10 @@ def ship_code(spark: SparkSession) -> None:
     if app in _shipped or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
     archive = f"{tempfile.mkdtemp(prefix='lorebase-code-')}/lorebase.zip"
-    with zipfile.PyZipFile(archive, "w") as z:
-        z.writepy(f"{root}/lorebase")
+    # sources only: nothing is compiled into the installed package, which may be read-only
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(Path(root, "lorebase").rglob("*.py")):
+            z.write(source, source.relative_to(root))
     spark.sparkContext.addPyFile(archive)
     _shipped.add(app)
 
@@ -87,14 +89,19 @@ class Scratch:
         self._at: dict[int, str] = {}
         self._n = 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """Writes the frame, laid down in one folder per value of ``by`` (of few values) if asked for, and reads it again."""
         self._n += 1
         path = f"{self.root}/{self._n}"
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=by)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._at[id(out)] = path
         return out
 
+    def together(self, frames: list[DataFrame]) -> DataFrame:
+        """Kept frames of one schema as one scan."""
+        return self.spark.read.schema(frames[0].schema).parquet(*(self._at[id(f)] for f in frames))
+
     def drop(self, *frames: DataFrame | None) -> None:
         for df in frames:
             path = self._at.pop(id(df), None)

@@ -1,12 +1,13 @@
 """Duplicates hidden by formatting differences.
 
-Records get a canonical fingerprint (words without case, punctuation, white space; named fields in any order). Every partition notes which
-fingerprints it saw once and which repeatedly, as bits of a Bloom filter cut into segments; the segments of all partitions are merged where
-they meet, and a bit is *repeated* when one partition saw it repeatedly or two saw it at all. Only rows whose bits are all repeated may have a
+Records get a canonical fingerprint (words without case, punctuation, white space; named fields in any order) and a 64-bit hash of it. The hash names a segment of a
+Bloom filter and two bits in it. Every partition notes the bits of the hashes it saw once and of those it saw repeatedly; the partitions' segments are merged where
+they meet, and a bit is *repeated* when one partition saw it repeatedly or two saw it at all. Only rows whose bits are both repeated may have a
 copy: they alone are shuffled and grouped exactly. All others are singletons.
 
-Bounds: the merged filter has 16 bits a row and at most 2**29 bits (64 MB), which is what the driver holds and broadcasts. Beyond 2**25 rows
-more singletons are shuffled in vain, the result stays exact.
+Size: the filter has 16 bits a row at any number of rows (:func:`segments_for`, no upper bound), so about 1.4 % of singletons are shuffled in vain, few rows or many. Its
+segments are rows of a table in the shared folder. Segments come in ranges of RANGE_SEGMENTS (64 MB): fingerprints are laid down by range, and one range at a time is merged and joined
+with its own rows as a broadcast. Nothing larger than one range is ever in one place, and every fingerprint is read once for its bits and once for its mark.
 
 Defined results: null and blank contents have no copies and are singletons; a null scope has no words; null types are equal to each other; contents
 of punctuation alone have the same (empty) word sequence; a repeated ``line_no`` counts as often as it comes; the smallest ``line_no`` stands for the
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 from lorebase.session import Scratch
 
 SEGMENT_BITS = 1 << 20
-MIN_BITS, MAX_BITS = 1 << 20, 1 << 29
 BITS_A_ROW = 16
+#: Segments that are merged and broadcast at once: 64 MB of bits, whatever the number of rows.
+RANGE_SEGMENTS = 512
 #: Hashes a task holds before it hands on its bits.
 FLUSH_ROWS = 1 << 21
 
@@ -76,19 +78,20 @@ def fingerprints(memories: DataFrame) -> DataFrame:
     return rows.select("line_no", F.unhex(F.md5("key")).alias("fp"), F.when(F.col("key").isNotNull(), F.xxhash64("key")).alias("h"))
 
 
-def filter_bits(rows: int) -> int:
-    """Bits of the filter: 16 a row, a power of two, within its bounds."""
-    bits = MIN_BITS
-    while bits < rows * BITS_A_ROW and bits < MAX_BITS:
-        bits *= 2
-    return bits
+def segments_for(rows: int) -> int:
+    """Segments of the filter: BITS_A_ROW bits a row."""
+    return max(1, -(-rows * BITS_A_ROW // SEGMENT_BITS))
 
 
-def bit_positions(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of each hash: from its lower and its upper half."""
+def segment_of(h: Column, segments: int) -> Column:
+    return F.pmod(h, F.lit(segments).cast("long"))
+
+
+def bit_positions(h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each hash, counted over all segments: both in its segment, from its upper 40 bits."""
     u = h.astype(np.int64).view(np.uint64)
-    mask = np.uint64(bits - 1)
-    return (u & mask).astype(np.int64), ((u >> np.uint64(32)) & mask).astype(np.int64)
+    base = (h.astype(np.int64) % segments) * SEGMENT_BITS
+    return base + ((u >> np.uint64(24)) & np.uint64(SEGMENT_BITS - 1)).astype(np.int64), base + (u >> np.uint64(44)).astype(np.int64)
 
 
 def _payload(positions: np.ndarray) -> bytes:
@@ -108,18 +111,18 @@ def _bits(payload: bytes) -> np.ndarray:
     return dense
 
 
-def _partition_bits(bits: int):
+def _partition_bits(segments: int):
     def cut(positions: np.ndarray) -> dict[int, np.ndarray]:
         positions = np.unique(positions)
-        segments = positions // SEGMENT_BITS
-        starts = np.flatnonzero(np.r_[True, segments[1:] != segments[:-1]]) if len(positions) else []
+        at = positions // SEGMENT_BITS
+        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(positions) else []
         ends = [*starts[1:], len(positions)]
-        return {int(segments[a]): positions[a:b] % SEGMENT_BITS for a, b in zip(starts, ends)}
+        return {int(at[a]): positions[a:b] % SEGMENT_BITS for a, b in zip(starts, ends)}
 
     def emit(parts: list[np.ndarray]) -> pd.DataFrame:
         keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-        seen = cut(np.concatenate(bit_positions(keys, bits)))
-        again = cut(np.concatenate(bit_positions(keys[counts > 1], bits)))
+        seen = cut(np.concatenate(bit_positions(keys, segments)))
+        again = cut(np.concatenate(bit_positions(keys[counts > 1], segments)))
         return pd.DataFrame({"segment": list(seen), "seen": [_payload(p) for p in seen.values()], "again": [_payload(again.get(s, np.empty(0, np.int64))) for s in seen]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,11 +140,12 @@ def _partition_bits(bits: int):
 
 
 def _merge_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by segment; one segment is held at a time."""
+    """Rows come sorted by segment; one segment is held at a time. A segment without a repeated bit has no row."""
     at, seen, again = None, None, None
 
     def done() -> pd.DataFrame:
-        return pd.DataFrame({"segment": [at], "again": [np.packbits(again).tobytes()]})
+        words = np.packbits(again, bitorder="little").view(np.int64)
+        return pd.DataFrame({"segment": [at], "words": [words]} if again.any() else {"segment": [], "words": []})
 
     for pdf in batches:
         for segment, s, a in pdf[["segment", "seen", "again"]].itertuples(index=False):
@@ -156,38 +160,43 @@ def _merge_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield done()
 
 
-def repeated_filter(spark: SparkSession, hashes: DataFrame, bits: int) -> np.ndarray:
-    """hashes: (h). The merged bits of hashes that may be repeated, packed: bits / 8 bytes, at most 64 MB."""
-    per_partition = hashes.mapInPandas(_partition_bits(bits), "segment long, seen binary, again binary")
-    tasks = max(1, min(bits // SEGMENT_BITS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    merged = per_partition.repartition(tasks, "segment").sortWithinPartitions("segment").mapInPandas(_merge_segments, "segment long, again binary")
-    packed = np.zeros(bits // 8, np.uint8)
-    for segment, again in merged.collect():  # bits / 8 bytes in all
-        packed[segment * SEGMENT_BITS // 8 : (segment + 1) * SEGMENT_BITS // 8] = np.frombuffer(again, np.uint8)
-    return packed
-
-
-def mark_possible_repeats(spark: SparkSession, prints: DataFrame) -> DataFrame:
-    """prints with maybe: false where the fingerprint certainly comes once."""
-    bits = filter_bits(prints.count())
-    packed = spark.sparkContext.broadcast(repeated_filter(spark, prints.select("h").filter("h is not null"), bits))
-
-    @F.pandas_udf("boolean")
-    def maybe(h: pd.Series) -> pd.Series:
-        table = packed.value
-        hit = np.ones(len(h), bool)
-        for p in bit_positions(h.to_numpy(np.int64), bits):
-            hit &= (table[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
-        return pd.Series(hit)
-
-    # a null among them would turn the 64-bit integers of a batch into floats
-    return prints.withColumn("maybe", F.col("h").isNotNull() & maybe(F.coalesce("h", F.lit(0).cast("long"))))
+def repeated_bits(hashes: DataFrame, segments: int) -> DataFrame:
+    """hashes: (h). (segment, words): the merged bits that may be repeated, as 64-bit words."""
+    tasks = int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    per_partition = hashes.mapInPandas(_partition_bits(segments), "segment long, seen binary, again binary")
+    merged = per_partition.repartition(tasks, "segment").sortWithinPartitions("segment")
+    return merged.mapInPandas(_merge_segments, "segment long, words array<long>")
+
+
+def _is_set(place: Column) -> Column:
+    """Whether the bit at this place of the joined segment is set."""
+    word = F.get("words", F.shiftrightunsigned(place, 6).cast("int"))
+    return F.call_function("shiftright", word, place.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def mark_possible_repeats(scratch: Scratch, prints: DataFrame, rows: int) -> DataFrame:
+    """prints: (line_no, fp, h), rows: how many there are at most. (line_no, fp, maybe): maybe is false where the fingerprint certainly comes once."""
+    segments = segments_for(rows)
+    ranges = -(-segments // RANGE_SEGMENTS)
+    at = F.floor(segment_of(F.col("h"), segments) / RANGE_SEGMENTS).cast("int")
+    # null hashes go with the first range
+    laid = scratch.keep(prints.withColumn("range", F.coalesce(at, F.lit(0))), by="range" if ranges > 1 else None)
+    first = F.shiftrightunsigned(F.col("h").bitwiseAND(F.lit((1 << 44) - 1)), 24)
+    second = F.shiftrightunsigned("h", 44)
+    marked = []
+    for n in range(ranges):
+        own = laid.filter(F.col("range") == n)
+        bits = scratch.keep(repeated_bits(own.select("h").filter("h is not null"), segments))
+        hit = own.withColumn("segment", segment_of(F.col("h"), segments)).join(F.broadcast(bits), "segment", "left")
+        maybe = F.coalesce(_is_set(first) & _is_set(second), F.lit(False))
+        marked.append(scratch.keep(hit.select("line_no", "fp", maybe.alias("maybe"))))
+        scratch.drop(bits)
+    return scratch.together(marked)
 
 
 def _grouped(spark: SparkSession, memories: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     scratch = Scratch(spark, "formatting")
-    prints = scratch.keep(fingerprints(memories))
-    marked = scratch.keep(mark_possible_repeats(spark, prints))
+    marked = mark_possible_repeats(scratch, fingerprints(memories), memories.count())
     repeats = marked.filter("maybe").select("line_no", "fp")
     groups = repeats.groupBy("fp").agg(F.min("line_no").alias("first_line_no"), F.count("*").alias("n_copies"))
     return marked, repeats, groups

@@ -6,10 +6,10 @@ import json
 import random
 import re
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from lorebase.llm import components, formatting, survivors
+from lorebase.session import Scratch
 
 MEM = "line_no long, mem_type string, scope string, content string, extra string"
 T0 = dt.datetime(2024, 1, 1)
@@ -64,18 +64,29 @@ def test_one_group_of_a_third_and_no_rows(spark):
     assert formatting.collapsed(spark, rows.limit(0)).count() == 0
 
 
-def test_filter_never_loses_a_repeat_even_when_full(spark):
-    r = np.random.default_rng(2)
-    h = r.integers(-(2**63), 2**63 - 1, 3000, dtype=np.int64)
-    both = np.concatenate([h, h[:500]])
-    bits = formatting.MIN_BITS
-    df = spark.createDataFrame([(int(x),) for x in both], "h long").repartition(6)
-    packed = formatting.repeated_filter(spark, df, bits)
-    hit = np.ones(len(h), bool)
-    for p in formatting.bit_positions(h, bits):
-        hit &= (packed[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
-    assert hit[:500].all() and hit[500:].mean() < 0.05
-    assert formatting.filter_bits(10**12) == formatting.MAX_BITS
+def _marked(spark, h, monkeypatch, segments_at_once):
+    monkeypatch.setattr(formatting, "RANGE_SEGMENTS", segments_at_once)
+    n = h.count()
+    prints = h.select(F.monotonically_increasing_id().alias("line_no"), F.col("h").cast("string").cast("binary").alias("fp"), "h")
+    marked = formatting.mark_possible_repeats(Scratch(spark, "t"), prints, n)
+    return marked.join(prints.groupBy("fp").agg(F.count("*").alias("n")), "fp").agg(
+        F.count_if(F.expr("n > 1 and not maybe")).alias("lost"), F.avg(F.when(F.col("n") == 1, F.col("maybe").cast("int"))).alias("in_vain"), F.count("*").alias("all")
+    ).first(), n
+
+
+def test_filter_never_loses_a_repeat(spark, monkeypatch):
+    h = spark.range(3000).select(F.xxhash64("id").alias("h"))
+    got, n = _marked(spark, h.unionByName(h.limit(500)).repartition(6), monkeypatch, 512)
+    assert got.lost == 0 and got["all"] == n and got.in_vain < 0.05
+
+
+def test_singletons_stay_put_at_a_hundred_times_the_rows(spark, monkeypatch):
+    """15,000 rows fill one segment; 1,500,000 take 23 of them, in six ranges of four."""
+    for rows in (15_000, 1_500_000):
+        h = spark.range(rows).select(F.xxhash64(F.when(F.col("id") % 20 == 0, F.col("id") - F.col("id") % 200).otherwise(F.col("id"))).alias("h"))
+        got, n = _marked(spark, h, monkeypatch, 4)
+        assert got.lost == 0 and got["all"] == n and got.in_vain < 0.05
+    assert formatting.segments_for(10**11) == -(-(10**11) * formatting.BITS_A_ROW // formatting.SEGMENT_BITS)
 
 
 def uid(n):

@@ -131,14 +131,51 @@ def test_survivors_match_brute_force(spark):
     assert survivors.providers(p.limit(0), m).count() == 0 and survivors.survivors(p, m.limit(0)).count() == 0
 
 
+def _ahead(a, b):
+    """Whether (level, sure, recent, id) a dominates b."""
+    return a[0] <= b[0] and a[1] >= b[1] and a[2] >= b[2] and (a[:3] != b[:3] or a[3] < b[3])
+
+
 def test_skyline_matches_pairwise_dominance(spark):
     r = random.Random(6)
     rows = [(k, f"m{n}", r.randrange(4), float(r.randrange(4)), r.randrange(5)) for k in range(3) for n in range(40)]
     df = spark.createDataFrame(rows, "k int, mem_id string, level int, sure double, recent long")
-    got = {(x.k, x.level, x.sure, x.recent) for x in survivors.skyline(df, ["k"], salts=4).collect()}
-    better = lambda a, b: a[2] <= b[2] and a[3] >= b[3] and a[4] >= b[4] and a[2:] != b[2:]
-    want = {(b[0], *b[2:]) for b in rows if not any(a[0] == b[0] and better(a, b) for a in rows)}
-    assert got == want
+    want = {b[:2] for b in rows if not any(a[0] == b[0] and _ahead((*a[2:], a[1]), (*b[2:], b[1])) for a in rows)}
+    for part in (1, 1000):  # every group cut into parts, and none
+        flagged = survivors.flag_undominated(Scratch(spark, "t"), df, ["k"], part)
+        assert {(x.k, x.mem_id) for x in flagged.filter("top").collect()} == want
+        assert flagged.count() == len(rows)
+
+
+def test_a_group_of_a_third_of_all_rows_whose_members_do_not_dominate_each_other(spark):
+    n = 3000
+    hot = spark.range(n).select(F.lit("hot").alias("k"), F.format_string("m%06d", "id").alias("mem_id"), F.lit(1).alias("level"), (F.col("id") / n).alias("sure"), (n - F.col("id")).alias("recent"))
+    rest = spark.range(2 * n).select(F.format_string("k%d", F.floor(F.col("id") / 2)).alias("k"), F.format_string("m%06d", "id").alias("mem_id"), F.lit(1).alias("level"), (F.col("id") % 2 / 2).alias("sure"), F.col("id").alias("recent"))
+    flagged = survivors.flag_undominated(Scratch(spark, "t"), hot.unionByName(rest), ["k"], part=100)
+    got = {x.k: x.n for x in flagged.filter("top").groupBy((F.col("k") == "hot").alias("k")).agg(F.count("*").alias("n")).collect()}
+    assert got == {True: n, False: n}
+
+
+def test_layers_are_peeled_and_at_most_one_a_field(spark):
+    r = random.Random(8)
+    fields = survivors.FIELDS
+    rows = [(f"p{k}", f"m{n}", r.randrange(4), float(r.randrange(3)), r.randrange(4), *((f"m{n}",) + tuple(r.choice([None, None, "v"]) for _ in fields[1:]))) for k in range(20) for n in range(12)]
+    df = spark.createDataFrame(rows, "proposal_id string, mem_id string, level int, sure double, recent long, " + ", ".join(f"{f} string" for f in fields))
+    scratch = Scratch(spark, "t")
+    front = scratch.keep(survivors.fronts(scratch, df))
+    got = {(x.proposal_id, x.mem_id): x.layer for x in survivors.layers(scratch, front).collect()}
+    want = {}
+    for p in {x[0] for x in rows}:
+        own = [x for x in rows if x[0] == p]
+        key = lambda x: (*x[2:5], x[1])
+        left = {x for j in range(len(fields)) for x in own if x[5 + j] and not any(y[5 + j] and _ahead(key(y), key(x)) for y in own)}
+        n = 0
+        while left:
+            n += 1
+            top = {x for x in left if not any(_ahead(key(y), key(x)) for y in left)}
+            want |= {(p, x[1]): n for x in top}
+            left -= top
+    assert got == want and 1 < max(want.values()) <= len(fields)
 
 
 def brute_groups(links):

@@ -1,27 +1,32 @@
 """References to records that do not exist, kept up incrementally.
 
-State: a parent index (one row per record id: when it first arrived, its newest version and that version's status) and
-the references seen so far with their standing. A batch of arrivals touches only its own keys: new references
-probe the index, arriving parents resolve the references that waited for them, deletions reopen settled ones. Both tables live
-in the shared folder, so a batch starts from files.
+State, in a folder of the shared file system, all of it written once and never rewritten:
+
+* ``index``: per batch, one row per record id of that batch (when it first arrived, its newest version and that version's status). The batches so far are merged now and then
+  into a base, bucketed by id, whenever as many batches have come as it holds; so a row is merged a logarithm of times, and probes of the base shuffle the probing side only.
+* ``judged``: per batch, the references that were judged in it, with their standing and the one they had before. A reference counts with its last judgement.
+
+A batch touches its own keys only: new references probe the index; arriving parents call up the references that wait for them, deletions those that had been settled;
+all these are judged and appended. Counts over time are running sums of what each batch changed.
 
 Standing of a reference: ``absent`` (no such record so far), ``deleted`` (its newest version is deleted), ``late`` (the record came
 after the reference, which had waited for it), ``ok``.
 
 Defined results: null, empty and blank references name nothing and have no row; a reference that is no UUID is absent;
 repeated rows each count (they have their own ``line_no``); a null ``loaded_at`` is never late and makes no other late;
-null or odd ``status`` is not deleted; empty tables give empty results; extra columns are ignored.
+null or odd ``status`` is not deleted; batches may come in any order of time; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorebase.functions.ids import canonical_id, said
-from lorebase.session import Scratch
+from lorebase.session import Scratch, exists
 
 #: (table, field that names a memory)
 REFERENCES = (
@@ -31,6 +36,11 @@ REFERENCES = (
     ("memory_refs", "memory_id"),
 )
 REF_COLUMNS = ["src_table", "line_no", "ref_field", "target", "loaded_at"]
+REF_KEY = ["src_table", "line_no", "ref_field", "target"]
+INDEX = "id string, first_loaded timestamp, newest struct<updated_at:timestamp,line_no:bigint,status:string>, batch int"
+JUDGED = "src_table string, line_no long, ref_field string, target string, loaded_at timestamp, was string, batch int, standing string"
+#: Months of arrivals that one batch takes, the period of the reports.
+MONTHS = 1
 
 
 def references(tables: dict[str, DataFrame]) -> DataFrame:
@@ -51,14 +61,12 @@ def references(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def parent_rows(memories: DataFrame) -> DataFrame:
-    """One row per id of this batch: id, first_loaded, newest (updated_at, line_no, status)."""
-    return _merge_parents(
-        memories.select(
-            canonical_id("id").alias("id"),
-            F.col("loaded_at").alias("first_loaded"),
-            F.struct("updated_at", "line_no", said("status").alias("status")).alias("newest"),
-        ).filter("id is not null")
-    )
+    """The versions of records, narrow: id, first_loaded, newest (updated_at, line_no, status)."""
+    return memories.select(
+        canonical_id("id").alias("id"),
+        F.col("loaded_at").alias("first_loaded"),
+        F.struct("updated_at", F.col("line_no").cast("long").alias("line_no"), said("status").alias("status")).alias("newest"),
+    ).filter("id is not null")
 
 
 def _merge_parents(rows: DataFrame) -> DataFrame:
@@ -75,48 +83,134 @@ def _standing() -> Column:
 
 
 class OrphanTracker:
-    """Keyed orphan state over a sequence of batches; see the module text."""
+    """Keyed orphan state over a sequence of batches; see the module text.
+
+    With a ``folder`` the state outlives the session: each batch ends with a note of its number, a tracker on the same folder takes up behind the last note, and
+    a batch that comes again under a number that is done changes nothing.
+    """
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        self.spark = spark
         self.scratch = Scratch(spark, "orphans")
-        self.parents: DataFrame | None = None
-        self.refs: DataFrame | None = None
-
-    def advance(self, tables: dict[str, DataFrame]) -> DataFrame:
-        """Takes one batch of arrivals and gives the references as they stand after it: REF_COLUMNS + standing.
-
-        ``tables`` may hold any of memories, memory_edges and memory_refs.
-        """
-        new_refs = references(tables)
-        parents, touched = self.parents, None
-        if "memories" in tables:
-            arrived = parent_rows(tables["memories"])
-            if parents is None:
-                parents = self.scratch.keep(arrived)
-            else:
-                touched = self.scratch.keep(arrived)
-                parents = self.scratch.keep(_merge_parents(parents.unionByName(touched)))
-        if parents is None:
-            raise ValueError("the first batch must hold memories (the table may be empty)")
-        if self.refs is None:
-            refs = self._probe(new_refs, parents)
-        elif touched is None:
-            refs = self.refs.unionByName(self._probe(new_refs, parents))
-        else:
-            # references whose parent has a new version are judged again, the others keep their standing
-            old = self.refs.join(touched.select(F.col("id").alias("target"), F.lit(True).alias("again")), "target", "left")
-            again = old.filter("again").select(*REF_COLUMNS)
-            kept = old.filter("again is null").select(*REF_COLUMNS, "standing")
-            refs = kept.unionByName(self._probe(new_refs.unionByName(again), parents))
-        refs = self.scratch.keep(refs)
-        self.scratch.drop(touched, self.refs, self.parents if parents is not self.parents else None)
-        self.parents, self.refs = parents, refs
-        return refs
+        self.folder = folder or self.scratch.root
+        self.lasting = folder is not None
+        self.n = 0
+        self._base: tuple[str, int] | None = None  # table of the merged index, the batch it goes up to
+        if self.lasting and exists(spark, f"{folder}/done"):
+            self._take_up()
+
+    def advance(self, tables: dict[str, DataFrame], batch_no: int | None = None) -> None:
+        """Takes one batch of arrivals; ``tables`` may hold any of memories, memory_edges and memory_refs."""
+        parents = parent_rows(tables["memories"]) if "memories" in tables else None
+        self.take(parents, references(tables), batch_no)
+
+    def take(self, parents: DataFrame | None, refs: DataFrame, batch_no: int | None = None) -> None:
+        """parents: as :func:`parent_rows`, refs: as :func:`references` gives them."""
+        if batch_no is not None and batch_no <= self.n:
+            return
+        n = self.n + 1
+        judge = refs.select(*REF_COLUMNS, F.lit(None).cast("string").alias("was"))
+        if parents is not None:
+            self._append(_merge_parents(parents), "index", n)
+            if self.n:
+                judge = judge.unionByName(self._called_up(self._index().filter(F.col("batch") == n)))
+        judge = self.scratch.keep(judge)
+        # a hot target is looked up once
+        found = self._lookup(judge.select(F.col("target").alias("id")).distinct(), n).withColumnRenamed("id", "target")
+        judged = judge.join(found, "target", "left").select(*REF_COLUMNS, "was", _standing().alias("standing"))
+        self._append(judged.hint("rebalance"), "judged", n, by="standing")
+        self.scratch.drop(judge)
+        self.n = n
+        if self.lasting:
+            self.spark.range(1).select(F.lit(n).alias("n")).write.mode("overwrite").json(f"{self.folder}/done/{n:09d}")
+        if n - self._upto >= max(1, self._upto):
+            self._merge_index()
+
+    def refs(self) -> DataFrame:
+        """All references as they stand: REF_COLUMNS + standing."""
+        log = self._log()
+        return self._current(log, log).select(*REF_COLUMNS, "standing")
+
+    def orphans(self) -> DataFrame:
+        """Those that are absent, deleted or late; settled ones are not read."""
+        log = self._log()
+        return self._current(log.filter("standing <> 'ok'"), log).select(*REF_COLUMNS, "standing")
+
+    def snapshots(self) -> DataFrame:
+        """(batch_no, src_table, standing, n_orphans): open counts after each batch, from what each batch changed."""
+        log = self._log()
+        came = log.groupBy("batch", "src_table", "standing").agg(F.count("*").alias("d"))
+        went = log.filter("was is not null").groupBy("batch", "src_table", F.col("was").alias("standing")).agg((-F.count("*")).alias("d"))
+        # from here on a row per batch, table and standing
+        by = came.unionByName(went).filter("standing <> 'ok'").groupBy("src_table", "standing", "batch").agg(F.sum("d").alias("d"))
+        w = Window.partitionBy("src_table", "standing").orderBy("batch")
+        run = by.withColumn("n_orphans", F.sum("d").over(w)).withColumn("until", F.lead("batch", 1, self.n + 1).over(w) - 1)
+        each = run.select(F.explode(F.sequence("batch", "until")).alias("batch_no"), "src_table", "standing", "n_orphans")
+        return each.filter("n_orphans > 0")
+
+    # ---- state
+
+    @property
+    def _upto(self) -> int:
+        return self._base[1] if self._base else 0
+
+    def _append(self, df: DataFrame, kind: str, n: int, by: str | None = None) -> None:
+        # a batch that was broken off leaves files that its repetition replaces
+        df.write.mode("overwrite").parquet(f"{self.folder}/{kind}/batch={n}", partitionBy=by)
+
+    def _index(self) -> DataFrame:
+        at = f"{self.folder}/index"
+        if not exists(self.spark, at):
+            return self.spark.createDataFrame([], INDEX)
+        return self.spark.read.schema(INDEX).parquet(at)
+
+    def _log(self) -> DataFrame:
+        at = f"{self.folder}/judged"
+        if not exists(self.spark, at):
+            return self.spark.createDataFrame([], JUDGED)
+        return self.spark.read.schema(JUDGED).parquet(at).filter(F.col("batch") <= self.n)
 
     @staticmethod
-    def _probe(refs: DataFrame, parents: DataFrame) -> DataFrame:
-        index = parents.withColumnRenamed("id", "target")
-        return refs.join(index, "target", "left").select(*REF_COLUMNS, _standing().alias("standing"))
+    def _current(rows: DataFrame, log: DataFrame) -> DataFrame:
+        """Of rows of the log those that no later batch judged again."""
+        again = log.filter("was is not null").select(*(F.col(c).alias(f"_{c}") for c in REF_KEY), F.col("was").alias("_was"), F.col("batch").alias("_later"))
+        same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in REF_KEY))
+        return rows.join(again, same & (F.col("standing") == F.col("_was")) & (F.col("_later") > F.col("batch")), "left_anti")
+
+    def _called_up(self, arrived: DataFrame) -> DataFrame:
+        """The references that these parents may change: those that wait for one, and settled ones of a deleted one."""
+        ids = arrived.select(F.col("id").alias("target"), (F.col("newest.status") == "deleted").alias("gone"))
+        log = self._log()
+        waiting = log.filter("standing <> 'ok'").join(ids.select("target"), "target", "left_semi")
+        settled = log.filter("standing = 'ok'").join(ids.filter("gone").select("target"), "target", "left_semi")
+        return self._current(waiting.unionByName(settled), log).select(*REF_COLUMNS, F.col("standing").alias("was"))
+
+    def _lookup(self, keys: DataFrame, n: int) -> DataFrame:
+        """The index rows of some ids (id) as of batch n."""
+        rows = self._index().filter((F.col("batch") > self._upto) & (F.col("batch") <= n)).drop("batch")
+        rows = rows.join(keys, "id", "left_semi")
+        if self._base:
+            rows = rows.unionByName(self.spark.table(self._base[0]).join(keys, "id", "left_semi"))
+        return _merge_parents(rows)
+
+    def _merge_index(self) -> None:
+        """Merges all batches so far into a new base. Its buckets are those of the session's shuffles."""
+        rows = self._index().filter((F.col("batch") > self._upto) & (F.col("batch") <= self.n)).drop("batch")
+        if self._base:
+            rows = rows.unionByName(self.spark.table(self._base[0]))
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        name = f"orphan_index_{uuid.uuid4().hex}"
+        merged = _merge_parents(rows.repartition(buckets, "id"))
+        merged.write.format("parquet").bucketBy(buckets, "id").sortBy("id").option("path", f"{self.scratch.root}/{name}").saveAsTable(name)
+        old, self._base = self._base, (name, self.n)
+        if old:
+            self.spark.sql(f"DROP TABLE {old[0]}")
+            self.scratch.remove(old[0])
+
+    def _take_up(self) -> None:
+        self.n = self.spark.read.schema("n int").json(f"{self.folder}/done/*").agg(F.max("n")).first()[0] or 0
+        if self.n:
+            self._merge_index()
 
 
 def orphans(refs: DataFrame) -> DataFrame:
@@ -131,39 +225,31 @@ def count_by_period(refs: DataFrame, unit: str = "month") -> DataFrame:
     return orphans(refs).groupBy(*keys).agg(F.count("*").alias("n_orphans"))
 
 
-def arrival_batches(tables: dict[str, DataFrame], months: int = 12) -> list[Column]:
-    """Conditions on ``loaded_at`` that cut the tables into batches of so many months, in order; the last also takes what has no time.
-
-    Only the first and the last arrival come to the driver; there are as many batches as periods between them.
-    """
+def arrival_batches(tables: dict[str, DataFrame], months: int = MONTHS) -> tuple[Column, list[str]]:
+    """The number of the batch (from 1) that a ``loaded_at`` falls into, and the first day of each batch: periods of so many months between the first and the
+    last arrival, which alone come to the driver. What has no time comes with the last."""
     times = reduce(DataFrame.unionByName, (t.select("loaded_at") for t in tables.values()))
     lo, hi = times.agg(F.min("loaded_at"), F.max("loaded_at")).first()
     if lo is None:
-        return [F.lit(True)]
+        return F.lit(1), [""]
     first, last = ((t.year * 12 + t.month - 1) // months for t in (lo, hi))
-    starts = [F.make_timestamp(*(F.lit(x) for x in (k * months // 12, k * months % 12 + 1, 1, 0, 0, 0))) for k in range(first + 1, last + 1)]
-    at, conditions = F.col("loaded_at"), []
-    for k in range(len(starts) + 1):
-        c = F.lit(True)
-        if k:
-            c = c & (at >= starts[k - 1])
-        if k < len(starts):
-            c = c & (at < starts[k])
-        conditions.append(c)
-    conditions[-1] = conditions[-1] | at.isNull()
-    return conditions
-
-
-def track(spark: SparkSession, tables: dict[str, DataFrame], months: int = 12) -> tuple[DataFrame, list[DataFrame]]:
-    """Runs the tables through an OrphanTracker in order of arrival.
-
-    Gives the references as they stand at the end, and a snapshot of open counts (batch_no, src_table, standing, n) after each batch.
+    number = F.floor((F.year("loaded_at") * 12 + F.month("loaded_at") - 1) / months).cast("int") - first + 1
+    days = [f"{k * months // 12:04d}-{k * months % 12 + 1:02d}-01" for k in range(first, last + 1)]
+    return F.coalesce(number, F.lit(len(days))), days
+
+
+def track(spark: SparkSession, tables: dict[str, DataFrame], months: int = MONTHS) -> tuple[OrphanTracker, list[str]]:
+    """Runs the tables through an OrphanTracker in order of arrival. Gives the tracker and the first day of each batch.
+
+    The narrow columns of all rows are laid down by batch first, so a batch reads its own rows only.
     """
-    tracker, snapshots = OrphanTracker(spark), []
-    refs = None
-    for k, when in enumerate(arrival_batches(tables, months)):
-        refs = tracker.advance({name: t.filter(when) for name, t in tables.items()})
-        counted = orphans(refs).groupBy("src_table", "standing").agg(F.count("*").alias("n_orphans"))
-        kept = tracker.scratch.keep(counted.select(F.lit(k + 1).alias("batch_no"), "*"))
-        snapshots.append(kept)
-    return refs, snapshots
+    tracker = OrphanTracker(spark)
+    number, days = arrival_batches(tables, months)
+    at = number.alias("batch")
+    parents = parent_rows(tables["memories"]).withColumn("loaded_at", F.col("first_loaded")).select("id", "first_loaded", "newest", at)
+    refs = references(tables).select(*REF_COLUMNS, at)
+    parents, refs = (tracker.scratch.keep(x.hint("rebalance", F.col("batch")), by="batch") for x in (parents, refs))
+    for n in range(1, len(days) + 1):
+        own = F.col("batch") == n
+        tracker.take(parents.filter(own).drop("batch"), refs.filter(own).drop("batch"))
+    return tracker, days

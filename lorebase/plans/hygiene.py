@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,18 +14,20 @@ def _archive(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    refs, _ = orphans.track(spark, _archive(spark, folder))
-    return orphans.orphans(refs).select("src_table", "line_no", "ref_field")
+    tracker, _ = orphans.track(spark, _archive(spark, folder))
+    return tracker.orphans().select("src_table", "line_no", "ref_field")
 
 
 def p1_by_period(spark: SparkSession, folder: str) -> DataFrame:
-    refs, _ = orphans.track(spark, _archive(spark, folder))
-    return orphans.count_by_period(refs)
+    tracker, _ = orphans.track(spark, _archive(spark, folder))
+    return orphans.count_by_period(tracker.orphans())
 
 
 def p1_snapshots(spark: SparkSession, folder: str) -> DataFrame:
-    _, snapshots = orphans.track(spark, _archive(spark, folder))
-    return reduce(DataFrame.unionByName, snapshots)
+    """Open references at the end of each month of arrivals."""
+    tracker, days = orphans.track(spark, _archive(spark, folder))
+    period = F.element_at(F.array(*(F.lit(d) for d in days)), F.col("batch_no"))
+    return tracker.snapshots().select(period.alias("period"), "src_table", "standing", "n_orphans")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,7 +70,17 @@ fin AS (SELECT id, arg_max(here, d) here, max(d) d, arg_max(seen, d) seen, arg_m
 found AS (SELECT id, CASE WHEN cyc THEN list_min(list_slice(seen, list_position(seen, here), len(seen))) ELSE here END root,
   CASE WHEN cyc THEN -1 ELSE d END::BIGINT depth, path, cyc FROM fin)"""
 
+_STANDING = "CASE WHEN p.id IS NULL THEN 'absent' WHEN p.st = 'deleted' THEN 'deleted' WHEN p.first_loaded > r.loaded_at THEN 'late' ELSE 'ok' END"
+# what had arrived by the end of each month; what has no time comes with the last
+_BY_MONTH = f"""WITH {_REFS}, months AS (SELECT unnest(generate_series(date_trunc('month', lo), date_trunc('month', hi), INTERVAL 1 MONTH)) m, date_trunc('month', hi) last
+  FROM (SELECT min(loaded_at) lo, max(loaded_at) hi FROM (SELECT loaded_at FROM memories UNION ALL SELECT loaded_at FROM memory_edges UNION ALL SELECT loaded_at FROM memory_refs))),
+vers AS (SELECT {cid('id')} id, loaded_at, coalesce(lower(trim(status)), '') st, (epoch_us(updated_at)::HUGEINT * 1000000000 + line_no) k FROM memories),
+pm AS (SELECT m, id, min(loaded_at) first_loaded, arg_max(st, k) st FROM months JOIN vers ON loaded_at < m + INTERVAL 1 MONTH OR (loaded_at IS NULL AND m = last) GROUP BY m, id),
+rm AS (SELECT m, r.* FROM months JOIN refs r ON r.loaded_at < m + INTERVAL 1 MONTH OR (r.loaded_at IS NULL AND m = last) WHERE r.target IS NOT NULL),
+jm AS (SELECT r.m, r.src_table, {_STANDING} standing FROM rm r LEFT JOIN pm p ON p.id = r.target AND p.m = r.m)"""
+
 ORACLE = {
+    "p1_snapshots": f"{_BY_MONTH} SELECT strftime(m, '%Y-%m-%d') period, src_table, standing, count(*) n_orphans FROM jm WHERE standing <> 'ok' GROUP BY ALL",
     "p1_found": f"{JUDGED} SELECT src_table, line_no, ref_field FROM judged WHERE standing <> 'ok'",
     "p1_by_period": f"{JUDGED} SELECT src_table, ref_field, strftime(date_trunc('month', loaded_at), '%Y-%m-%d') period, standing, count(*) n_orphans FROM judged WHERE standing <> 'ok' GROUP BY ALL",
     "p6_found": f"WITH RECURSIVE {_LINKS} SELECT id mem_id, root root_id, depth FROM found",

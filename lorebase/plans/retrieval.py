@@ -500,7 +500,8 @@ def stream_bind_sessions(spark, folder):
 def stream_orphans(spark, folder):
     """The orphan state kept by a stream of memory lines."""
     others = {n: table(spark, folder, n) for n in ("memory_edges", "memory_refs")}
-    return jobs.track_orphans(spark, jobs.stream(spark, folder, "memories"), others).groupBy("src_table", "standing").agg(F.count("*").alias("n"))
+    tracker = jobs.track_orphans(spark, jobs.stream(spark, folder, "memories"), others, Scratch(spark, "stream").root)
+    return tracker.refs().groupBy("src_table", "standing").agg(F.count("*").alias("n"))
 
 
 QUERIES, ORACLE = book.QUERIES, book.ORACLE

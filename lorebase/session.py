@@ -74,6 +74,11 @@ def _remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 class Scratch:
     """Tables written to the shared folder so that later stages start from files.
 
@@ -108,6 +113,10 @@ class Scratch:
             if path:
                 _remove(self.spark, path)
 
+    def remove(self, name: str) -> None:
+        """Removes what was written below the root under a name of its own."""
+        _remove(self.spark, f"{self.root}/{name}")
+
     def _forget(self) -> None:
         try:
             _remove(self.spark, self.root)

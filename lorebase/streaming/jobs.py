@@ -54,9 +54,9 @@ def run_updates(df: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return last[-1]
 
 
-def run_batches(df: DataFrame, scratch: Scratch, name: str, each) -> None:
+def run_batches(df: DataFrame, checkpoint: str, each) -> None:
     """Runs a stream over what is there and hands each micro-batch to ``each(frame, batch_no)``."""
-    q = df.writeStream.foreachBatch(each).option("checkpointLocation", f"{scratch.root}/{name}-state").trigger(availableNow=True).start()
+    q = df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
@@ -97,12 +97,15 @@ def bind_first(rows: DataFrame, key: str, value: str, order: list[str]) -> DataF
     return rows.filter(f"{key} is not null").groupBy(key).applyInPandasWithState(step, out, f"{value} string, n long", "update", GroupStateTimeout.NoTimeout)
 
 
-def track_orphans(spark: SparkSession, memories: DataFrame, others: dict[str, DataFrame]) -> DataFrame:
-    """The orphan state after a stream of memories; the other tables come with the first batch."""
-    tracker = OrphanTracker(spark)
+def track_orphans(spark: SparkSession, memories: DataFrame, others: dict[str, DataFrame], folder: str) -> OrphanTracker:
+    """The orphan state after a stream of memories; the other tables come with the first batch.
+
+    State and checkpoint are in ``folder``: a stream that is started on it again goes on behind the last batch, and a micro-batch that is replayed counts once.
+    """
+    tracker = OrphanTracker(spark, f"{folder}/state")
 
     def each(batch: DataFrame, n: int) -> None:
-        tracker.advance({"memories": batch} | (others if tracker.refs is None else {}))
+        tracker.advance({"memories": batch} | (others if tracker.n == 0 else {}), n + 1)
 
-    run_batches(memories, tracker.scratch, "memories", each)
-    return tracker.refs
+    run_batches(memories, f"{folder}/checkpoint", each)
+    return tracker

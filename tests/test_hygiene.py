@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
 from lorebase.operators import hierarchy, orphans
 
 MEM = "line_no long, id string, status string, supersedes string, updated_at timestamp, loaded_at timestamp"
@@ -60,40 +62,94 @@ def frames(spark, mem, edge, refs):
     return {"memories": spark.createDataFrame(mem, MEM), "memory_edges": spark.createDataFrame(edge, EDGE), "memory_refs": spark.createDataFrame(refs, REF)}
 
 
+def found(tracker):
+    return {tuple(r) for r in tracker.orphans().select("src_table", "line_no", "ref_field").collect()}
+
+
 def test_orphans_match_brute_force_however_batches_are_cut(spark):
-    for seed, months, batches in ((1, 12, 3), (2, 6, 5)):
+    for seed, months, batches in ((1, 12, 3), (2, 4, 8)):
         data = random_archive(seed)
-        got, snapshots = orphans.track(spark, frames(spark, *data), months)
-        rows = {tuple(r) for r in orphans.orphans(got).select("src_table", "line_no", "ref_field").collect()}
-        assert rows == brute_orphans(*data)
-        assert len(snapshots) == batches
+        tracker, days = orphans.track(spark, frames(spark, *data), months)
+        assert found(tracker) == brute_orphans(*data)
+        assert len(days) == batches == tracker.n
+        # the last snapshot is what stands now, and what was settled is not among the orphans
+        last = {(r.src_table, r.standing): r.n_orphans for r in tracker.snapshots().filter(f"batch_no = {batches}").collect()}
+        now = tracker.refs().filter("standing <> 'ok'").groupBy("src_table", "standing").count().collect()
+        assert last == {(r.src_table, r.standing): r["count"] for r in now}
+
+
+def test_batches_in_any_order_and_taken_up_by_another_tracker(spark, tmp_path):
+    mem, edge, refs = random_archive(3)
+    # rows without a line number are told apart by what they name
+    edge = [(None, *e[1:]) if n % 9 == 0 else e for n, e in enumerate(edge)]
+    r = random.Random(3)
+    rows = [("memories", x) for x in mem] + [("memory_edges", x) for x in edge] + [("memory_refs", x) for x in refs]
+    r.shuffle(rows)
+    folder = f"file://{tmp_path}/state"
+    for k in range(5):
+        part = [x for n, x in enumerate(rows) if n % 5 == k]
+        tables = frames(spark, *([x for t, x in part if t == name] for name in ("memories", "memory_edges", "memory_refs")))
+        tracker = orphans.OrphanTracker(spark, folder)
+        assert tracker.n == k
+        tracker.advance(tables, k + 1)
+        tracker.advance(tables, k + 1)  # comes again
+    assert tracker.n == 5 and tracker.refs().count() == sum(plain(v) is not None for v in [m[3] for m in mem] + [v for e in edge for v in e[1:3]] + [x[1] for x in refs])
+    assert found(tracker) == brute_orphans(mem, edge, refs)
 
 
 def test_parents_resolve_and_deletions_reopen(spark):
     t = orphans.OrphanTracker(spark)
     empty = spark.createDataFrame([], MEM)
     refs = spark.createDataFrame([(1, uid(7), T0)], REF)
-    standing = lambda f: [r.standing for r in f.collect()]
-    assert standing(t.advance({"memories": empty, "memory_refs": refs})) == ["absent"]
-    arrived = spark.createDataFrame([(2, uid(7), "active", None, T0, T0)], MEM)
-    assert standing(t.advance({"memories": arrived})) == ["ok"]
-    deleted = spark.createDataFrame([(3, uid(7), "DELETED", None, T0 + dt.timedelta(1), T0)], MEM)
-    assert standing(t.advance({"memories": deleted})) == ["deleted"]
+
+    def standing(tables):
+        t.advance(tables)
+        return [r.standing for r in t.refs().collect()]
+
+    assert standing({"memories": empty, "memory_refs": refs}) == ["absent"]
+    assert standing({"memories": spark.createDataFrame([(2, uid(7), "active", None, T0, T0)], MEM)}) == ["ok"]
+    assert standing({"memories": spark.createDataFrame([(3, uid(7), "DELETED", None, T0 + dt.timedelta(2), T0)], MEM)}) == ["deleted"]
+    # an older version changes nothing, a newer one settles it again
+    assert standing({"memories": spark.createDataFrame([(4, uid(7), "active", None, T0 + dt.timedelta(1), T0)], MEM)}) == ["deleted"]
+    assert standing({"memories": spark.createDataFrame([(5, uid(7), "active", None, T0 + dt.timedelta(3), T0)], MEM)}) == ["ok"]
+    counts = {(r.batch_no, r.standing): r.n_orphans for r in t.snapshots().collect()}
+    assert counts == {(1, "absent"): 1, (3, "deleted"): 1, (4, "deleted"): 1}
+
+
+def test_a_hot_parent_that_a_third_of_all_references_name(spark):
+    n = 3000
+    refs = spark.range(n).select(F.col("id").alias("line_no"), F.when(F.col("id") % 3 == 0, uid(1)).otherwise(F.format_string("00000000-0000-0000-0001-%012x", "id")).alias("memory_id"), F.lit(T0).alias("loaded_at"))
+    t = orphans.OrphanTracker(spark)
+    t.advance({"memories": spark.createDataFrame([], MEM), "memory_refs": refs})
+    t.advance({"memories": spark.createDataFrame([(n, uid(1), "active", None, T0, T0)], MEM)})
+    assert {r.standing: r["count"] for r in t.refs().groupBy("standing").count().collect()} == {"ok": 1000, "absent": 2000}
+
+
+def test_a_stream_that_stops_goes_on_where_it_was(spark, tmp_path):
+    from lorebase.streaming import jobs
+
+    mem, edge, refs = random_archive(4)
+    others = {k: v for k, v in frames(spark, [], edge, refs).items() if k != "memories"}
+    for part in (mem[:50], mem[50:]):
+        spark.createDataFrame(part, MEM).coalesce(1).write.mode("append").parquet(f"{tmp_path}/memories.parquet")
+        # each time a new stream and a new tracker on the same folder
+        tracker = jobs.track_orphans(spark, jobs.stream(spark, str(tmp_path), "memories"), others, f"file://{tmp_path}/run")
+    assert tracker.n == 2 and found(tracker) == brute_orphans(mem, edge, refs)
 
 
 def test_columns_of_clashing_names_change_nothing(spark):
     data = frames(spark, *random_archive(5))
-    odd = {n: t.selectExpr("*", *(f"'x' as {c}" for c in ("target", "standing", "newest", "first_loaded", "again", "src_table", "ref_field", "ptr", "low", "p", "parent", "root", "depth", "path"))) for n, t in data.items()}
-    plain, clash = (orphans.track(spark, d)[0] for d in (data, odd))
+    odd = {n: t.selectExpr("*", *(f"'x' as {c}" for c in ("target", "standing", "was", "batch", "newest", "first_loaded", "again", "src_table", "ref_field", "ptr", "low", "p", "parent", "root", "depth", "path"))) for n, t in data.items()}
+    plain, clash = (orphans.track(spark, d, 12)[0].refs() for d in (data, odd))
     assert sorted(map(str, plain.collect())) == sorted(map(str, clash.collect()))
     a, b = (hierarchy.full_hierarchy(spark, d["memories"]) for d in (data, odd))
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 
 
 def test_orphans_of_empty_tables(spark):
-    got, _ = orphans.track(spark, frames(spark, [], [], []))
-    assert got.count() == 0
-    assert orphans.count_by_period(got).count() == 0
+    tracker, _ = orphans.track(spark, frames(spark, [], [], []))
+    assert tracker.refs().count() == 0
+    assert orphans.count_by_period(tracker.refs()).count() == 0 and tracker.snapshots().count() == 0
 
 
 def brute_tree(parent):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,13 +40,17 @@ def _p4(spark: SparkSession, folder: str) -> DataFrame:
     return pii.texts(table(spark, folder, "memories"), table(spark, folder, "sessions"))
 
 
+def _secret(spark: SparkSession) -> str:
+    """The secret of the session; without one a secret of this run alone, so that nobody can undo what it keyed."""
+    return spark.conf.get("spark.lorebase.pii.secret", None) or secrets.token_hex(32)
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return pii.found(_p4(spark, folder))
+    return pii.linked(_p4(spark, folder), _secret(spark)).drop("pseudonym")
 
 
 def p4_redacted(spark: SparkSession, folder: str) -> DataFrame:
-    secret = spark.conf.get("spark.lorebase.pii.secret", "not secret: set spark.lorebase.pii.secret")
-    return pii.redacted(_p4(spark, folder), secret)
+    return pii.redacted(_p4(spark, folder), _secret(spark))
 
 
 def _p5(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,10 +1,9 @@
 """Template residue, filler, error pages and script notices.
 
-Code (fences, indented fences, inline code) is blanked out. One automaton over what is left finds the openers of slots and the phrases and words below; a text without
-a hit is clean. The lines with hits are looked at in segments (lines and their sentences): a segment is residue when
-phrases cover most of it. An unfilled slot counts wherever it stands outside code. So coverage is judged against the length of
-the segment, and a long real text with one such segment is found as well as a short one that is nothing else; a real sentence that speaks about such things
-is covered in part only.
+Code (fences, indented fences, inline code) is blanked out. One automaton, whose words carry their types, finds the openers of slots and the phrases and words below in what is left; a text
+without a hit is clean. Coverage is judged twice: against the length of each segment with hits (a line, else its sentences), so that a long real text with one such segment
+is found as well as a short one that is nothing else, and against the length of the document, so that phrases strewn over many segments count together. An unfilled slot counts
+wherever it stands outside code. A real sentence that speaks about such things is covered in part only. The same rules hold at every length.
 
 Defined results: null, empty and blank texts are clean; the length of a text does not matter; extra columns are ignored; a null ``doc_id`` stays.
 """
@@ -53,10 +52,26 @@ ERROR_PHRASES = (
     "サーバーエラーが発生しました", "しばらくしてから再度お試しください", "ページが見つかりません", "アクセスが拒否されました", "ただいまメンテナンス中です",
 )
 
+# fixed values: stock texts of common servers, and of error pages in other languages
+SERVER_PHRASES = (
+    "the requested url was not found on this server", "the requested resource could not be found", "the resource you are looking for has been removed", "had its name changed, or is temporarily unavailable",
+    "service temporarily unavailable", "the server is temporarily unable to service your request", "due to maintenance downtime or capacity problems", "please try again later", "additionally, a", "error was encountered while trying to use an errordocument to handle the request",
+    "the server encountered an internal error or misconfiguration and was unable to complete your request", "internal error", "the page you were looking for doesn't exist", "you may have mistyped the address or the page may have moved",
+    "we're sorry, but something went wrong", "server error in", "runtime error", "temporarily unavailable", "the proxy server received an invalid response from an upstream server", "web server is down", "the origin web server",
+    "error establishing a database connection", "there has been a critical error on this website", "you have been blocked", "you are unable to access", "why have i been blocked", "this page isn't working", "didn't send any data",
+    "404 not found", "403 forbidden", "nginx", "apache", "origin dns error", "page cannot be displayed", "the site is under construction", "this domain is for sale", "this website is currently unavailable", "http status",
+    "page non trouvée", "page introuvable", "la page que vous recherchez n'existe pas", "la page demandée est introuvable", "la page demandée n'existe pas", "accès refusé", "accès interdit", "erreur interne du serveur", "une erreur est survenue", "une erreur s'est produite",
+    "veuillez réessayer plus tard", "service indisponible", "service temporairement indisponible", "votre session a expiré", "erreur",
+    "страница не найдена", "запрашиваемая страница не найдена", "такой страницы не существует", "доступ запрещён", "доступ запрещен", "внутренняя ошибка сервера", "произошла ошибка", "попробуйте позже", "попробуйте ещё раз позже", "повторите попытку позже",
+    "сервис временно недоступен", "сайт временно недоступен", "ошибка",
+    "页面不存在", "找不到页面", "页面未找到", "您访问的页面不存在", "您访问的页面未找到", "抱歉", "服务器内部错误", "内部服务器错误", "服务器错误", "访问被拒绝", "禁止访问", "请稍后再试", "服务暂时不可用", "系统繁忙", "网页无法访问", "错误",
+    "página não encontrada", "acesso negado", "erro interno do servidor", "tente novamente mais tarde", "pagina non trovata", "accesso negato", "errore interno del server", "riprova più tardi", "pagina niet gevonden", "toegang geweigerd",
+)
+
 #: Of the phrases above, those that say nothing by themselves: they add to the coverage of a segment that has another.
 WEAK = frozenset(
     "error http seconds minutes hours status title gone sorry oops digest reference ray incident traceback err retries fehler vorgang 오류 forbidden unauthorized".split()
-) | {"has expired", "access to", "was denied", "try again in", "come back in", "the server at", "certificate for", "connection closed", "on our side", "not found", "backend=none", "back to start page"}
+) | {"has expired", "access to", "was denied", "try again in", "come back in", "the server at", "certificate for", "connection closed", "on our side", "not found", "backend=none", "back to start page", "please try again later", "additionally, a", "internal error", "nginx", "apache", "http status", "runtime error", "temporarily unavailable", "the origin web server", "erreur", "ошибка", "错误", "抱歉", "you are unable to access"}
 
 # fixed values: notices that scripts are required
 SCRIPT_PHRASES = (
@@ -75,6 +90,18 @@ SCRIPT_PHRASES = (
 )
 WEAK_SCRIPT = frozenset({"to use this page", "to continue", "to view this page", "to run this app", "noscript", "loading failed", "this takes a few seconds", "um diese seite zu sehen", "um fortzufahren", "para ver esta página", "para continuar", "just a moment", "enable it and reload"})
 
+# fixed values: more of the same, in other wordings and languages
+SCRIPT_WORDINGS = (
+    "please enable js and disable any ad blocker", "javascript seems to be disabled in your browser", "for the best experience on our site", "be sure to turn on javascript in your browser", "we're sorry but this app doesn't work properly without javascript enabled", "please enable it to continue",
+    "your browser has javascript disabled", "javascript is not enabled", "javascript is turned off", "turn on javascript", "enable javascript in your browser", "please activate javascript", "please allow cookies", "this site uses javascript", "works best with javascript enabled", "this page needs javascript",
+    "javascript is not available", "we've detected that javascript is disabled in this browser", "please switch to a supported browser", "this content requires javascript", "to display this page", "and reload the page", "needs to review the security of your connection before proceeding",
+    "veuillez activer javascript", "activez javascript", "javascript est désactivé", "javascript doit être activé", "pour afficher cette page", "pour continuer", "cette page nécessite javascript", "votre navigateur ne prend pas en charge javascript", "dans votre navigateur",
+    "включите javascript", "пожалуйста, включите javascript", "для работы сайта необходимо включить javascript", "javascript отключён", "javascript отключен", "необходим javascript", "в вашем браузере", "в настройках браузера", "чтобы продолжить",
+    "请启用javascript", "请开启javascript", "您的浏览器不支持javascript", "需要启用javascript", "您需要启用javascript", "请在浏览器中启用javascript", "才能运行此应用", "以查看此页面", "以继续",
+    "bitte schalten sie javascript ein", "javascript ist deaktiviert", "in ihrem browser", "javascript está desactivado", "en su navegador", "por favor, ative o javascript", "para continuar", "abilita javascript", "per continuare", "자바스크립트가 비활성화되어 있습니다",
+)
+WEAK_WORDINGS = frozenset({"for the best experience on our site", "please enable it to continue", "please allow cookies", "to display this page", "and reload the page", "pour afficher cette page", "pour continuer", "dans votre navigateur", "в вашем браузере", "в настройках браузера", "чтобы продолжить", "才能运行此应用", "以查看此页面", "以继续", "in ihrem browser", "en su navegador", "per continuare"})
+
 # fixed values: sentences that stand where text belongs
 FILLER_PHRASES = (
     "placeholder paragraph", "placeholder text", "sample text", "dummy text", "text text text", "filler text", "blindtext", "your text here", "insert text here", "text goes here",
@@ -83,6 +110,7 @@ FILLER_PHRASES = (
     "hier steht später der text", "hier kommt der text", "beispieltext", "platzhaltertext", "wird noch ergänzt",
     "aquí va el texto", "texto de ejemplo", "texto de relleno", "próximamente",
     "여기에 내용을 입력하세요", "내용을 입력하세요", "예시 문장입니다", "추후 작성 예정", "샘플 텍스트",
+    "le texte viendra ici", "texte à venir", "texte d'exemple", "здесь будет текст", "пример текста", "текст появится позже", "此处填写内容", "在此输入内容", "示例文本", "内容待补充", "texto de exemplo", "testo di esempio",
     "ここに本文を入力", "ここにテキストを入力", "サンプルテキスト", "ダミーテキスト", "準備中です",
 )
 WEAK_FILLER = frozenset({"coming soon"})
@@ -104,20 +132,20 @@ _FIELD = (
 _NAME = rf"(?:{_FIELD}(?:[ _-]?{_FIELD})*|(?:{_FIELD}[ _-]?)+)"
 _ANY = f"(?i:{_NAME})"
 _SLOTS = (
-    r"\{\{[^{}\n]{1,60}\}\}", r"\{%[^{}\n]{1,60}%\}", r"<%[^<>\n]{1,60}%>", r"\$\{[^{}\n]{1,40}\}",
+    r"\{\{[^{}\n]+\}\}", r"\{%[^{}\n]+%\}", r"<%[^<>\n]+%>", r"\$\{[^{}\n]+\}", rf"(?<![\w%\\/])%{_NAME.upper()}%(?![\w%])", rf"\[(?i:{_FIELD})(?:[ _-](?i:{_FIELD}))+\](?![(\[:])", rf"(?:(?<=Dear )|(?<=Hello )|(?<=Hi ))\[{_ANY}\]",
     rf"(?<![\w$])\${_ANY}\$(?!\w)", r"\{[a-z][\w ]{0,24}\}", r"\{\d{1,2}\}", r"%\([A-Za-z_]\w*\)[sdf]", r"##[A-Z][A-Z0-9_ ]{1,30}##", r"@@[A-Za-z]\w{0,30}@@", r"%%[A-Za-z]\w{1,30}%%",
     r"(?<!\w)__[A-Z][A-Z0-9_]{1,30}__(?!\w)", rf"\(\( {_ANY} \)\)", rf"\[\[ ?{_ANY} ?\]\]", rf"«{_ANY}»",
-    r"\[(?i:insert|enter|add|type|choose|select|your)\b[^\[\]\n]{1,50}\]", r"\[[^\[\]\n]{1,50}\b(?i:goes here|here|einfügen|eingeben|einsetzen|aquí|insertar)\]", r"\[[^\[\]\n]{1,40}(?:입력|を入力|をここに)\]",
-    rf"\[{_NAME.upper()}\]", rf"(?<![\w>])<(?:{_NAME.upper()})>(?!\w)", r"<(?i:your|insert|enter)\b[^<>\n]{1,50}>", rf"<!-- ?{_ANY} ?-->",
+    r"\[(?i:insert|enter|add|type|choose|select|your)\b[^\[\]\n]+\]", r"\[[^\[\]\n]+\b(?i:goes here|here|einfügen|eingeben|einsetzen|aquí|insertar)\]", r"\[[^\[\]\n]+(?:입력|を入力|をここに)\]",
+    rf"\[{_NAME.upper()}\]", rf"(?<![\w>])<(?:{_NAME.upper()})>(?!\w)", r"<(?i:your|insert|enter)\b[^<>\n]+>", rf"<!-- ?{_ANY} ?-->",
     r"(?<!\w)_{5,}(?!\w)", r"\[object Object\]", r"\bTODO:? (?i:fill in|add|insert|write)\b", r"(?<![\w/%-])YYYY-MM-DD(?![\w/-])", r"(?<![\w.'\"-])undefined(?![\w.'\"(-])",
 )
 SLOT = re.compile("|".join(f"(?:{s})" for s in _SLOTS))
 # an upper-case pattern has no Hangul or Kana left to change, so one text serves both cases
 
 #: What slots begin with, in lower case.
-SLOT_HINTS = ("{", "[", "<", "$", "%(", "##", "@@", "%%", "__", "((", "«", "todo", "yyyy-", "undefined")
+SLOT_HINTS = ("{", "[", "<", "$", "%", "##", "@@", "__", "((", "«", "todo", "yyyy-", "undefined")
 #: Where a slot may begin: SLOT is tried there only.
-_OPENER = re.compile(r"[{\[<$«]|%\(|##(?=[A-Z])|@@(?=[A-Za-z])|%%(?=[A-Za-z])|__|\(\( |TODO|YYYY-|undefined")
+_OPENER = re.compile(r"[{\[<$«]|%(?=[(A-Z%])|##(?=[A-Z])|@@(?=[A-Za-z])|__|\(\( |TODO|YYYY-|undefined")
 
 _FENCE = re.compile(r"^[ \t>]*(```|~~~).*?(?:^[ \t>]*\1[^\n]*$|\Z)", re.S | re.M)
 _INLINE = re.compile(r"(`+)(?!`)[^\n]+?(?<!`)\1(?!`)")
@@ -127,37 +155,37 @@ _TAG = re.compile(r"</?[a-zA-Z][^<>\n]*>")
 _JSON_ERROR = re.compile(r'^\s*\{\s*"(?:error|errors|status|code|message)"\s*:.*\}\s*$')
 _STATUS = re.compile(r"^\W*(?:http(?:/\d(?:\.\d)?)?[ :]*)?(?:error[ :]*)?[45]\d\d\b", re.I)
 _HTML_STATUS = re.compile(r"<(?:title|h1)>\s*(?:error\s*)?[45]\d\d\b[^<]{0,60}</", re.I)
+_LETTERS = re.compile(r"[^\W\d_]+")
 COVER = 0.65
 #: Different words of filler that a segment of them has at least.
 DISTINCT = 3
 
 
-@lru_cache(maxsize=1)
-def watcher() -> ahocorasick.Automaton:
-    """The automaton of the first pass. A hit is (hint, word): at a slot, at a phrase, at both (a tag may part a phrase), or at a word of filler.
+_PHRASES = {
+    "filler": (FILLER_PHRASES, WEAK_FILLER),
+    "script_notice": (SCRIPT_PHRASES + SCRIPT_WORDINGS, WEAK_SCRIPT | WEAK_WORDINGS),
+    "error_page": (ERROR_PHRASES + SERVER_PHRASES, WEAK),
+}
 
-    It holds all that the rules of the second pass begin with, so that it never decides by itself.
-    """
-    a = ahocorasick.Automaton()
-    for hint, vocabulary in (("latin", LATIN_WORDS), ("mash", MASH_WORDS)):
-        for w in vocabulary:
-            a.add_word(w, (hint, w))
-    for p in SLOT_HINTS:
-        a.add_word(p, ("slot", ""))
-    a.add_word("<", ("both", ""))
-    for p in (*ERROR_PHRASES, *SCRIPT_PHRASES, *FILLER_PHRASES):
-        a.add_word(p, ("phrase", ""))
-    a.make_automaton()
-    return a
 
+@lru_cache(maxsize=1)
+def automaton() -> ahocorasick.Automaton:
+    """The one automaton. A hit is a tuple of what its word is: ("slot",), ("phrase", kind, length, strong), ("latin" or "mash", word); a tag may part a phrase, so "<" is a slot and a phrase of no kind.
 
-@lru_cache(maxsize=3)
-def phrases(kind: str) -> ahocorasick.Automaton:
-    """The automaton of one kind's phrases; values are (length, strong)."""
-    source, weak = {"error_page": (ERROR_PHRASES, WEAK), "script_notice": (SCRIPT_PHRASES, WEAK_SCRIPT), "filler": (FILLER_PHRASES, WEAK_FILLER)}[kind]
+    It holds all that the rules begin with, so that it never decides by itself.
+    """
+    types: dict[str, list[tuple]] = {"<": [("phrase", None, 1, False)]}
+    for word in SLOT_HINTS:
+        types.setdefault(word, []).append(("slot",))
+    for kind, vocabulary in (("latin", LATIN_WORDS), ("mash", MASH_WORDS)):
+        for word in vocabulary:
+            types.setdefault(word, []).append((kind, word))
+    for kind, (source, weak) in _PHRASES.items():
+        for word in dict.fromkeys(source):
+            types.setdefault(word, []).append(("phrase", kind, len(word), word not in weak))
     a = ahocorasick.Automaton()
-    for p in source:
-        a.add_word(p, (len(p), p not in weak))
+    for word, values in types.items():
+        a.add_word(word, tuple(values))
     a.make_automaton()
     return a
 
@@ -170,23 +198,46 @@ def blank_code(text: str) -> str:
     return text
 
 
-def _cover(segment: str, kind: str) -> tuple[float, bool, int]:
-    """Share of the segment's letters that phrases cover, whether one of them says something by itself, and the letters covered.
+class Cover:
+    """What phrases of one kind cover of a segment: which characters, whether one of them says something by itself, how long those are that do not."""
+
+    def __init__(self, length: int):
+        self.marked, self.strong, self.weak = bytearray(length), False, set()
+
 
-    Phrases stand at word boundaries, where the script has them. Numbers, addresses and codes are the variable parts of a notice and count neither way.
+def covers(segment: str) -> dict[str, Cover]:
+    """The covers of all kinds, by one pass. Phrases stand at word boundaries, where the script has them."""
+    out: dict[str, Cover] = {}
+    for end, values in automaton().iter(segment):
+        for value in values:
+            if value[0] != "phrase" or value[1] is None:
+                continue
+            _, kind, n, strong = value
+            start = end - n + 1
+            before, after = segment[start - 1 : start], segment[end + 1 : end + 2]
+            if (_in_script_of(before, segment[start])) or (_in_script_of(after, segment[end])):
+                continue
+            c = out.get(kind) or out.setdefault(kind, Cover(len(segment)))
+            c.marked[start : end + 1] = b"\x01" * n
+            c.strong |= strong
+            if not strong:
+                c.weak.add(n)
+    return out
+
+
+def _in_script_of(beside: str, edge: str) -> bool:
+    """Whether a character goes on with the word at whose edge it stands: in scripts that set words apart."""
+    return beside.isalnum() and edge.isalnum() and ord(beside) < 0x1100 and ord(edge) < 0x1100
+
+
+def _share(segment: str, cover: Cover | None) -> tuple[float, bool, int]:
+    """Share of the segment's letters that are covered, whether the phrases say something, and the letters covered.
+
+    Numbers, addresses and codes are the variable parts of a notice and count neither way.
     """
-    marked = bytearray(len(segment))
-    strong, weak = False, set()
-    for end, (n, is_strong) in phrases(kind).iter(segment):
-        start = end - n + 1
-        before, after = segment[start - 1 : start], segment[end + 1 : end + 2]
-        if (before.isascii() and before.isalnum() and segment[start].isascii()) or (after.isascii() and after.isalnum() and segment[end].isascii()):
-            continue
-        marked[start : end + 1] = b"\x01" * n
-        strong |= is_strong
-        weak.add(n)
-    if not any(marked):
+    if cover is None:
         return 0.0, False, 0
+    marked = cover.marked
     letters = covered = 0
     at = 0
     for m in [*_NOISE.finditer(segment), None]:
@@ -201,7 +252,7 @@ def _cover(segment: str, kind: str) -> tuple[float, bool, int]:
             at = m.end()
     share = covered / max(1, letters)
     # two that say nothing by themselves say it together, where there is little else
-    return share, strong or (len(weak) > 1 and share >= 0.8 and covered >= 12), covered
+    return share, cover.strong or (len(cover.weak) > 1 and share >= 0.8 and covered >= 12), covered
 
 
 def _made_of(segment: str, vocabulary: frozenset, least: int) -> bool:
@@ -223,26 +274,43 @@ def kinds_of(text: str | None) -> tuple[list[str], float]:
     # lower case may change the length of a text, so the lines that hold a hit are cut from the lowered one
     done = upto = 0
     words: dict[str, set[str]] = {"latin": set(), "mash": set()}
-    for end, (hint, word) in watcher().iter(low):
-        has_opener |= hint in ("slot", "both")
-        if hint == "slot" or end < done:
+    reach: dict[str, int] = {}
+    for end, values in automaton().iter(low):
+        look = False
+        for value in values:
+            if value[0] == "slot":
+                has_opener = True
+            elif value[0] == "phrase":
+                look = True
+                if value[1]:
+                    reach[value[1]] = reach.get(value[1], 0) + value[2]
+            elif end >= done:
+                kind, word = value
+                if _in_word(low[end + 1 : end + 2]) or (end >= len(word) and _in_word(low[end - len(word)])):
+                    continue
+                if end >= upto:
+                    upto = low.find("\n", end)
+                    upto = len(low) if upto < 0 else upto
+                    words = {"latin": set(), "mash": set()}
+                words[kind].add(word)
+                look |= len(words[kind]) >= DISTINCT
+        if not look or end < done:
             continue
-        if word:
-            if _in_word(low[end + 1 : end + 2]) or (end >= len(word) and _in_word(low[end - len(word)])):
-                continue
-            if end >= upto:
-                upto = low.find("\n", end)
-                upto = len(low) if upto < 0 else upto
-                words = {"latin": set(), "mash": set()}
-            words[hint].add(word)
-            if len(words[hint]) < DISTINCT:
-                continue
         start, done = low.rfind("\n", 0, end) + 1, low.find("\n", end)
         done = len(low) if done < 0 else done
         for kind, n in _line_kinds(low[start:done].strip()):
             covered += n
             if kind not in found:
                 found.append(kind)
+    # the document as a whole, where its phrases are long enough together (they cover no more than their lengths)
+    loose = [k for k, n in reach.items() if k not in found and n >= COVER * sum(map(len, _LETTERS.findall(low)))]
+    if loose:
+        at = covers(low)
+        for kind in loose:
+            share, strong, n = _share(low, at.get(kind))
+            if strong and share >= COVER:
+                found.append(kind)
+                covered = max(covered, n)
     if has_opener and (slots := list(_slots(plain))):
         found.insert(0, "slot")
         covered += sum(b - a for a, b in slots)
@@ -263,30 +331,32 @@ def _slots(plain: str) -> Iterator[tuple[int, int]]:
 
 def _line_kinds(line: str) -> Iterator[tuple[str, int]]:
     """Kind and length of each segment of residue: the line as a whole, else its sentences."""
-    if len(line) < 400 and (kind := _piece_kind(line)):
+    if kind := _piece_kind(line):
         yield kind, len(line)
         return
     for piece in _SENTENCE.split(line):
         if piece and piece != line and (kind := _piece_kind(piece)):
             yield kind, len(piece)
-    if len(line) >= 400 and (kind := _piece_kind(line)):
-        yield kind, len(line)
 
 
 def _piece_kind(piece: str) -> str | None:
     if _made_of(piece, LATIN_WORDS, 4) or _made_of(piece, MASH_WORDS, 5):
         return "filler"
+    titled = "<" in piece and _HTML_STATUS.search(piece)
     if "<" in piece:
-        if _HTML_STATUS.search(piece) and _cover(_TAG.sub(" ", piece), "error_page")[2] >= 4:
-            return "error_page"
         piece = _TAG.sub(" ", piece).strip()
-    share, strong, n = _cover(piece, "filler")
+    at = covers(piece)
+    if not at:
+        return None
+    share, strong, n = _share(piece, at.get("filler"))
     if strong and share >= 0.9:
         return "filler"
-    share, strong, n = _cover(piece, "script_notice")
+    share, strong, n = _share(piece, at.get("script_notice"))
     if strong and share >= COVER:
         return "script_notice"
-    share, strong, n = _cover(piece, "error_page")
+    share, strong, n = _share(piece, at.get("error_page"))
+    if titled and n >= 4:
+        return "error_page"
     # a status code at the start makes a bare title a notice
     if n >= 4 and (strong or _STATUS.match(piece)) and share >= COVER:
         return "error_page"

@@ -266,28 +266,81 @@ def test_residue_that_only_a_rule_names(text, kinds):
     assert residue.kinds_of(text)[0] == kinds
 
 
+# residue in wordings of other servers and languages, and real texts about it
+STOCK = """The requested URL was not found on this server.
+Please enable JS and disable any ad blocker
+JavaScript seems to be disabled in your browser.
+Service Temporarily Unavailable
+Dear [First Name], thank you for your order.
+Hello %FIRSTNAME%, your parcel is on its way.
+Erreur 404 : page introuvable
+Veuillez activer JavaScript pour continuer.
+Страница не найдена
+Включите JavaScript в вашем браузере, чтобы продолжить.
+页面不存在
+请启用JavaScript以继续
+<html><head><title>403 Forbidden</title></head><body><center><h1>403 Forbidden</h1></center><hr><center>nginx</center></body></html>
+Error establishing a database connection
+Hi {{ customer.first_name | default: "dear customer of the shop in the old town by the river" }}, welcome back!
+Acceso denegado. Página no encontrada.
+Seite nicht gefunden. Fehler 404
+504 Gateway Timeout
+The page you were looking for doesn't exist. You may have mistyped the address or the page may have moved.
+Произошла ошибка. Попробуйте позже.""".split("\n")
+REAL = """The 404 page of our site says that a page was not found, and we rewrote its wording last week.
+We turned JavaScript off in the test browser to see how the form behaves without it.
+Der Fehler trat auf, als die Seite nicht gefunden wurde, weil der Index fehlte; wir haben ihn neu gebaut.
+The template uses `{{ name }}` for the greeting.
+Nous avons corrigé l'erreur qui faisait afficher une page introuvable après la connexion.
+Нашли причину, по которой после входа показывалась ошибка, и исправили маршрут.
+Prices rose by 5% while costs fell; see [the report](http://x.org) and C:\\Users\\%USERNAME%\\notes.""".split("\n")
+
+
+def test_residue_of_other_servers_and_languages():
+    assert sum(bool(residue.kinds_of(t)[0]) for t in STOCK) >= 0.9 * len(STOCK)
+    assert not [t for t in REAL if residue.kinds_of(t)[0]]
+
+
+def test_phrases_count_together_over_a_document():
+    """No line is covered by two thirds, the document is."""
+    parts = ["Page not found here, said", "the page you requested could not be found. Please try again later. An error occurred. Access denied. Something went wrong."]
+    assert residue.kinds_of("\n".join(parts))[0] == ["error_page"]
+
+
+@pytest.mark.parametrize("length", [10, 300, 399, 400, 401, 5000])
+def test_the_rules_are_the_same_at_every_length(length):
+    notice = "page not found. " * (length // 16 + 1)
+    assert residue.kinds_of(notice)[0] == ["error_page"] and residue.kinds_of("x{{" + "a b " * length + "}}")[0] == ["slot"]
+
+
 def without_first_pass(text):
     plain = residue.blank_code(text)
-    kinds = ["slot"] * bool(residue.SLOT.search(plain))
-    n = sum(len(m.group()) for m in residue.SLOT.finditer(plain))
-    for line in plain.lower().replace("’", "'").split("\n"):
+    low = plain.lower().replace("’", "'")
+    kinds, n = [], 0
+    for line in low.split("\n"):
         for kind, size in residue._line_kinds(line.strip()):
             kinds += [kind] * (kind not in kinds)
             n += size
-    return kinds, min(1.0, n / len(text))
+    for kind, cover in residue.covers(low).items():
+        share, strong, size = residue._share(low, cover)
+        if kind not in kinds and strong and share >= residue.COVER:
+            kinds.append(kind)
+            n = max(n, size)
+    slots = [m.span() for m in residue.SLOT.finditer(plain)]
+    return ["slot"] * bool(slots) + kinds, min(1.0, (n + sum(b - a for a, b in slots)) / len(text))
 
 
 def test_first_pass_of_residue_loses_nothing():
     r = random.Random(11)
     odd = ["500", "404", ":", "<title>", "</title>", "<h1>", "{", "}", "{{", "}}", "[", "]", "##", "##A", "@@a", "%%b", "__A", "____", "((", "(( ", " ))", "$", "«", "»", "TODO", "undefined", "`", "```", "\n", ". ", "’", "2", "é", "İ", '{"error":', "x1"]
-    parts = [*residue.ERROR_PHRASES, *residue.SCRIPT_PHRASES, *residue.FILLER_PHRASES, *residue.LATIN_WORDS, *residue.MASH_WORDS, "your name", "TITLE", "the", "worker", *odd * 8]
+    parts = [*residue.ERROR_PHRASES, *residue.SERVER_PHRASES, *residue.SCRIPT_WORDINGS, *residue.SCRIPT_PHRASES, *residue.FILLER_PHRASES, *residue.LATIN_WORDS, *residue.MASH_WORDS, "your name", "TITLE", "the", "worker", *odd * 8]
     found = 0
     for _ in range(6000):
         vocabulary = r.choice([parts, odd, [*residue.WEAK, "500"], [*residue.LATIN_WORDS, "the"], [*residue.MASH_WORDS, "the"]])
         text = "".join(r.choice(vocabulary) + r.choice([" ", " ", " ", "", "\n"]) for _ in range(r.randint(1, 9)))
         if text.strip():
             got, want = residue.kinds_of(text), without_first_pass(text)
-            assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-9, text
+            assert sorted(got[0]) == sorted(want[0]) and abs(got[1] - want[1]) < 1e-9, text
             found += bool(want[0])
     assert found > 500
 

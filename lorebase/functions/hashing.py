@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 
 def symbol_hash(path: Column, body: Column) -> Column:
-    """``sym:`` and 16 hex digits over a path and a definition, whatever its white space."""
+    """``sym:`` and 16 bytes in hex over a path and a definition, whatever its white space; each part ends with a zero byte."""
     plain = F.trim(F.regexp_replace(body, r"\s+", " "))
-    return F.concat(F.lit("sym:"), F.substring(F.sha2(F.concat(path, F.lit("|"), plain), 256), 1, 16))
+    return F.concat(F.lit("sym:"), F.substring(F.sha2(F.concat(path, F.lit("\0"), plain, F.lit("\0")), 256), 1, 32))
 
 
 def cache_key(*parts: Column) -> Column:

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 
 def as_map(attrs: Column) -> Column:
-    """Attributes as text values: strings as they are, others as JSON; empty for none."""
-    return F.coalesce(F.from_json(attrs, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    """Attributes as text values: strings as they are, others as JSON; empty for none. Of a repeated key the last value counts."""
+    m = F.coalesce(F.from_json(attrs, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    keys = F.array_distinct(F.map_keys(m))
+    once = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(F.map_entries(m), lambda e: e["key"] == k), -1)["value"]))
+    return F.when(F.size(keys) == F.size(F.map_keys(m)), m).otherwise(once)
 
 
 def merge(left: Column, right: Column) -> Column:

@@ -64,6 +64,21 @@ def normalize_project(c: Column) -> Column:
     return F.when(~local & s.rlike(r"^[a-z0-9.-]+\.[a-z0-9-]+/[^/\s]"), s)
 
 
+def split_list(c: Column) -> Column:
+    """The items of a list set apart by commas, without outer blanks; empty ones are left out."""
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: collapse(x)), lambda x: x != "")
+
+
+# a line of a conversation as it is written into a record: [date, session n, Dn:m] speaker: text
+TURN_LINE = r"^\[([^,\]]+), session (\d+), (D\d+:\d+)\] ([^:]+): (.*)$"
+
+
+def turn_line(c: Column) -> Column:
+    """(said, session, turn, speaker, text) of such a line, null for anything else."""
+    at = [F.regexp_extract(c, TURN_LINE, n) for n in range(1, 6)]
+    return F.when(c.rlike(TURN_LINE), F.struct(at[0].alias("said"), at[1].try_cast("int").alias("session"), at[2].alias("turn"), at[3].alias("speaker"), at[4].alias("text")))
+
+
 def scope_label(c: Column) -> Column:
     return F.regexp_replace(c, "^(project|repo):", "")
 
@@ -75,9 +90,9 @@ def normalize_answer(c: Column) -> Column:
 
 
 def semver(c: Column) -> Column:
-    """(major, minor, patch) of a strict version, null for anything else."""
-    at = [F.regexp_extract(c, r"^v?(\d+)\.(\d+)\.(\d+)$", n) for n in (1, 2, 3)]
-    return F.when(at[0] != "", F.struct(*(a.cast("int").alias(n) for a, n in zip(at, ("major", "minor", "patch")))))
+    """(major, minor, patch) of a strict version, null for anything else and for numbers beyond 64 bits."""
+    at = [F.regexp_extract(c, r"^v?(\d+)\.(\d+)\.(\d+)$", n).try_cast("long") for n in (1, 2, 3)]
+    return F.when(at[0].isNotNull() & at[1].isNotNull() & at[2].isNotNull(), F.struct(*(a.alias(n) for a, n in zip(at, ("major", "minor", "patch")))))
 
 
 def neutralize_fence(c: Column, tag: str = "session") -> Column:

@@ -59,15 +59,21 @@ def validate(candidates: DataFrame) -> DataFrame:
     return c.select("cand_id", "source_id", F.coalesce("r", F.when(place > A_SOURCE, "too_many")).alias("reject_reason"))
 
 
-def digest_check(digests: DataFrame) -> DataFrame:
-    """(digest_id, reject_reason): length, secrets, and code-like tokens that no source has. digests: digest_id, text, sources (joined)."""
+def digest_check(rows: DataFrame) -> DataFrame:
+    """(digest_id, reject_reason): length, secrets, and code-like tokens that no source has. rows: digest_id, text, source, one row per source.
+
+    The tokens a source lacks are what its row carries; a token is unknown where as many rows lack it as the digest has.
+    """
+    codes = F.array_distinct(F.regexp_extract_all("text", F.lit(CODE_TOKEN), F.lit(0)))
+    each = rows.select("digest_id", "text", F.filter(codes, lambda t: ~F.contains(F.coalesce("source", F.lit("")), t)).alias("lacks"))
+    n_sources = each.groupBy("digest_id").agg(F.count("*").alias("n"), F.first("text").alias("text"))
+    lacking = each.select("digest_id", F.explode("lacks").alias("t")).groupBy("digest_id", "t").agg(F.count("*").alias("k"))
+    unknown = lacking.join(n_sources.select("digest_id", "n"), "digest_id").filter("k = n").select("digest_id").distinct().withColumn("unknown", F.lit(True))
     n = F.length(F.coalesce("text", F.lit("")))
-    codes = F.regexp_extract_all("text", F.lit(CODE_TOKEN), F.lit(0))
-    unknown = F.exists(codes, lambda t: ~F.contains(F.col("sources"), t))
     reason = (
         F.when(n < DIGEST_LENGTHS[0], "short")
         .when(n > DIGEST_LENGTHS[1], "long")
         .when(F.size(secrets.findings(F.col("text"))) > 0, "secret")
-        .when(F.coalesce(unknown, F.lit(False)), "unknown_code")
+        .when(F.coalesce("unknown", F.lit(False)), "unknown_code")
     )
-    return digests.select("digest_id", reason.alias("reject_reason"))
+    return n_sources.join(unknown, "digest_id", "left").select("digest_id", reason.alias("reject_reason"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +53,7 @@ def neighbours(live: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame
     near = adjacency(edges, seeds)
     target = live.select(F.col("id").alias("other"), F.col("scope").alias("other_scope"), "created_at")
     seen = near.join(seeds.select("id", "scope"), "id").join(target, "other")
-    return seen.filter("other_scope = 'user' or other_scope = scope").select("id", "other", "relation", "via", "created_at")
+    return seen.filter("(other_scope = 'user' or other_scope = scope) and other <> id").select("id", "other", "relation", "via", "created_at")
 
 
 def history(spark: SparkSession, m: DataFrame, seeds: DataFrame, most: int = HISTORY_DEPTH) -> DataFrame:
@@ -64,20 +66,17 @@ def history(spark: SparkSession, m: DataFrame, seeds: DataFrame, most: int = HIS
     known = m.select(F.col("id").alias("supersedes"))
     jump = scratch.keep(m.filter("supersedes is not null").join(known, "supersedes", "left_semi").select("id", F.col("supersedes").alias("far")))
     start = scratch.keep(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth")))
-    older = newer = start
-    step = 1
+    parts, step = [start], 1
     while True:
-        back = jump.select("id", F.col("far").alias("next"))
-        forth = jump.select(F.col("far").alias("id"), F.col("id").alias("next"))
-        older = older.unionByName(older.join(back, "id").select("seed", F.col("next").alias("id"), (F.col("depth") - step).alias("depth")))
-        newer = newer.unionByName(newer.join(forth, "id").select("seed", F.col("next").alias("id"), (F.col("depth") + step).alias("depth")))
-        older, newer = scratch.keep(older), scratch.keep(newer)
+        seen = reduce(DataFrame.unionByName, parts)
+        back = seen.filter("depth <= 0").join(jump.select("id", F.col("far").alias("next")), "id").select("seed", F.col("next").alias("id"), (F.col("depth") - step).alias("depth"))
+        forth = seen.filter("depth >= 0").join(jump.select(F.col("far").alias("id"), F.col("id").alias("next")), "id").select("seed", F.col("next").alias("id"), (F.col("depth") + step).alias("depth"))
+        # what is known stays where it is; only the new depths are written
+        parts.append(scratch.keep(back.unionByName(forth)))
         step *= 2
-        if step > most:
+        if step > most or is_empty(parts[-1]):
             break
         on = jump.select(F.col("id").alias("far"), F.col("far").alias("further"))
         jump = scratch.keep(jump.join(on, "far").select("id", F.col("further").alias("far")))
-        if is_empty(jump):
-            break
-    both = older.unionByName(newer).filter(F.abs("depth") <= most)
+    both = scratch.together(parts).filter(F.abs("depth") <= most)
     return both.groupBy("seed", "id").agg(F.min_by("depth", F.struct(F.abs("depth").alias("a"), "depth")).alias("depth"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorebase.functions import jsonx
@@ -21,14 +21,34 @@ def supersede(m: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def approve(m: DataFrame, requests: DataFrame) -> DataFrame:
-    """Change rows of approving requests (id): proposed becomes active and its active target superseded; others are left alone."""
+    """(id, old_status, new_status, new_trust) of approving requests (id): proposed becomes active and trusted as the user's own, its active target superseded; others are left alone."""
     asked = m.join(requests.select("id").distinct(), "id", "left_semi").filter("status = 'proposed'")
-    now = asked.select("id", F.lit("proposed").alias("old_status"), F.lit("active").alias("new_status"))
+    now = asked.select("id", F.lit("proposed").alias("old_status"), F.lit("active").alias("new_status"), F.lit("user").alias("new_trust"))
     targets = asked.filter("supersedes is not null").select(F.col("supersedes").alias("id")).distinct()
-    retired = m.join(targets, "id", "left_semi").filter("status = 'active'").select("id", F.lit("active").alias("old_status"), F.lit("superseded").alias("new_status"))
+    retired = m.join(targets, "id", "left_semi").filter("status = 'active'").select("id", F.lit("active").alias("old_status"), F.lit("superseded").alias("new_status"), F.col("trust").alias("new_trust"))
     return now.unionByName(retired)
 
 
+def approve_replacing(m: DataFrame, requests: DataFrame) -> DataFrame:
+    """(id, target, outcome): what approving records in place of others (id, target) does: approved, or why not: not_proposed, itself, other_scope, target_not_active."""
+    a = m.select("id", F.col("status").alias("s"), F.col("scope").alias("sc"))
+    t = m.select(F.col("id").alias("target"), F.col("status").alias("ts"), F.col("scope").alias("tsc"))
+    j = requests.select("id", "target").join(a, "id").join(t, "target", "left")
+    outcome = (
+        F.when(~F.coalesce(F.col("s") == "proposed", F.lit(False)), "not_proposed")
+        .when(F.col("id") == F.col("target"), "itself")
+        .when(~F.coalesce(F.col("ts") == "active", F.lit(False)), "target_not_active")
+        .when(~F.col("sc").eqNullSafe(F.col("tsc")), "other_scope")
+        .otherwise("approved")
+    )
+    return j.select("id", "target", outcome.alias("outcome"))
+
+
+def expired_for(m: DataFrame, days: int, at: Column) -> DataFrame:
+    """(id): records that expired more than so many days before a time."""
+    return m.filter(F.col("expires_at") < at - F.make_dt_interval(days=F.lit(days))).select("id")
+
+
 def reject(m: DataFrame, requests: DataFrame) -> DataFrame:
     asked = m.join(requests.select("id").distinct(), "id", "left_semi").filter("status = 'proposed'")
     return asked.select("id", F.lit("proposed").alias("old_status"), F.lit("deleted").alias("new_status"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorebase.sources.records import as_of, live
+from lorebase.sources.records import live
+from lorebase.sources.records import unexpired as unexpired_at
 
 TYPES = ("preference", "semantic", "episodic", "project", "codebase", "temporary")
 STATUSES = ("proposed", "active", "superseded", "deleted")
@@ -36,6 +37,7 @@ def list_records(
     oldest_first: bool = False,
     limit: int | None = None,
     offset: int = 0,
+    at: Column | None = None,
 ) -> DataFrame:
     """The filtered list: a top-k feature, in order of creation, ties by id."""
     m = m.filter(F.col("status").isin(*statuses))
@@ -44,7 +46,7 @@ def list_records(
     if types is not None:
         m = m.filter(F.col("mem_type").isin(*types))
     if unexpired:
-        m = m.filter(F.col("expires_at").isNull() | (F.col("expires_at") > as_of()))
+        m = m.filter(unexpired_at(at))
     if stale_of is not None:
         m = m.join(stale_ids(stale_of), "id", "left_semi")
     order = [F.asc("created_at"), F.asc("id")] if oldest_first else [F.desc("created_at"), F.desc("id")]

@@ -53,7 +53,7 @@ def check_tally(checked: DataFrame) -> DataFrame:
 
 def extract_refs(m: DataFrame) -> DataFrame:
     """(id, scope, ord, path, symbol): references named in the contents of project records, in order of mention."""
-    rows = m.filter(F.col("scope").startswith("project:") | F.col("scope").startswith("repo:")).filter(F.col("mem_type").isin("codebase", "project", "semantic", "episodic"))
+    rows = m.filter(F.col("scope").startswith("project:") | F.col("scope").startswith("repo:")).filter(F.col("mem_type").isin("codebase", "project", "semantic"))
     each = rows.select("id", "scope", F.posexplode(code_references(F.coalesce("content", F.lit("")))).alias("ord", "r"))
     small = (F.octet_length("r.path") <= FIELD_BYTES) & (F.octet_length("r.symbol") <= FIELD_BYTES)
     return each.filter((F.col("ord") < REFS_A_RECORD) & small).select("id", "scope", "ord", "r.path", "r.symbol")

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorebase.functions.similarity import cosine
+from lorebase.functions.similarity import PART, cosine, in_parts
+from lorebase.operators import models
+from lorebase.operators.models import Score
 from lorebase.session import Scratch
 from lorebase.sources.records import as_of
 
@@ -35,7 +37,7 @@ def candidates_per_ranker(limit: int) -> int:
 def postings(docs: DataFrame) -> DataFrame:
     """(scope, t, id, gain): one row per term of a record. gain is the sum of 1 / j**2 over its occurrences: it saturates, and knows no other record."""
     each = docs.select("id", "scope", F.explode(terms(F.col("content"))).alias("t")).groupBy("id", "scope", "t").agg(F.count("*").alias("tf"))
-    gain = F.aggregate(F.sequence(F.lit(1), F.least("tf", F.lit(50)).cast("int")), F.lit(0.0), lambda s, j: s + 1.0 / (j * j))
+    gain = F.aggregate(F.sequence(F.lit(1), F.col("tf")), F.lit(0.0), lambda s, j: s + 1.0 / (j * j))
     return each.select("scope", "t", "id", gain.alias("gain"))
 
 
@@ -48,22 +50,49 @@ def lexical(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(query_id, id, lex, rank): any query term may match; the k best of each query."""
     q = queries.select("query_id", "scope", F.array_distinct(terms(F.col("text"))).alias("ts")).withColumn("n", F.size("ts"))
     asked = seen_scopes(q.filter("n > 0")).select("query_id", "scope", "n", F.explode("ts").alias("t"))
-    hits = asked.join(postings(docs), ["scope", "t"]).filter("id <> query_id")
+    return _lexical_ranks(asked.join(postings(docs), ["scope", "t"]), k)
+
+
+def lexical_everywhere(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """As :func:`lexical`, over the records of all scopes."""
+    q = queries.select("query_id", F.array_distinct(terms(F.col("text"))).alias("ts")).withColumn("n", F.size("ts"))
+    asked = q.filter("n > 0").select("query_id", "n", F.explode("ts").alias("t"))
+    return _lexical_ranks(asked.join(postings(docs).drop("scope"), "t"), k)
+
+
+def _lexical_ranks(hits: DataFrame, k: int) -> DataFrame:
+    hits = hits.filter("id <> query_id")
     score = F.round(F.sum("gain") / F.first("n"), 9).alias("lex")
     w = Window.partitionBy("query_id").orderBy(F.desc("lex"), F.desc("id"))
     return hits.groupBy("query_id", "id").agg(score).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def vector(queries: DataFrame, docs: DataFrame, k: int, most: float = DISTANCE_MOST) -> DataFrame:
-    """(query_id, id, dist, rank): exact nearest neighbours by cosine, the k nearest first, then those within ``most``."""
-    q = seen_scopes(queries.filter("vec is not null").select("query_id", "scope", F.col("vec").alias("qv")))
-    d = docs.filter("vec is not null").select("id", "scope", "vec")
+    """(query_id, id, dist, rank): exact nearest neighbours by cosine, the k nearest first, then those within ``most``.
+
+    A scope is cut into parts of bounded size, and only the k nearest of a task leave it; :mod:`lorebase.operators.vectorindex` reads less.
+    """
+    by = ["embedding_model"] if _same_model(queries, docs) else []
+    q = seen_scopes(queries.filter("vec is not null").select("query_id", "scope", F.col("vec").alias("qv"), *by))
+    d = docs.filter("vec is not null").select("id", "scope", "vec", *by)
     dist = F.round(1 - cosine(F.col("qv"), F.col("vec")), 9).alias("dist")
     w = Window.partitionBy("query_id").orderBy("dist", F.desc("id"))
-    near = q.join(d, "scope").filter("id <> query_id").select("query_id", "id", dist)
+    each, cut, keys = in_parts(q, d, ["scope", *by])
+    near = each.join(cut, keys).filter("id <> query_id").select("query_id", "id", dist)
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).filter(F.col("dist") <= most)
 
 
+def nearest_of_all(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, dist, rank): the k nearest of all rows (id, vec) to each query (query_id, vec), which meets every part of the rows once."""
+    d = rows.filter("vec is not null").select("id", "vec")
+    parts = d.agg(F.ceil(F.count("*") / PART)).first()[0] or 1  # a number comes to the driver
+    each = queries.filter("vec is not null").select("query_id", F.col("vec").alias("qv"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1))).alias("_part"))
+    cut = d.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    near = each.join(cut, "_part").filter("id <> query_id").select("query_id", "id", F.round(1 - cosine(F.col("qv"), F.col("vec")), 9).alias("dist"))
+    w = Window.partitionBy("query_id").orderBy("dist", F.desc("id"))
+    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def fuse(*rankings: DataFrame) -> DataFrame:
     """(query_id, id, score): reciprocal rank fusion, scaled so that first everywhere is 1."""
     ranks = rankings[0].select("query_id", "id", "rank")
@@ -72,6 +101,14 @@ def fuse(*rankings: DataFrame) -> DataFrame:
     return ranks.groupBy("query_id", "id").agg(F.round(F.sum(1.0 / (RRF_K + F.col("rank"))) * (RRF_K + 1) / len(rankings), 9).alias("score"))
 
 
+def _same_model(queries: DataFrame, docs: DataFrame) -> bool:
+    """Whether vectors carry the name of their model (embedding_model); then both sides must, and only vectors of one model are compared."""
+    named = ["embedding_model" in f.columns for f in (queries, docs)]
+    if any(named) and not all(named):
+        raise ValueError("vectors of a named model need the name on both sides: embedding_model")
+    return all(named)
+
+
 def hybrid(queries: DataFrame, docs: DataFrame, limit: int = LIMIT_DEFAULT, most: float = DISTANCE_MOST, vectors: bool = True) -> DataFrame:
     """(query_id, id, score, place): lexical and vector rankings fused, or the lexical one alone. docs: id, scope, content, created_at, vec."""
     limit = min(limit, LIMIT_MOST)
@@ -84,10 +121,10 @@ def hybrid(queries: DataFrame, docs: DataFrame, limit: int = LIMIT_DEFAULT, most
 
 # ---- the pipeline's stages
 
-# fixed values: words that ask for the recent
-INTENT = (
-    r"(?i)\b(?:recent|recently|latest|last|yesterday|today|now|currently|newest|this (?:week|month|morning)|just)\b(?!-)|최근|요즘|어제|오늘|방금|지금|마지막|지난"
-)
+# fixed values: words that ask for the recent, not as the first part of a compound; in Korean wherever they stand
+INTENT_WORDS = ("last", "latest", "recent", "recently", "most recent", "previous", "yesterday", "today", "this week", "this morning", "lately", "just now")
+INTENT_KOREAN = ("최근", "지난번", "지난 ?세션", "저번", "마지막", "어제", "오늘", "방금", "요즘", "최신", "이번 ?주")
+INTENT = rf"(?i)\b(?:{'|'.join(INTENT_WORDS)})\b(?:[^-]|$)|{'|'.join(INTENT_KOREAN)}"
 
 
 def temporal_intent(text: Column) -> Column:
@@ -143,10 +180,14 @@ def pipeline(
     use_recency: bool = True,
     use_stale: bool = True,
     vectors: bool = True,
+    score: Score | None = None,
+    at: Column | None = None,
+    trace: list[DataFrame] | None = None,
 ) -> DataFrame:
     """(query_id, id, score, place, reranked): hybrid pool, graph expansion, rerank of the top, staleness and recency.
 
-    Without a reranker there is no expansion. docs: id, scope, mem_type, content, created_at, vec.
+    Without a reranker there is no expansion. docs: id, scope, mem_type, content, created_at, vec. ``score`` is a reranker's batch function (:func:`lorebase.operators.models.rerank`),
+    word overlap without one; a query that it fails on keeps its order and loses what only the graph found. ``at``: the time that ages are judged at. ``trace`` takes (stage, n) frames.
     """
     scratch = Scratch(spark, "search")
     first = scratch.keep(hybrid(queries, docs, max(POOL, limit), most, vectors))
@@ -160,7 +201,13 @@ def pipeline(
     rows = pool.withColumn("score", F.round(pre, 9)).join(docs.select("id", "mem_type", "content", "created_at"), "id").join(queries.select("query_id", "text"), "query_id")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("created_at"), F.desc("id"))
     rows = rows.withColumn("pre", F.row_number().over(w))
-    if rerank:
+    if rerank and score is not None:
+        rows = scratch.keep(rows)
+        got = models.rerank(rows.filter(F.col("pre") <= RERANK_TOP).select("query_id", "id", "text", "content"), score)
+        ok = got.select("query_id").distinct().withColumn("ok", F.lit(True))
+        rows = rows.join(got, ["query_id", "id"], "left").join(ok, "query_id", "left").filter("ok or first > 0")
+        rows = rows.withColumn("reranked", F.col("rerank").isNotNull()).withColumn("score", F.coalesce("rerank", F.when(F.col("ok"), F.col("score")).otherwise(F.col("first"))))
+    elif rerank:
         rows = rows.withColumn("reranked", F.col("pre") <= RERANK_TOP)
         rows = rows.withColumn("score", F.when(F.col("reranked"), overlap_reranker(F.col("text"), F.col("content"))).otherwise(F.col("score")))
     else:
@@ -168,8 +215,12 @@ def pipeline(
     if use_stale:
         rows = rows.join(stale_factors(refs), "id", "left").withColumn("score", F.col("score") * F.coalesce("factor", F.lit(1.0)))
     if use_recency:
-        age = (F.unix_micros(as_of()) - F.unix_micros("created_at")) / 86_400_000_000.0
+        age = (F.unix_micros(as_of() if at is None else at) - F.unix_micros("created_at")) / 86_400_000_000.0
         rows = rows.withColumn("score", F.col("score") * recency(temporal_intent(F.col("text")), F.col("mem_type"), F.col("reranked"), age))
     rows = rows.withColumn("score", F.round(clamp_score(F.col("score")), 6))
+    if trace is not None:
+        rows = scratch.keep(rows)
+        stages = (("first", first), ("graph", rows.filter("graph > 0")), ("pool", rows), ("reranked", rows.filter("reranked")))
+        trace += [f.agg(F.count("*").alias("n")).select(F.lit(name).alias("stage"), "n") for name, f in stages]
     last = Window.partitionBy("query_id").orderBy(F.desc("reranked"), F.desc("score"), F.desc("created_at"), F.desc("id"))
     return rows.withColumn("place", F.row_number().over(last)).filter(F.col("place") <= min(limit, LIMIT_MOST)).select("query_id", "id", "score", "place", "reranked")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorebase.session import spread_last
+
 
 def distinct_sessions(sessions: DataFrame) -> DataFrame:
     return sessions.dropDuplicates(["session_no"])
@@ -13,8 +15,9 @@ def distinct_sessions(sessions: DataFrame) -> DataFrame:
 def bind_projects(sessions: DataFrame) -> DataFrame:
     """(session_no, project, bound): a session without a project takes the last one its agent worked on before."""
     s = sessions.select("session_no", "agent", F.nullif(F.trim("project"), F.lit("")).alias("project"), "started_at").distinct()
-    w = Window.partitionBy("agent").orderBy("started_at", "session_no").rowsBetween(Window.unboundedPreceding, 0)
-    return s.withColumn("bound", F.last("project", ignorenulls=True).over(w)).select("session_no", "project", "bound")
+    # an agent's sessions are filled day by day, each day from the last project of the days before
+    s = spread_last(s.withColumn("day", F.to_date("started_at")), ["agent"], "day", ["started_at", "session_no"], "project", "before")
+    return s.select("session_no", "project", F.coalesce("project", "before").alias("bound"))
 
 
 def neighbours(sessions: DataFrame, hits: Column, radius: int) -> DataFrame:
@@ -34,12 +37,12 @@ def parse(sessions: DataFrame) -> DataFrame:
     text = F.regexp_replace(F.col("session"), r"\r\n?", "\n")
     said = F.regexp_extract(text, r"Session summary: (\d+) requests", 1)
     asked = F.regexp_extract(text, r"(?s)\nRequests:\n(.*?)(?:\nFinal response:|$)", 1)
-    requests = F.transform(F.filter(F.split(asked, "\n"), lambda x: x.startswith("- ")), lambda x: F.trim(F.substring(x, 3, 1_000_000)))
+    requests = F.transform(F.filter(F.split(asked, "\n"), lambda x: x.startswith("- ")), lambda x: F.trim(F.regexp_replace(x, "^- ", "")))
     return distinct_sessions(sessions).filter("session is not null").select(
         "session_no",
         requests.alias("requests"),
         F.regexp_extract(text, r"(?s)\nFinal response:\n(.*)$", 1).alias("response"),
-        F.when(said != "", said.cast("int")).alias("n_requests_said"),
+        said.try_cast("int").alias("n_requests_said"),
         F.nullif(F.regexp_extract(text, r"on branch ([^,\s]+)", 1), F.lit("")).alias("branch"),
     )
 

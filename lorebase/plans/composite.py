@@ -10,7 +10,7 @@ from lorebase.operators import consolidate, context, extract, graph, records, se
 from lorebase.plans.book import Book
 from lorebase.plans.retrieval import DISTANCE, _asked_of, _docs_of, _store
 from lorebase.plans.sqlviews import AS_OF, EDGE, LIVE, MEM, PROP, REF, STALE, with_views
-from lorebase.session import Scratch
+from lorebase.session import Scratch, spread_cumsum
 from lorebase.sources import records as S
 from lorebase.sources.tables import table
 
@@ -97,11 +97,11 @@ SELECT proposal_id digest_id, CASE WHEN length(coalesce(t, '')) < 40 THEN 'short
   WHEN list_bool_or(list_transform(regexp_extract_all(t, '(?:[A-Za-z0-9_-]+/)+[A-Za-z0-9_.-]+|\\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\\b|\\b\\d+\\.\\d+\\.\\d+\\b'), lambda x: NOT contains(s, x))) THEN 'unknown_code' END reject_reason FROM g"""
 )
 def digest_check(spark, folder):
-    """Digests against the texts of their members (a digest has few members: its source is put together per digest)."""
+    """Digests against the texts of their members."""
     d = S.proposals(spark, folder).filter("kind = 'digest'").select("proposal_id", "content", F.explode("member_ids").alias("id"))
     m = S.memory(spark, folder).filter("content is not null").select("id", F.col("content").alias("c"))
-    g = d.join(m, "id").groupBy("proposal_id").agg(F.first("content").alias("text"), F.array_join(F.collect_list("c"), "\n").alias("sources"))
-    return extract.digest_check(g.withColumnRenamed("proposal_id", "digest_id"))
+    g = d.join(m, "id").select(F.col("proposal_id").alias("digest_id"), F.col("content").alias("text"), F.col("c").alias("source"))
+    return extract.digest_check(g)
 
 
 @book.query("SELECT src_table, sum(n)::BIGINT n FROM (SELECT 'memories' src_table, count(*) n FROM memories WHERE content LIKE '%BEGIN PRIVATE KEY%' UNION ALL SELECT 'sessions', count(*) FROM sessions WHERE session LIKE '%BEGIN PRIVATE KEY%') GROUP BY ALL")
@@ -119,8 +119,8 @@ _VEC = f"""v AS (SELECT vec_id id, embedding::DOUBLE[] e FROM embeddings), x AS
 def vector_exact(spark, folder):
     """The ten nearest of every fiftieth vector among all: one block of queries against the table."""
     v = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    q = v.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.lit("all").alias("scope"), "vec")
-    return search.vector(q, v.withColumn("scope", F.lit("all")), 10, most=2.0)
+    q = v.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "vec")
+    return search.nearest_of_all(q, v, 10)
 
 
 CELLS, PROBES = 16, 12
@@ -163,8 +163,9 @@ def refs_of(spark, folder):
 @book.query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) spent FROM events")
 def budget_ledger(spark, folder):
     """The running total of each user's events."""
-    spent = F.sum("value").over(W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0))
-    return table(spark, folder, "events").select("event_id", F.round(spent, 6).alias("spent"))
+    e = table(spark, folder, "events").select("user_id", "event_id", "ts", "value", F.to_date("ts").alias("day"))
+    e = spread_cumsum(e, ["user_id"], "day", ["ts", "event_id"], "value", "before", "double")
+    return e.select("event_id", F.round(F.col("before") + F.coalesce("value", F.lit(0.0)), 6).alias("spent"))
 
 
 @book.query("SELECT coalesce(source, 'all') source, count(*) n, round(avg(n_chars), 6) mean_chars, count(*) FILTER (WHERE text IS NULL) n_null FROM (SELECT replace(lower(trim(source)), '-', '_') source, n_chars, text FROM documents WHERE trim(source) <> '') GROUP BY GROUPING SETS ((source), ())")

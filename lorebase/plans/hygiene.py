@@ -84,5 +84,8 @@ ORACLE = {
     "p1_found": f"{JUDGED} SELECT src_table, line_no, ref_field FROM judged WHERE standing <> 'ok'",
     "p1_by_period": f"{JUDGED} SELECT src_table, ref_field, strftime(date_trunc('month', loaded_at), '%Y-%m-%d') period, standing, count(*) n_orphans FROM judged WHERE standing <> 'ok' GROUP BY ALL",
     "p6_found": f"WITH RECURSIVE {_LINKS} SELECT id mem_id, root root_id, depth FROM found",
+    "p6_hierarchy": f"""WITH RECURSIVE {_LINKS}, below AS (SELECT a id, count(*) n FROM (SELECT unnest(path) a FROM found WHERE NOT cyc) GROUP BY a)
+SELECT n.id, coalesce(f.root, n.id) root, coalesce(f.depth, 0)::BIGINT depth, CASE WHEN NOT coalesce(f.cyc, false) THEN array_to_string(list_append(list_reverse(coalesce(f.path, [])), n.id), '/') END path,
+  coalesce(b.n, 0) n_descendants, coalesce(f.cyc, false) is_cycle FROM nodes n LEFT JOIN found f USING (id) LEFT JOIN below b USING (id)""",
     "p6_descendants": f"WITH RECURSIVE {_LINKS} SELECT unnest(path) ancestor, id descendant, unnest(range(1, len(path) + 1)) distance FROM found WHERE NOT cyc",
 }

@@ -292,10 +292,11 @@ def win_topk_per_group(spark, folder):
 
 @book.query("SELECT event_id FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) p FROM events) WHERE p IS NULL OR p <> event_type")
 def win_dedupe_consecutive(spark, folder):
+    from lorebase.session import spread_last
     from lorebase.sources.tables import table
 
-    prev = F.lag("event_type").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, folder, "events").withColumn("p", prev).filter("p is null or p <> event_type").select("event_id")
+    e = table(spark, folder, "events").select("user_id", "event_id", "event_type", "ts", F.to_date("ts").alias("day"))
+    return spread_last(e, ["user_id"], "day", ["ts", "event_id"], "event_type", "p").filter("p is null or p <> event_type").select("event_id")
 
 
 @book.query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) a, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) b FROM events) WHERE a <= 3 OR b <= 5")

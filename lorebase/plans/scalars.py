@@ -210,7 +210,7 @@ def hash_md5_sha(spark, folder):
     return m.select("line_no", F.md5("content").alias("m"), hashing.log_name(F.col("content")).alias("s"))
 
 
-@book.query("SELECT DISTINCT path, symbol, 'sym:' || substr(sha256(path || '|' || trim(regexp_replace(symbol, '\\s+', ' ', 'g'))), 1, 16) h FROM memory_refs WHERE path IS NOT NULL AND symbol IS NOT NULL")
+@book.query("SELECT DISTINCT path, symbol, 'sym:' || substr(sha256(path || chr(0) || trim(regexp_replace(symbol, '\\s+', ' ', 'g')) || chr(0)), 1, 32) h FROM memory_refs WHERE path IS NOT NULL AND symbol IS NOT NULL")
 def hash_symbol(spark, folder):
     r = table(spark, folder, "memory_refs").filter("path is not null and symbol is not null")
     return r.select("path", "symbol", hashing.symbol_hash(F.col("path"), F.col("symbol")).alias("h")).distinct()

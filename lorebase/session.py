@@ -7,9 +7,10 @@ import os
 import tempfile
 import uuid
 import zipfile
+from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOCAL_CONF = {
@@ -132,7 +133,26 @@ def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
-def spread_cumsum(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: str, out: str) -> DataFrame:
+def spread_last(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: str, out: str) -> DataFrame:
+    """The last ``value`` that is not null before each row, per ``keys`` in the order (bucket, *order), without one task per key.
+
+    ``bucket`` must rise with the order. The last value of each bucket (one row each) is carried over first; each bucket then runs on its own. Null keys and buckets are
+    keys and buckets of their own, nulls first.
+    """
+    from pyspark.sql import Window
+
+    seen = F.when(F.col(value).isNotNull(), F.struct(*order))
+    last = df.groupBy(*keys, bucket).agg(F.max_by(value, seen).alias("_last"))
+    w = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    at = [*keys, bucket]
+    last = last.select(*(F.col(c).alias(f"_{c}") for c in at), F.last("_last", ignorenulls=True).over(w).alias("_before"))
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in at))
+    inner = Window.partitionBy(*at).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = df.join(last, same).withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(inner), "_before"))
+    return joined.drop("_before", *(f"_{c}" for c in at))
+
+
+def spread_cumsum(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: str, out: str, kind: str = "long") -> DataFrame:
     """Exclusive running sum of ``value`` per ``keys`` in the order (bucket, *order), without one task per key.
 
     ``bucket`` must rise with the order. Bucket totals (few rows) are summed first; each bucket then runs on
@@ -141,7 +161,7 @@ def spread_cumsum(df: DataFrame, keys: list[str], bucket: str, order: list[str],
     """
     from pyspark.sql import Window
 
-    v = F.coalesce(F.col(value), F.lit(0)).cast("long")
+    v = F.coalesce(F.col(value), F.lit(0)).cast(kind)
     before = "_before_bucket"
     totals = df.groupBy(*keys, bucket).agg(F.sum(v).alias("_t"))
     w = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lorebase.functions.ids import canonical_id, said
 from lorebase.sources.tables import table
 
-#: All queries judge expiry and age at this time.
+#: The registered queries judge expiry and age at this time; operators take another as ``at``.
 AS_OF = "2026-01-01 00:00:00"
 
 MEMORY_COLUMNS = (
@@ -79,9 +79,14 @@ def proposals(spark: SparkSession, folder: str) -> DataFrame:
     return last.select("proposal_id", "v.member_ids", *(f"v.{c}" for c in PROPOSAL_COLUMNS))
 
 
-def live(m: DataFrame) -> DataFrame:
+def unexpired(at: Column | None = None) -> Column:
+    """Whether a record has not expired at a time, AS_OF unless told otherwise."""
+    return F.col("expires_at").isNull() | (F.col("expires_at") > (as_of() if at is None else at))
+
+
+def live(m: DataFrame, at: Column | None = None) -> DataFrame:
     """Active and not expired."""
-    return m.filter((F.col("status") == "active") & (F.col("expires_at").isNull() | (F.col("expires_at") > as_of())))
+    return m.filter((F.col("status") == "active") & unexpired(at))
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -42,16 +42,17 @@ def run_to_table(df: DataFrame, scratch: Scratch, name: str, mode: str = "append
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
-def run_updates(df: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Runs a stream of updates and gives those of its last micro-batch."""
+def run_updates(df: DataFrame, keys: list[str], scratch: Scratch, name: str) -> DataFrame:
+    """Runs a stream of updates and gives the last one of each key: a micro-batch replaces the rows of its own keys."""
     last = []
 
     def each(batch: DataFrame, n: int) -> None:
-        last.append(scratch.keep(batch))
+        batch = scratch.keep(batch)
+        last.append(batch if not last else scratch.keep(last[-1].join(batch.select(*keys), keys, "left_anti").unionByName(batch)))
 
     q = df.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", f"{scratch.root}/{name}-state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return last[-1]
+    return last[-1] if last else df.sparkSession.createDataFrame([], df.schema)
 
 
 def run_batches(df: DataFrame, checkpoint: str, each) -> None:

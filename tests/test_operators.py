@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lorebase.functions import coderef, hashing, jsonx, secrets, text, time
 from lorebase.functions.similarity import trigram_pairs
+from lorebase.session import Scratch
 from lorebase.operators import consolidate, context, evaluation, graph, refs, search, sessions, similar
 from lorebase.session import spread_cumsum
 from lorebase.sources import archive
@@ -109,7 +110,7 @@ def test_trigram_pairs_lose_nothing(spark):
     words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta"]
     texts = [" ".join(r.choices(words, k=6)) for _ in range(60)] + ["", None, "!!!"]
     rows = [(f"{n:03d}", n % 2, t) for n, t in enumerate(texts)]
-    got = {(x.a, x.b) for x in trigram_pairs(spark.createDataFrame(rows, "id string, block int, text string"), 0.7).collect()}
+    got = {(x.a, x.b) for x in trigram_pairs(Scratch(spark, "t"), spark.createDataFrame(rows, "id string, block int, text string"), 0.7).collect()}
     plain = lambda t: " ".join("".join(c if c.isalnum() else " " for c in (t or "").lower()).split())
     rep = {}
     for i, b, t in rows:
@@ -270,7 +271,7 @@ def test_candidate_pairs_by_text_and_vector_match_brute_force(spark, monkeypatch
     judged, waiting = sorted(want)[0], sorted(want)[-1][1]
     p = spark.createDataFrame([("p", list(judged), "dismissed"), ("q", [waiting, "gone"], "pending")], "proposal_id string, member_ids array<string>, status string")
     want = {k: s for k, s in want.items() if k != judged and waiting not in k}
-    got = {(x.a, x.b): x.sim for x in consolidate.candidate_pairs(m, vectors, p).collect()}
+    got = {(x.a, x.b): x.sim for x in consolidate.candidate_pairs(Scratch(spark, "t"), m, vectors, p).collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[k], s, abs_tol=2e-9) for k, s in want.items())
 
 

@@ -76,6 +76,27 @@ def apply_decisions(m: DataFrame, proposals: DataFrame) -> DataFrame:
     return each.select("proposal_id", "id", change.alias("change"))
 
 
+def to_propose(judged: DataFrame, proposals: DataFrame) -> DataFrame:
+    """(a, b, kind, status): proposals for judged pairs (a, b, verdict) whose set of members has none yet; a distinct pair is dismissed at once."""
+    known = proposals.filter(F.size("member_ids") == 2).select(F.element_at("member_ids", 1).alias("a"), F.element_at("member_ids", 2).alias("b"))
+    kind = F.when(F.col("verdict") == "same", "duplicate").otherwise(F.col("verdict"))
+    status = F.when(F.col("verdict") == "distinct", "dismissed").otherwise("pending")
+    return judged.join(known, ["a", "b"], "left_anti").select("a", "b", kind.alias("kind"), status.alias("status"))
+
+
+def reject(proposals: DataFrame, requests: DataFrame) -> DataFrame:
+    """(proposal_id, old_status, new_status) of rejecting requests (proposal_id): pending ones only."""
+    asked = proposals.filter("status = 'pending'").join(requests.select("proposal_id").distinct(), "proposal_id", "left_semi")
+    return asked.select("proposal_id", F.lit("pending").alias("old_status"), F.lit("rejected").alias("new_status"))
+
+
+def periods(proposals: DataFrame, m: DataFrame) -> DataFrame:
+    """(proposal_id, period): the day of a proposal's members, or the first and the last."""
+    each = members(proposals).join(m.filter("created_at is not null").select("id", "created_at"), "id")
+    by = each.groupBy("proposal_id").agg(F.date_format(F.min("created_at"), "yyyy-MM-dd").alias("a"), F.date_format(F.max("created_at"), "yyyy-MM-dd").alias("b"))
+    return by.select("proposal_id", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.concat_ws(" to ", "a", "b")).alias("period"))
+
+
 def judge(pairs: DataFrame) -> DataFrame:
     """(a, b, verdict, n): verdict of all judgements of a pair in either order, unclear where they disagree. pairs: a_id, b_id, relation."""
     from lorebase.functions.ids import canonical_id, said

@@ -28,6 +28,14 @@ def siblings(edges: DataFrame, relation: str = "derived_from", seeds: DataFrame
     return left.join(e.withColumnRenamed("id", "sibling"), "via").filter("id <> sibling").select("id", "sibling", "via")
 
 
+def to_insert(new: DataFrame, edges: DataFrame, m: DataFrame) -> DataFrame:
+    """(src, dst, relation): of new edges those to insert, once each: between two different known records, and not there yet."""
+    ids = m.select("id")
+    e = new.filter("src is not null and dst is not null and src <> dst and relation is not null").select("src", "dst", "relation").distinct()
+    e = e.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return e.join(edges.select("src", "dst", "relation"), ["src", "dst", "relation"], "left_anti").select("src", "dst", "relation")
+
+
 def derived_from(m: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, parent, mem_type, status): where each record comes from."""
     parents = m.select(F.col("id").alias("parent"), "mem_type", "status")

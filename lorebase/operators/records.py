@@ -69,11 +69,27 @@ def topk_per(m: DataFrame, keys: list[str], order: list[Column], k: int, rank: s
     return m.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
-def scope_overview(m: DataFrame) -> DataFrame:
-    """Active and proposed records per scope, the user's scope first."""
-    by = m.groupBy("scope").agg(
+def classified(m: DataFrame, kind: Column, confidence: Column) -> DataFrame:
+    """(id, mem_type, confidence): a classifier's answer made to fit: a record of the user's scope belongs to no project, confidences lie in 0..1, none is 0."""
+    fits = F.when(kind.isin("project", "codebase") & (F.col("scope") == "user"), "semantic").otherwise(kind)
+    return m.select("id", fits.alias("mem_type"), F.least(F.greatest(F.coalesce(confidence, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("confidence"))
+
+
+def judge_route(blank: Column, kind: Column) -> Column:
+    """Which question a judge is asked: abstain where there is no answer to expect, the kind's own, else standard."""
+    return F.when(blank, "abstain").otherwise(F.coalesce(kind, F.lit("standard")))
+
+
+def scope_counts(m: DataFrame) -> DataFrame:
+    """(scope, n_active, n_proposed)"""
+    return m.groupBy("scope").agg(
         F.count_if(F.col("status") == "active").alias("n_active"), F.count_if(F.col("status") == "proposed").alias("n_proposed")
     )
+
+
+def scope_overview(m: DataFrame) -> DataFrame:
+    """Active and proposed records per scope, the user's scope first."""
+    by = scope_counts(m)
     return by.orderBy(F.desc(F.col("scope") == "user"), "scope")
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lorebase.plans import composite, hygiene, relational, retrieval, scalars
+from lorebase.plans import composite, extras, hygiene, relational, retrieval, scalars
 
-MODULES = (hygiene, relational, scalars, retrieval, composite)
+MODULES = (hygiene, relational, scalars, retrieval, composite, extras)
 FLAGSHIP = "search_hybrid"
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lorebase.functions.hashing import log_name
 from lorebase.functions.time import parse_slashed, parse_spoken
 
 USER_CHARS, ASSISTANT_CHARS = 2500, 5000
@@ -64,6 +65,11 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return raw.filter("k is not null").select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl?$", 1).alias("session"), F.col("t").alias("at"), F.col("k").alias("kind"), F.col("p").alias("project"), F.col("b").alias("body"))
 
 
+def append_log(rows: DataFrame, path: str) -> None:
+    """Appends events (session_id, t, k, p, b) as JSON lines, a folder ``log=...`` per session named by a digest of its id. A session's rows go to one file a task."""
+    rows.withColumn("log", log_name(F.col("session_id"))).drop("session_id").write.mode("append").partitionBy("log").json(path)
+
+
 def category_label(c: Column) -> Column:
     """The name of a question category, other for any other."""
     return F.coalesce(*(F.when(c == n + 1, name) for n, name in enumerate(CATEGORIES)), F.lit("other"))

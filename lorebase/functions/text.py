@@ -70,7 +70,7 @@ def split_list(c: Column) -> Column:
 
 
 # a line of a conversation as it is written into a record: [date, session n, Dn:m] speaker: text
-TURN_LINE = r"^\[([^,\]]+), session (\d+), (D\d+:\d+)\] ([^:]+): (.*)$"
+TURN_LINE = r"(?s)^\[([^\]\n]+), session (\d+), (D\d+:\d+)\] ([^:\n]+): (.*)$"
 
 
 def turn_line(c: Column) -> Column:

@@ -35,13 +35,19 @@ def time_range(a: Column, b: Column) -> Column:
     )
 
 
+# fixed values: numbers that are spelled out
+NUMBERS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve")
+_NUMBERS = "|".join(NUMBERS)
+
+
 def calendar_meaning(expression: Column, day: Column) -> Column:
     """(first, last, approximate): the dates a relative expression means when said on ``day``; null where it means none.
 
-    Known: yesterday, today, tomorrow; N days or weeks ago (1 to 3660); last or next week (Monday to Sunday), month, year; last <weekday> (strictly before).
+    Known: yesterday, today, tomorrow; N days or weeks ago (1 to 3660, up to twelve in words too); last or next week (Monday to Sunday), month, year; last <weekday> (strictly before).
     """
     e = F.lower(F.trim(expression))
-    n = F.regexp_extract(e, r"^(\d{1,4}) (?:day|week)s? ago$", 1).cast("int")
+    said = F.regexp_extract(e, rf"^(\d{{1,5}}|{_NUMBERS}) (?:day|week)s? ago$", 1)
+    n = F.coalesce(*(F.when(said == w, k + 1) for k, w in enumerate(NUMBERS)), said.try_cast("int"))
     ok = (n >= 1) & (n <= 3660)
     weeks = e.rlike("weeks? ago$")
     name = F.regexp_extract(e, r"^last (monday|tuesday|wednesday|thursday|friday|saturday|sunday)$", 1)
@@ -60,7 +66,7 @@ def calendar_meaning(expression: Column, day: Column) -> Column:
         F.when(e == "yesterday", span(F.date_sub(day, 1), F.date_sub(day, 1)))
         .when(e == "today", span(F.date_sub(day, 0), F.date_sub(day, 0)))
         .when(e == "tomorrow", span(F.date_add(day, 1), F.date_add(day, 1)))
-        .when((e.rlike(r"^\d{1,4} (day|week)s? ago$")) & ok, span(ago, ago, weeks))
+        .when((said != "") & ok, span(ago, ago, weeks))
         .when(e == "last week", span(F.date_sub(monday, 7), F.date_sub(monday, 1)))
         .when(e == "next week", span(F.date_add(monday, 7), F.date_add(monday, 13)))
         .when(e == "last month", span(F.add_months(month, -1), F.date_sub(month, 1)))
@@ -71,14 +77,17 @@ def calendar_meaning(expression: Column, day: Column) -> Column:
     )
 
 
-CALENDAR = r"(?i)(?<![\w-])(yesterday|tomorrow|\d{1,4} (?:day|week)s? ago|(?:last|next) (?:week|month|year)|last (?:monday|tuesday|wednesday|thursday|friday|saturday|sunday))(?![\w-])"
-SCAN_MOST = 16
+# fixed values: words that make an expression another one, before it or after it
+MODIFIERS = ("about", "around", "roughly", "approximately", "almost", "nearly", "over", "under", "more", "less", "than", "least", "most", "exactly", "maybe", "not", "between", "either", "or", "to", "and")
+_MODIFIED = "".join(rf"(?<!\b{w} )" for w in MODIFIERS)
+CALENDAR = rf"(?i)(?<![\w\-+/\u2013\u2014]){_MODIFIED}(?<!\d )(yesterday|tomorrow|(?:\d{{1,5}}|{_NUMBERS}) (?:day|week)s? ago|(?:last|next) (?:week|month|year)|last (?:monday|tuesday|wednesday|thursday|friday|saturday|sunday))(?![\w\-+/\u2013\u2014])(?! (?:or|to|and) )"
 
 
-def calendar_expressions(text: Column) -> Column:
-    """Distinct relative expressions of a text, lower case, in order of mention."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(CALENDAR), F.lit(1)), lambda x: F.lower(x))
-    return F.slice(F.array_distinct(found), 1, SCAN_MOST)
+def calendar_expressions(text: Column, most: int | None = None) -> Column:
+    """Distinct relative expressions of a text, lower case, in order of mention; ``most`` keeps a reader's list short. One that a word beside it qualifies is left out:
+    what it means then is anyone's guess."""
+    found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(CALENDAR), F.lit(1)), lambda x: F.lower(x)))
+    return found if most is None else F.slice(found, 1, most)
 
 
 def parse_spoken(c: Column) -> Column:

@@ -45,6 +45,23 @@ def token_f1(pairs: DataFrame, key: str, gold: Column, answer: Column) -> DataFr
     return by.select(key, F.round(f1, 6).alias("f1"))
 
 
+def parts_f1(pairs: DataFrame, key: str, gold: Column, answer: Column) -> DataFrame:
+    """(key, f1) for answers that are lists: both sides are cut at commas, each part of the gold answer counts with the best of the answer's parts, and the mean is taken."""
+    from lorebase.functions.text import normalize_answer
+
+    cut = lambda c: F.transform(F.split(c, ","), lambda x: normalize_answer(F.trim(x)))
+    rows = pairs.select(key, cut(gold).alias("gs"), cut(answer).alias("ps"))
+    times = lambda ts, t: F.size(F.filter(ts, lambda x: x == t))
+
+    def one(g: Column, p: Column) -> Column:
+        both = F.aggregate(F.array_distinct(g), F.lit(0), lambda s, t: s + F.least(times(g, t), times(p, t)))
+        return F.when(both > 0, 2.0 * both / (F.size(g) + F.size(p))).otherwise(F.lit(0.0))
+
+    best = F.transform("gs", lambda g: F.array_max(F.transform("ps", lambda p: one(g, p))))
+    mean = F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / F.size("gs")
+    return rows.select(key, F.round(mean, 6).alias("f1"))
+
+
 def stratified(rows: DataFrame, stratum: str, key: str, size: int) -> DataFrame:
     """(stratum, key): ``size`` rows shared among strata by largest remainder, the lowest keys of each. (A sampling operator: the limit is the feature.)"""
     n = rows.groupBy(stratum).agg(F.count("*").alias("n"))

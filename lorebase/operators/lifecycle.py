@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.functions import jsonx
+from lorebase.functions import jsonx, secrets
 from lorebase.operators.records import latest_per
 from lorebase.sources.records import live
 
@@ -61,6 +61,16 @@ def soft_delete(m: DataFrame, requests: DataFrame) -> DataFrame:
     return asked.select("id", jsonx.to_object(jsonx.merge(jsonx.as_map(F.col("attrs")), extra)).alias("attrs"))
 
 
+def rewrite(m: DataFrame, at: Column, reason: str) -> DataFrame:
+    """(id, content, attrs, has_vector): records that hold a secret, in their text or anywhere in their attributes, as they are written again: redacted, stamped with when and why,
+    and without the vector that still knows the old text."""
+    clean = secrets.redact_json(m.select("id", "attrs"), "id", "attrs")
+    j = m.select("id", "content").join(clean, "id").withColumn("text", secrets.redact(F.col("content")))
+    hit = j.filter((F.size("found") > 0) | ~F.col("text").eqNullSafe(F.col("content")))
+    stamp = F.map_from_arrays(F.array(F.lit("redacted_at"), F.lit("reason")), F.array(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(reason)))
+    return hit.select("id", F.col("text").alias("content"), jsonx.to_object(jsonx.merge(jsonx.as_map(F.col("redacted")), stamp)).alias("attrs"), F.lit(False).alias("has_vector"))
+
+
 def latest_handoff(m: DataFrame, unresumed: bool = False) -> DataFrame:
     """(scope, id): the newest live handoff of each scope."""
     h = live(m).filter(F.get_json_object("attrs", "$.kind") == "handoff")

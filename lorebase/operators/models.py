@@ -47,7 +47,7 @@ def rerank(rows: DataFrame, score: Score) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        none = pd.DataFrame({"query_id": [], "id": [], "rerank": []})
+        none = pdf[["query_id", "id"]].iloc[:0].assign(rerank=np.empty(0))
         try:
             got = np.asarray(score((pdf["text"].iloc[0] or "")[:RERANK_QUERY], [(t or "")[:RERANK_TEXT] for t in pdf["content"]]), float)
         except Exception:

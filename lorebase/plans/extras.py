@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lorebase.functions import math, text
-from lorebase.operators import consolidate, graph, lifecycle, records, search
+from lorebase.functions import math, secrets, text
+from lorebase.operators import consolidate, evaluation, graph, lifecycle, records, search
 from lorebase.plans.book import Book
 from lorebase.plans.hygiene import cid
-from lorebase.plans.retrieval import _PIPE, _SEARCH, DISTANCE, _asked_of, _docs_of, _placed, _ranks, _store, _tok
+from lorebase.plans.retrieval import _NORM, _PIPE, _SEARCH, DISTANCE, _asked_of, _docs_of, _placed, _ranks, _store, _tok
 from lorebase.plans.sqlviews import AS_OF, EDGE, LIVE, MEM, PROP, REF, STALE, with_views
 from lorebase.session import Scratch
 from lorebase.sources import corpora
@@ -199,6 +199,38 @@ def reader_prompt(spark, folder):
     return hits.join(_docs_of(store).select("id", "content"), "id").groupBy("query_id").agg(F.substring(F.array_join(F.transform(rows, lambda x: x["line"]), "\n"), 1, 2000).alias("prompt"))
 
 
+@book.query()
+def json_walk_redact(spark, folder):
+    """Attributes with the secrets of all nested strings redacted."""
+    m = S.memory(spark, folder).filter("attrs is not null")
+    return secrets.redact_json(m.select("id", "attrs"), "id", "attrs").select("id", "redacted", F.size("found").alias("n_rules"))
+
+
+@book.query()
+def rewrite(spark, folder):
+    """Records with a secret as they are written again."""
+    return lifecycle.rewrite(S.memory(spark, folder), S.as_of(), "secret")
+
+
+def _parts(x: str) -> str:
+    return f"list_transform(string_split({x}, ','), lambda part: {_NORM.format(x='trim(part)')})"
+
+
+@book.query(
+    with_views(MEM)
+    + f""", pr AS (SELECT a.id, {_parts('b.content')} gs, {_parts('a.content')} ps FROM mem a JOIN mem b ON b.id = a.supersedes WHERE a.content IS NOT NULL AND b.content IS NOT NULL),
+g AS (SELECT id, i, gs[i] gt FROM (SELECT id, gs, unnest(range(1, len(gs) + 1)) i FROM pr)), p AS (SELECT id, k, ps[k] pt FROM (SELECT id, ps, unnest(range(1, len(ps) + 1)) k FROM pr)),
+c AS (SELECT g.id, i, len(gt) + len(pt) n, coalesce(list_sum(list_transform(list_distinct(gt), lambda t: least(len(list_filter(gt, lambda u: u = t)), len(list_filter(pt, lambda u: u = t))))), 0) c FROM g JOIN p USING (id)),
+b AS (SELECT id, i, max(CASE WHEN c > 0 THEN 2.0::DOUBLE * c / n ELSE 0 END) f FROM c GROUP BY ALL)
+SELECT id, round(avg(f), 6) f1 FROM b GROUP BY ALL"""
+)
+def parts_f1(spark, folder):
+    """F1 of each record's comma-separated parts against those of the one it supersedes."""
+    m = S.memory(spark, folder).filter("content is not null")
+    old = m.select(F.col("id").alias("supersedes"), F.col("content").alias("gold"))
+    return evaluation.parts_f1(m.join(old, "supersedes"), "id", F.col("gold"), F.col("content"))
+
+
 # ---- search
 
 

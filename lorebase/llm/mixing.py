@@ -108,8 +108,10 @@ def mix(
         placed.select("source", F.floor(F.col("before") / block_tokens).alias("block"), "before", "doc_id", "repeat", "n_tokens")
     )
     schedule = slots(spark, quotas, block_tokens)
-    mixed = blocks.join(schedule, ["source", "block"]).select(
-        "slot", (F.col("before") - F.col("block") * block_tokens).alias("at"), "doc_id", "source", "repeat", "n_tokens"
+    # a block without a slot must not vanish: there are more slots than blocks, and where there are not the job ends
+    slot = F.when(F.col("slot").isNotNull(), F.col("slot")).otherwise(F.raise_error(F.lit("a block has no slot")).cast("long")).alias("slot")
+    mixed = blocks.join(schedule, ["source", "block"], "left").select(
+        slot, (F.col("before") - F.col("block") * block_tokens).alias("at"), "doc_id", "source", "repeat", "n_tokens"
     )
     return mixed, _report(spark, blocks, wanted, tokens)
 

@@ -52,6 +52,17 @@ def tokenizer(path: str):
     return t
 
 
+@lru_cache(maxsize=4)
+def cuts(path: str) -> bool:
+    """Whether a text may be cut at blanks: only a byte-level vocabulary with the usual pattern and no normalizer begins a new piece there. Others encode each text whole."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    pre = d.get("pre_tokenizer") or {}
+    return d.get("normalizer") is None and pre.get("type") == "ByteLevel" and bool(pre.get("use_regex", True)) and not pre.get("add_prefix_space")
+
+
 @lru_cache(maxsize=4)
 def _known(path: str) -> dict[str, bytes]:
     return {}
@@ -63,7 +74,7 @@ def _packed(texts: list[str | None], path: str) -> Iterator[bytes]:
     for at in range(0, len(texts), SLICE):
         if len(known) > REMEMBERED:
             known.clear()
-        cut = [_CUT.split(t) if t else [] for t in texts[at : at + SLICE]]
+        cut = [(_CUT.split(t) if cuts(path) else [t]) if t else [] for t in texts[at : at + SLICE]]
         new = list(set().union(*cut) - known.keys())
         if new:
             for p, e in zip(new, tokenizer(path).encode_batch_fast(new, add_special_tokens=False)):

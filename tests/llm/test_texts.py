@@ -160,6 +160,13 @@ def test_pii_over_tables(spark):
 TEXTS = ["", "a  b", "  a ", "don't we'll", "한 글 테스트", "<|endoftext|> x <|endoftext|>", "a​ b", "\U0001f600 \U0001f600", "x\x1c y", " \n a b\t c", "é é", "long " * 5000, "w" * 3000]
 
 
+def test_a_vocabulary_that_cuts_otherwise_encodes_whole_texts():
+    other = f"{tokens.VOCABULARY_FOLDER}/word_bpe_49k.json"
+    assert tokens.cuts(PATH) and not tokens.cuts(other)
+    texts = ["Don't  stop 12 times", "  A b", "", None, "e\u0301 x"]
+    assert tokens.encode_batch(texts, other) == [tokens.tokenizer(other).encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_ids_are_those_of_the_library():
     t = tokens.tokenizer(PATH)
     want = [e.ids for e in t.encode_batch(TEXTS, add_special_tokens=False)]

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorebase.functions.ids import canonical_id, said
-from lorebase.session import Scratch, exists
+from lorebase.session import Scratch, exists, free_plans
 
 #: (table, field that names a memory)
 REFERENCES = (
@@ -41,6 +41,8 @@ INDEX = "id string, first_loaded timestamp, newest struct<updated_at:timestamp,l
 JUDGED = "src_table string, line_no long, ref_field string, target string, loaded_at timestamp, was string, batch int, standing string"
 #: Months of arrivals that one batch takes, the period of the reports.
 MONTHS = 1
+#: Batches after which a driver that runs many of them in a row lets go of their plans.
+PLANS_KEPT = 3
 
 
 def references(tables: dict[str, DataFrame]) -> DataFrame:
@@ -110,16 +112,18 @@ class OrphanTracker:
             return
         n = self.n + 1
         judge = refs.select(*REF_COLUMNS, F.lit(None).cast("string").alias("was"))
+        keys = refs.select(F.col("target").alias("id"))
         if parents is not None:
             self._append(_merge_parents(parents), "index", n)
+            arrived = self._index().filter(F.col("batch") == n)
             if self.n:
-                judge = judge.unionByName(self._called_up(self._index().filter(F.col("batch") == n)))
-        judge = self.scratch.keep(judge)
+                judge = judge.unionByName(self._called_up(arrived))
+                # what is called up names a parent that arrived
+                keys = keys.unionByName(arrived.select("id"))
         # a hot target is looked up once
-        found = self._lookup(judge.select(F.col("target").alias("id")).distinct(), n).withColumnRenamed("id", "target")
+        found = self._lookup(keys.distinct(), n).withColumnRenamed("id", "target")
         judged = judge.join(found, "target", "left").select(*REF_COLUMNS, "was", _standing().alias("standing"))
         self._append(judged.hint("rebalance"), "judged", n, by="standing")
-        self.scratch.drop(judge)
         self.n = n
         if self.lasting:
             self.spark.range(1).select(F.lit(n).alias("n")).write.mode("overwrite").json(f"{self.folder}/done/{n:09d}")
@@ -179,11 +183,10 @@ class OrphanTracker:
 
     def _called_up(self, arrived: DataFrame) -> DataFrame:
         """The references that these parents may change: those that wait for one, and settled ones of a deleted one."""
-        ids = arrived.select(F.col("id").alias("target"), (F.col("newest.status") == "deleted").alias("gone"))
+        ids = arrived.select(F.col("id").alias("_id"), (F.col("newest.status") == "deleted").alias("_gone"))
         log = self._log()
-        waiting = log.filter("standing <> 'ok'").join(ids.select("target"), "target", "left_semi")
-        settled = log.filter("standing = 'ok'").join(ids.filter("gone").select("target"), "target", "left_semi")
-        return self._current(waiting.unionByName(settled), log).select(*REF_COLUMNS, F.col("standing").alias("was"))
+        touched = log.join(ids, (F.col("target") == F.col("_id")) & ((F.col("standing") != "ok") | F.col("_gone")), "left_semi")
+        return self._current(touched, log).select(*REF_COLUMNS, F.col("standing").alias("was"))
 
     def _lookup(self, keys: DataFrame, n: int) -> DataFrame:
         """The index rows of some ids (id) as of batch n."""
@@ -252,4 +255,6 @@ def track(spark: SparkSession, tables: dict[str, DataFrame], months: int = MONTH
     for n in range(1, len(days) + 1):
         own = F.col("batch") == n
         tracker.take(parents.filter(own).drop("batch"), refs.filter(own).drop("batch"))
+        if n % PLANS_KEPT == 0:
+            free_plans(spark)
     return tracker, days

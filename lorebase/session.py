@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -80,6 +81,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def free_plans(spark: SparkSession) -> None:
+    """Gives back the driver's memory that the plans of past jobs took; a loop of many small jobs would else hold all the heap it may have."""
+    gc.collect()  # what Python still refers to is kept alive in the JVM
+    spark._jvm.java.lang.System.gc()
+
+
 class Scratch:
     """Tables written to the shared folder so that later stages start from files.
 

@@ -9,6 +9,7 @@ from lorebase.functions import secrets
 from lorebase.operators import consolidate, context, extract, graph, records, search, vectorindex
 from lorebase.plans.book import Book
 from lorebase.plans.retrieval import DISTANCE, _asked_of, _docs_of, _store
+from lorebase.plans.scalars import _collapse
 from lorebase.plans.sqlviews import AS_OF, EDGE, LIVE, MEM, PROP, REF, STALE, with_views
 from lorebase.session import Scratch, spread_cumsum
 from lorebase.sources import records as S
@@ -64,6 +65,13 @@ def memory_detail(spark, folder):
     return s.join(links, "id", "left").join(refs, "id", "left").join(newer, "id", "left").select("id", zero("n_links"), zero("n_refs"), zero("n_newer"))
 
 
+_SPANS = "list_filter(list_concat({each}), lambda x: length(x) >= 40)"
+
+
+def _spans(x: str) -> str:
+    return _SPANS.format(each=", ".join(f"regexp_extract_all({x}, '{q}', 1)" for q in extract.QUOTES))
+
+
 _T = "list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: length(t) >= 2)"
 
 
@@ -81,7 +89,27 @@ def grounded(spark, folder):
     return m.join(s, "session_id").select("line_no", extract.grounded(F.col("content"), F.col("session")).alias("grounded"))
 
 
-@book.query()
+def _secret_sql(x: str) -> str:
+    """Whether a text breaks a rule; what a rule only looks ahead to is part of the match here."""
+    return " OR ".join(f"regexp_matches({x}, '{rule.replace(chr(39), chr(39) * 2).replace('(?=@)', '@')}')" for _, rule in secrets.RULES)
+
+
+def _inside_sql(source: str) -> str:
+    """Whether a text (plain, of tokens a) stands in a source (of tokens h), as it is or with most of its tokens."""
+    return f"(contains(lower({_collapse(source)}), lower(plain)) OR CASE WHEN len(a) > 0 THEN len(list_filter(a, lambda x: list_contains(h, x)))::DOUBLE / len(a) ELSE 0 END >= 0.7)"
+
+
+@book.query(
+    f"""WITH s AS (SELECT session_id, max(session) source FROM sessions WHERE session IS NOT NULL GROUP BY ALL),
+c AS (SELECT line_no cand_id, session_id, source, confidence, {_collapse("coalesce(content, '')")} plain FROM memories JOIN s ON s.session_id = source_session),
+g AS (SELECT cand_id, {_inside_sql('source')} ok FROM (SELECT cand_id, plain, source, {_T.format(x='plain')} a, {_T.format(x='source')} h FROM c)),
+q AS (SELECT cand_id, bool_or(len(a) > 0 AND {_inside_sql('q')}) quoted FROM (SELECT cand_id, plain, q, {_T.format(x='plain')} a, {_T.format(x='q')} h FROM (SELECT cand_id, plain, unnest({_spans('source')}) q FROM c)) GROUP BY ALL),
+f AS (SELECT c.*, CASE WHEN length(plain) < 8 THEN 'short' WHEN length(plain) > 400 THEN 'long' WHEN {_secret_sql('plain')} THEN 'secret' WHEN coalesce(confidence, 0) < 0.5 THEN 'unsure'
+  WHEN NOT ok THEN 'not_grounded' WHEN quoted THEN 'quoted' END r FROM c JOIN g USING (cand_id) LEFT JOIN q USING (cand_id)),
+t AS (SELECT *, CASE WHEN r IS NOT NULL THEN r WHEN row_number() OVER (PARTITION BY session_id, r, lower(plain) ORDER BY cand_id) > 1 THEN 'repeated' END v FROM f),
+z AS (SELECT v, row_number() OVER (PARTITION BY session_id, v ORDER BY confidence DESC NULLS LAST, cand_id) place FROM t)
+SELECT coalesce(v, CASE WHEN place > 8 THEN 'too_many' END, 'kept') outcome, count(*) n FROM z GROUP BY ALL"""
+)
 def extract_validate(spark, folder):
     """Records as candidates, judged against the sessions they come from."""
     s = table(spark, folder, "sessions").filter("session is not null").groupBy("session_id").agg(F.max("session").alias("source"))
@@ -190,9 +218,9 @@ def reader_context(spark, folder):
     return context.reader_context(hits, S.live(S.memory(spark, folder)).select("id", "scope", "source_session", "content", "created_at"))
 
 
-@book.query("SELECT doc_id, len(regexp_extract_all(text, '\"[^\"]{40,}\"'))::INT n FROM documents WHERE text IS NOT NULL AND NOT contains(text, '```') AND NOT regexp_matches(text, '[“「]')")
+@book.query(f"SELECT doc_id, len({_spans('text')})::INT n FROM documents WHERE text IS NOT NULL")
 def quoted_spans(spark, folder):
-    """Of every document; its SQL knows plain quotes only and leaves out documents with others."""
+    """How many long spans every document quotes, in all four kinds of quotes."""
     d = S.documents(spark, folder).filter("text is not null")
     return d.select("doc_id", F.size(extract.quoted_spans(F.col("text"))).alias("n"))
 

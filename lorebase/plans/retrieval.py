@@ -456,7 +456,14 @@ def get_context(spark, folder):
     return context.assemble(S.memory(spark, folder), S.refs(spark, folder))
 
 
-@book.query()
+@book.query(
+    r"""WITH s AS (SELECT DISTINCT session_no, regexp_replace(session, '\r\n?', chr(10), 'g') t FROM sessions WHERE session IS NOT NULL),
+p AS (SELECT session_no, list_transform(list_filter(string_split(regexp_extract(t, '(?s)\nRequests:\n(.*?)(?:\nFinal response:|$)', 1), chr(10)), lambda x: starts_with(x, '- ')), lambda x: trim(substr(x, 3))) asked,
+  regexp_extract(t, '(?s)\nFinal response:\n(.*)$', 1) said FROM s),
+f AS (SELECT session_no, said, list_filter(asked, lambda x, i: i = 1 OR x <> asked[i - 1]) x FROM p),
+w AS (SELECT session_no, said, len(x)::INT n_fresh, CASE WHEN len(x) > 8 THEN list_concat(x[1:3], ['... ' || (len(x) - 8) || ' more'], x[len(x) - 4:len(x)]) ELSE x END shown FROM f)
+SELECT session_no, n_fresh, substr(coalesce(array_to_string(list_transform(shown, lambda x: '- ' || x), chr(10)), '') || chr(10) || substr(said, 1, 1200), 1, 4000) summary FROM w"""
+)
 def session_summary(spark, folder):
     return sessions.summarise(table(spark, folder, "sessions"))
 

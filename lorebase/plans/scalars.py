@@ -44,7 +44,7 @@ def fn_octet_len(spark, folder):
     return table(spark, folder, "memories").select("line_no", F.octet_length("content").alias("n"))
 
 
-@book.query()
+@book.query("SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 200 THEN text ELSE substr(text, 1, list_max(list_filter(range(0, 201), lambda k: octet_length(encode(substr(text, 1, k))) <= 200))) END t FROM documents")
 def fn_clip_bytes(spark, folder):
     return S.documents(spark, folder).select("doc_id", text.clip_bytes(F.col("text"), 200).alias("t"))
 
@@ -64,7 +64,13 @@ def fn_sanitize_agent(spark, folder):
     return table(spark, folder, "memories").select("line_no", text.sanitize_agent(F.col("source_agent")).alias("a"))
 
 
-@book.query()
+@book.query(
+    r"""WITH r AS (SELECT line_no, unnest(regexp_extract_all(content, '(\S+@\S+:\S+|https?://\S+)', 1)) remote FROM memories), a AS (SELECT *, trim(regexp_replace(remote, '[.,;)]+$', '')) s FROM r),
+b AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(s, '^[a-zA-Z][a-zA-Z0-9+.-]*://', ''), '[?#].*$', ''), '^[^@/]*@', '') t FROM a),
+c AS (SELECT *, regexp_replace(regexp_replace(t, '^([^/:]+):\d+/', '\1/'), '^([^/:]+):', '\1/') u FROM b),
+d AS (SELECT *, lower(regexp_replace(regexp_replace(regexp_replace(u, '/+', '/', 'g'), '/$', ''), '(?i)\.git$', '')) v FROM c)
+SELECT line_no, remote, CASE WHEN NOT regexp_matches(s, '^(/|\.|~|file:|[A-Za-z]:[\\/])') AND regexp_matches(v, '^[a-z0-9.-]+\.[a-z0-9-]+/[^/\s]') THEN v END project FROM d"""
+)
 def fn_normalize_project(spark, folder):
     """Remotes named in contents, normalised."""
     m = table(spark, folder, "memories").select("line_no", F.explode(F.regexp_extract_all("content", F.lit(r"(\S+@\S+:\S+|https?://\S+)"), F.lit(1))).alias("remote"))
@@ -252,7 +258,17 @@ def coderef_backfill(spark, folder):
     return backfill(S.memory(spark, folder), S.refs(spark, folder))
 
 
-@book.query()
+def _redacted(x: str) -> str:
+    for name, rule in secrets.RULES:
+        ahead = "@" if "(?=@)" in rule else ""  # what a rule only looks ahead to is matched and put back
+        x = f"regexp_replace({x}, '{rule.replace(chr(39), chr(39) * 2).replace('(?=@)', '@')}', '\\1[REDACTED:{name}]{ahead}', 'g')"
+    return x
+
+
+@book.query(
+    f"""WITH t AS (SELECT 'memories' src_table, concat_ws(chr(10), content, attrs) t FROM memories UNION ALL SELECT 'sessions', coalesce(session, '') FROM sessions)
+SELECT src_table, count(*) n_rows, count(*) FILTER (WHERE {_redacted('t')} <> t) n_with_secret, sum(length({_redacted('t')}))::BIGINT n_chars_after FROM t GROUP BY ALL"""
+)
 def secret_redact(spark, folder):
     """Records and sessions with a secret, and how much of them redaction replaces. The tables hold few or none: the rules are tested on a fixture."""
     a = table(spark, folder, "memories").select(F.lit("memories").alias("src_table"), F.col("line_no").alias("row_no"), F.concat_ws("\n", "content", "attrs").alias("t"))

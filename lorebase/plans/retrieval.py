@@ -109,18 +109,49 @@ def temporal_intent(spark, folder):
     return _asked(spark, folder).select("query_id", search.temporal_intent(F.col("text")).alias("intent"))
 
 
-@book.query()
+# configurations of the pipeline; no_rerank is the hybrid search with its signals
+_OFF = {"graph": False, "use_recency": False, "use_stale": False}
+CONFIGURATIONS = {
+    "full": {},
+    "no_graph": {"graph": False},
+    "no_recency": {"use_recency": False},
+    "no_stale": {"use_stale": False},
+    "no_rerank": {"rerank": False},
+    "lexical": {"vectors": False, "rerank": False, **_OFF},
+    "lexical_signals": {"vectors": False, "rerank": False},
+    "hybrid": {"rerank": False, **_OFF},
+    "hybrid_rerank": _OFF,
+}
+_REL = "rel AS (SELECT DISTINCT query_id, id FROM (SELECT src query_id, dst id FROM edge UNION SELECT dst, src FROM edge) WHERE query_id IN (SELECT query_id FROM asked) AND id IN (SELECT id FROM live))"
+
+
+def _configured(name: str, rerank: bool = True, graph: bool = True, use_recency: bool = True, use_stale: bool = True, vectors: bool = True) -> str:
+    """The metrics of one configuration: the stages of the pipeline with some of them emptied."""
+    stages = _PIPE
+    for on, stage, without in (
+        (vectors, "* 61 / 2, 9) score FROM (SELECT query_id, id, r FROM lexr UNION ALL SELECT query_id, id, r FROM vecr)", "* 61, 9) score FROM lexr"),
+        (rerank and graph, "WHERE id <> r.query_id)", "WHERE false)"),
+        (rerank, "<= 15 reranked", "< 0 reranked"),
+        (use_stale, "s1 * coalesce(factor, 1.0) *", "s1 *"),
+        (use_recency, "* CASE WHEN regexp_matches", "* CASE WHEN true THEN 1.0 WHEN regexp_matches"),
+    ):
+        if stage not in stages:
+            raise ValueError(stage)
+        stages = stages if on else stages.replace(stage, without)
+    return f"""SELECT '{name}' config, count(*) n, round(avg(recall5), 6) recall5, round(avg(hit5), 6) hit5, round(avg(rr10), 6) mrr10 FROM (WITH {stages},
+ranked AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY reranked DESC, score DESC, created_at DESC, id DESC) place FROM fin) WHERE place <= 10)
+SELECT query_id, round(count(*) FILTER (WHERE place <= 5)::DOUBLE / least(count(*), 5), 6) recall5, (count(*) FILTER (WHERE place <= 5) > 0)::INT hit5,
+  round(CASE WHEN min(place) <= 10 THEN 1.0::DOUBLE / min(place) ELSE 0 END, 6) rr10 FROM rel LEFT JOIN ranked USING (query_id, id) GROUP BY ALL)"""
+
+
+@book.query(with_views(MEM, LIVE, EDGE, REF, _SEARCH, _REL) + " UNION ALL ".join(_configured(name, **options) for name, options in CONFIGURATIONS.items()))
 def eval_ablation(spark, folder):
     """Metrics of pipeline configurations: the records an edge links to the asking one are relevant."""
     store = _store(spark, folder)
     asked, docs = _asked_of(store), _docs_of(store)
     rel = _relevant(spark, folder, store)
-    # no_rerank is the hybrid search with its signals
-    off = {"graph": False, "use_recency": False, "use_stale": False}
-    parts = {"full": {}, "no_graph": {"graph": False}, "no_recency": {"use_recency": False}, "no_stale": {"use_stale": False}, "no_rerank": {"rerank": False}}
-    parts |= {"lexical": {"vectors": False, "rerank": False, **off}, "lexical_signals": {"vectors": False, "rerank": False}, "hybrid": {"rerank": False, **off}, "hybrid_rerank": off}
     out = None
-    for name, options in parts.items():
+    for name, options in CONFIGURATIONS.items():
         ranked = search.pipeline(spark, asked, docs, S.edges(spark, folder), S.refs(spark, folder), most=DISTANCE, **options)
         row = evaluation.summary(evaluation.ranking_metrics(ranked, rel)).withColumn("config", F.lit(name))
         out = row if out is None else out.unionByName(row)
@@ -133,9 +164,6 @@ def _relevant(spark, folder, store):
     return both.join(_asked_of(store).select("query_id"), "query_id", "left_semi").join(_docs_of(store).select("id"), "id", "left_semi")
 
 
-_REL = "rel AS (SELECT DISTINCT query_id, id FROM (SELECT src query_id, dst id FROM edge UNION SELECT dst, src FROM edge) WHERE query_id IN (SELECT query_id FROM asked) AND id IN (SELECT id FROM live))"
-
-
 @book.query(
     with_views(MEM, LIVE, EDGE, _SEARCH, _ranks(50), _placed(10), _REL)
     + """SELECT query_id, round(count(*) FILTER (WHERE place <= 5) / least(count(*), 5), 6) recall5, (count(*) FILTER (WHERE place <= 5) > 0)::INT hit5,
@@ -341,7 +369,13 @@ def state_reject(spark, folder):
     return lifecycle.reject(m, m.filter("confidence < 0.5"))
 
 
-@book.query()
+@book.query(
+    with_views(MEM)
+    + """, d AS (SELECT id, attrs, trust, coalesce(source_agent, '') agent FROM mem WHERE status = 'superseded'),
+k AS (SELECT *, unnest(list_distinct(list_concat(coalesce(json_keys(attrs), []), ['forgotten_by'], CASE WHEN trust = 'external' THEN ['reason'] ELSE [] END))) k FROM d),
+kv AS (SELECT id, k, CASE WHEN k = 'forgotten_by' THEN agent WHEN k = 'reason' AND trust = 'external' THEN 'untrusted' ELSE json_extract_string(attrs, '$."' || k || '"') END v FROM k)
+SELECT id, '{' || string_agg(to_json(k)::VARCHAR || ':' || coalesce(to_json(v)::VARCHAR, 'null'), ',' ORDER BY k) || '}' attrs FROM kv GROUP BY id"""
+)
 def state_soft_delete(spark, folder):
     m = S.memory(spark, folder)
     reason = F.when(F.col("trust") == "external", F.lit("untrusted"))
@@ -450,7 +484,28 @@ def token_estimate(spark, folder):
     return S.memory(spark, folder).select("id", context.token_estimate(F.col("content"), F.col("scope")).alias("n"))
 
 
-@book.query()
+_FIRST = "row_number() OVER (PARTITION BY {by} ORDER BY {first}created_at DESC NULLS LAST, id DESC)"
+
+
+@book.query(
+    with_views(
+        MEM,
+        LIVE,
+        REF,
+        STALE,
+        "scopes AS (SELECT DISTINCT scope FROM live WHERE starts_with(scope, 'project:'))",
+        f"""secs AS (SELECT scope, id, content, own, 1000 + n ord FROM (SELECT *, {_FIRST.format(by='scope', first='')} n FROM (SELECT s.scope, id, content, l.scope own, created_at FROM scopes s JOIN live l ON l.scope IN ('user', s.scope) WHERE mem_type = 'preference')) WHERE n <= 50
+  UNION ALL SELECT scope, id, content, scope, 2001 FROM (SELECT *, {_FIRST.format(by='scope', first='')} n FROM live WHERE json_extract_string(attrs, '$.kind') = 'handoff' AND json_extract_string(attrs, '$.resumed_at') IS NULL) WHERE n = 1
+  UNION ALL SELECT scope, id, substr(content, 1, 800), scope, 3000 + n FROM (SELECT *, {_FIRST.format(by='scope', first='')} n FROM live WHERE mem_type = 'episodic') WHERE n <= 3
+  UNION ALL SELECT scope, id, content, scope, 4000 + n FROM (SELECT *, {_FIRST.format(by='scope', first='id IN (SELECT id FROM stale), ')} n FROM live WHERE mem_type IN ('project', 'codebase', 'semantic')) WHERE n <= 50)""",
+        """items AS (SELECT scope, ord, id, ((octet_length(encode(coalesce(content, ''))) + octet_length(encode(own))) // 3 + 40)::INT tokens, row_number() OVER (PARTITION BY scope ORDER BY ord) i FROM secs WHERE scope IN (SELECT scope FROM scopes))""",
+        """fold AS (SELECT scope, 0::BIGINT i, 0 used, false cut, []::VARCHAR[] got, false took FROM scopes
+  UNION ALL SELECT f.scope, x.i, CASE WHEN y.fits THEN used + tokens ELSE used END, cut OR NOT (y.fits OR y.seen), CASE WHEN y.fits THEN list_append(got, id) ELSE got END, y.fits
+  FROM fold f JOIN items x ON x.scope = f.scope AND x.i = f.i + 1, LATERAL (SELECT list_contains(got, id) seen, NOT list_contains(got, id) AND used + tokens <= 2000 fits) y)""",
+        recursive=True,
+    )
+    + "SELECT scope, ord, id, tokens, bool_or(cut) OVER (PARTITION BY scope) truncated FROM items JOIN fold USING (scope, i) QUALIFY took"
+)
 def get_context(spark, folder):
     """The context of each project scope within the default budget."""
     return context.assemble(S.memory(spark, folder), S.refs(spark, folder))

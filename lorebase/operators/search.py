@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lorebase.functions.similarity import PART, cosine, in_parts
 from lorebase.operators import models
+from lorebase.operators.lexical import best
 from lorebase.operators.models import Score
 from lorebase.session import Scratch
 from lorebase.sources.records import as_of
@@ -34,11 +35,10 @@ def candidates_per_ranker(limit: int) -> int:
     return max(50, 4 * limit)
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(scope, t, id, gain): one row per term of a record. gain is the sum of 1 / j**2 over its occurrences: it saturates, and knows no other record."""
-    each = docs.select("id", "scope", F.explode(terms(F.col("content"))).alias("t")).groupBy("id", "scope", "t").agg(F.count("*").alias("tf"))
-    gain = F.aggregate(F.sequence(F.lit(1), F.col("tf")), F.lit(0.0), lambda s, j: s + 1.0 / (j * j))
-    return each.select("scope", "t", "id", gain.alias("gain"))
+def _joined(text: str, name: str, once: bool) -> Column:
+    """A text's terms set apart by blanks, which no term has."""
+    ts = terms(F.col(text))
+    return F.array_join(F.array_distinct(ts) if once else ts, " ").alias(name)
 
 
 def seen_scopes(queries: DataFrame) -> DataFrame:
@@ -47,24 +47,20 @@ def seen_scopes(queries: DataFrame) -> DataFrame:
 
 
 def lexical(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, lex, rank): any query term may match; the k best of each query."""
-    q = queries.select("query_id", "scope", F.array_distinct(terms(F.col("text"))).alias("ts")).withColumn("n", F.size("ts"))
-    asked = seen_scopes(q.filter("n > 0")).select("query_id", "scope", "n", F.explode("ts").alias("t"))
-    return _lexical_ranks(asked.join(postings(docs), ["scope", "t"]), k)
+    """(query_id, id, lex, rank): any query term may match; the k best of each query. A term's gain is the sum of 1 / j**2 over its occurrences: it saturates, and knows no other record."""
+    return _lexical_ranks(seen_scopes(queries.select("query_id", "scope", _joined("text", "ts", True))), docs.select("id", "scope", _joined("content", "ts", False)), k)
 
 
 def lexical_everywhere(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """As :func:`lexical`, over the records of all scopes."""
-    q = queries.select("query_id", F.array_distinct(terms(F.col("text"))).alias("ts")).withColumn("n", F.size("ts"))
-    asked = q.filter("n > 0").select("query_id", "n", F.explode("ts").alias("t"))
-    return _lexical_ranks(asked.join(postings(docs).drop("scope"), "t"), k)
+    one = F.lit("").alias("scope")
+    return _lexical_ranks(queries.select("query_id", one, _joined("text", "ts", True)), docs.select("id", one, _joined("content", "ts", False)), k)
 
 
-def _lexical_ranks(hits: DataFrame, k: int) -> DataFrame:
-    hits = hits.filter("id <> query_id")
-    score = F.round(F.sum("gain") / F.first("n"), 9).alias("lex")
+def _lexical_ranks(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    hits = best(queries.filter("query_id is not null and ts <> ''"), docs.filter("id is not null and ts <> ''"), k)
     w = Window.partitionBy("query_id").orderBy(F.desc("lex"), F.desc("id"))
-    return hits.groupBy("query_id", "id").agg(score).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def vector(queries: DataFrame, docs: DataFrame, k: int, most: float = DISTANCE_MOST) -> DataFrame:

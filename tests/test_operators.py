@@ -155,6 +155,34 @@ def test_search(spark):
     assert one(spark, ["what did we decide last week", "last-write wins", "최근 결정", "nothing", None], search.temporal_intent) == [True, False, True, False, False]
 
 
+def test_lexical_ranks_in_parts_and_ships_only_the_best_of_each(spark, monkeypatch):
+    from lorebase.operators import lexical
+
+    monkeypatch.setattr(lexical, "PART_BYTES", 3000)
+    monkeypatch.setattr(lexical, "BLOCK", 7)
+    r = random.Random(11)
+    words = [*["every"] * 40, *[f"w{n}" for n in range(60)], "\u00fcber", "\ud55c\uad6d", "a\u0308"]
+    scopes = ["user", "project:x", "project:y", None]
+    rows = [(f"{n:04d}", r.choice(scopes), " ".join(r.choices(words, k=r.randint(0, 12))).upper() if n % 9 else None) for n in range(700)]
+    asking = [x for x in rows if r.random() < 0.08] + [("other", "project:x", "every w1 w1 w2 nothing"), ("lone", "project:none", "w3"), ("mute", "user", "?!")]
+    q = spark.createDataFrame(asking, "query_id string, scope string, text string")
+    d = spark.createDataFrame(rows, "id string, scope string, content string")
+    cut = lambda t: [w for w in "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()]
+    gains = {i: {t: sum(1 / j**2 for j in range(1, cut(t0).count(t) + 1)) for t in set(cut(t0))} for i, _, t0 in rows}
+    for everywhere, found in ((False, search.lexical(q, d, 5)), (True, search.lexical_everywhere(q, d, 5))):
+        want = set()
+        for i, scope, text in asking:
+            ts = set(cut(text))
+            seen = [x for x in rows if x[0] != i and (everywhere or x[1] in ("user", scope or "user"))]
+            hits = sorted(((round(sum(gains[x[0]].get(t, 0) for t in ts) / len(ts), 9), x[0]) for x in seen if ts & set(gains[x[0]])), reverse=True)
+            want |= {(i, b, lex, n) for n, (lex, b) in enumerate(hits[:5], 1)}
+        assert {(x.query_id, x.id, x.lex, x["rank"]) for x in found.collect()} == want
+    ts = lambda c, once: search._joined(c, "ts", once)
+    of = lexical.best(q.select("query_id", F.lit("").alias("scope"), ts("text", True)).filter("ts <> ''"), d.select("id", F.lit("").alias("scope"), ts("content", False)).filter("ts <> ''"), 5)
+    n = of.groupBy("query_id").count().agg(F.max("count")).first()[0]
+    assert 5 < n <= 5 * 10  # several parts, five of each, however many records share a word
+
+
 def test_pipeline_degrades_without_reranker(spark):
     q = spark.createDataFrame([("q1", "alpha", "project:x", [1.0, 0.0])], "query_id string, text string, scope string, vec array<float>")
     edges = spark.createDataFrame([("a", "b", "relates_to")], "src string, dst string, relation string")

@@ -241,7 +241,7 @@ la AS (SELECT query_id, id, round(sum(gain) / any_value(n), 9) lex FROM qt JOIN
 SELECT query_id, id, lex, (row_number() OVER (PARTITION BY query_id ORDER BY lex DESC, id DESC))::INT "rank" FROM la QUALIFY "rank" <= 50"""
 )
 def search_all_scopes(spark, folder):
-    store = _store(spark, folder)
+    store = _store(spark, folder, vectors=False)
     return search.lexical_everywhere(_asked_of(store), _docs_of(store), 50)
 
 

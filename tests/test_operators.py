@@ -361,3 +361,12 @@ def test_pipeline_without_vectors(spark):
     none = spark.createDataFrame([], "memory_id string, path string, symbol string, state string")
     found = {v: {r.id for r in search.pipeline(spark, q, docs(spark), edges, none, most=0.5, rerank=False, vectors=v).collect()} for v in (True, False)}
     assert found == {True: {"a", "b"}, False: {"b"}}
+
+
+def test_newest_versions_with_fewer_columns_are_the_same(spark, sf):
+    from lorebase.plans import retrieval
+    from lorebase.sources import records
+
+    few = records.memory(spark, sf, retrieval._STORED)
+    assert few.columns == ["id", *retrieval._STORED] and "attrs" not in few._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, few.collect())) == sorted(map(str, records.memory(spark, sf).select("id", *retrieval._STORED).collect()))

@@ -21,8 +21,8 @@ def ranking_metrics(ranked: DataFrame, relevant: DataFrame) -> DataFrame:
     )
 
 
-def summary(metrics: DataFrame) -> DataFrame:
-    return metrics.agg(
+def summary(metrics: DataFrame, *by: str) -> DataFrame:
+    return metrics.groupBy(*by).agg(
         F.count("*").alias("n"), F.round(F.avg("recall5"), 6).alias("recall5"), F.round(F.avg("hit5"), 6).alias("hit5"), F.round(F.avg("rr10"), 6).alias("mrr10")
     )
 

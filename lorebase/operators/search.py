@@ -13,7 +13,7 @@ from lorebase.functions.similarity import PART, cosine, in_parts
 from lorebase.operators import models
 from lorebase.operators.lexical import best
 from lorebase.operators.models import Score
-from lorebase.session import Scratch
+from lorebase.session import Scratch, free_plans
 from lorebase.sources.records import as_of
 
 RRF_K = 60
@@ -109,7 +109,10 @@ def hybrid(queries: DataFrame, docs: DataFrame, limit: int = LIMIT_DEFAULT, most
     """(query_id, id, score, place): lexical and vector rankings fused, or the lexical one alone. docs: id, scope, content, created_at, vec."""
     limit = min(limit, LIMIT_MOST)
     k = candidates_per_ranker(limit)
-    rankings = [lexical(queries, docs, k), *([vector(queries, docs, k, most)] if vectors else [])]
+    return _fused([lexical(queries, docs, k), *([vector(queries, docs, k, most)] if vectors else [])], docs, limit)
+
+
+def _fused(rankings: list[DataFrame], docs: DataFrame, limit: int) -> DataFrame:
     fused = fuse(*rankings).join(docs.select("id", "created_at"), "id")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("created_at"), F.desc("id"))
     return fused.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit).select("query_id", "id", "score", "place")
@@ -163,6 +166,44 @@ def expand(first: DataFrame, queries: DataFrame, docs: DataFrame, edges: DataFra
     return reached.join(docs.select("id", "scope"), "id").join(seen, ["query_id", "scope"], "left_semi").filter("id <> query_id").select("query_id", "id", "graph")
 
 
+def _pool(first: DataFrame, queries: DataFrame, docs: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """The hits of the hybrid search, with what the graph adds where there are edges, in their order before any rerank (pre)."""
+    pool = first.select("query_id", "id", F.col("score").alias("first"))
+    if edges is not None:
+        reached = expand(first, queries, docs, edges)
+        pool = pool.join(reached, ["query_id", "id"], "full").select("query_id", "id", F.coalesce("first", F.lit(0.0)).alias("first"), F.coalesce("graph", F.lit(0.0)).alias("graph"))
+    else:
+        pool = pool.withColumn("graph", F.lit(0.0))
+    pre = F.when(F.col("first") > 0, F.col("first") + GRAPH_BONUS * F.col("graph")).otherwise(F.col("graph"))
+    rows = pool.withColumn("score", F.round(pre, 9)).join(docs.select("id", "mem_type", "created_at"), "id")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("created_at"), F.desc("id"))
+    rows = rows.withColumn("pre", F.row_number().over(w))
+    return rows.join(queries.select("query_id", temporal_intent(F.col("text")).alias("intent")), "query_id")
+
+
+def _top_texts(rows: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, id, text, content) of what is reranked: only these rows carry texts."""
+    top = rows.filter(F.col("pre") <= RERANK_TOP).select("query_id", "id")
+    return top.join(docs.select("id", "content"), "id").join(queries.select("query_id", "text"), "query_id").select("query_id", "id", "text", "content")
+
+
+def _overlaps(rows: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows, with the overlap of those that are reranked."""
+    got = _top_texts(rows, queries, docs).select("query_id", "id", overlap_reranker(F.col("text"), F.col("content")).alias("overlap"))
+    return rows.join(got, ["query_id", "id"], "left")
+
+
+def _kept(scratch: Scratch, df: DataFrame) -> DataFrame:
+    """Kept, and what was shuffled for it let go of."""
+    out = scratch.keep(df)
+    free_plans(scratch.spark)
+    return out
+
+
+def _age(at: Column | None) -> Column:
+    return (F.unix_micros(as_of() if at is None else at) - F.unix_micros("created_at")) / 86_400_000_000.0
+
+
 def pipeline(
     spark: SparkSession,
     queries: DataFrame,
@@ -186,33 +227,24 @@ def pipeline(
     word overlap without one; a query that it fails on keeps its order and loses what only the graph found. ``at``: the time that ages are judged at. ``trace`` takes (stage, n) frames.
     """
     scratch = Scratch(spark, "search")
-    first = scratch.keep(hybrid(queries, docs, max(POOL, limit), most, vectors))
-    pool = first.select("query_id", "id", F.col("score").alias("first"))
-    if rerank and graph:
-        reached = expand(first, queries, docs, edges)
-        pool = pool.join(reached, ["query_id", "id"], "full").select("query_id", "id", F.coalesce("first", F.lit(0.0)).alias("first"), F.coalesce("graph", F.lit(0.0)).alias("graph"))
-    else:
-        pool = pool.withColumn("graph", F.lit(0.0))
-    pre = F.when(F.col("first") > 0, F.col("first") + GRAPH_BONUS * F.col("graph")).otherwise(F.col("graph"))
-    rows = pool.withColumn("score", F.round(pre, 9)).join(docs.select("id", "mem_type", "content", "created_at"), "id").join(queries.select("query_id", "text"), "query_id")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("created_at"), F.desc("id"))
-    rows = rows.withColumn("pre", F.row_number().over(w))
+    first = _kept(scratch, hybrid(queries, docs, max(POOL, limit), most, vectors))
+    rows = _pool(first, queries, docs, edges if rerank and graph else None)
+    if rerank:
+        rows = _kept(scratch, rows)
     if rerank and score is not None:
-        rows = scratch.keep(rows)
-        got = models.rerank(rows.filter(F.col("pre") <= RERANK_TOP).select("query_id", "id", "text", "content"), score)
+        got = models.rerank(_top_texts(rows, queries, docs), score)
         ok = got.select("query_id").distinct().withColumn("ok", F.lit(True))
         rows = rows.join(got, ["query_id", "id"], "left").join(ok, "query_id", "left").filter("ok or first > 0")
         rows = rows.withColumn("reranked", F.col("rerank").isNotNull()).withColumn("score", F.coalesce("rerank", F.when(F.col("ok"), F.col("score")).otherwise(F.col("first"))))
     elif rerank:
-        rows = rows.withColumn("reranked", F.col("pre") <= RERANK_TOP)
-        rows = rows.withColumn("score", F.when(F.col("reranked"), overlap_reranker(F.col("text"), F.col("content"))).otherwise(F.col("score")))
+        rows = _overlaps(rows, queries, docs).withColumn("reranked", F.col("pre") <= RERANK_TOP)
+        rows = rows.withColumn("score", F.when(F.col("reranked"), F.col("overlap")).otherwise(F.col("score")))
     else:
         rows = rows.withColumn("reranked", F.lit(False))
     if use_stale:
         rows = rows.join(stale_factors(refs), "id", "left").withColumn("score", F.col("score") * F.coalesce("factor", F.lit(1.0)))
     if use_recency:
-        age = (F.unix_micros(as_of() if at is None else at) - F.unix_micros("created_at")) / 86_400_000_000.0
-        rows = rows.withColumn("score", F.col("score") * recency(temporal_intent(F.col("text")), F.col("mem_type"), F.col("reranked"), age))
+        rows = rows.withColumn("score", F.col("score") * recency(F.col("intent"), F.col("mem_type"), F.col("reranked"), _age(at)))
     rows = rows.withColumn("score", F.round(clamp_score(F.col("score")), 6))
     if trace is not None:
         rows = scratch.keep(rows)
@@ -220,3 +252,46 @@ def pipeline(
         trace += [f.agg(F.count("*").alias("n")).select(F.lit(name).alias("stage"), "n") for name, f in stages]
     last = Window.partitionBy("query_id").orderBy(F.desc("reranked"), F.desc("score"), F.desc("created_at"), F.desc("id"))
     return rows.withColumn("place", F.row_number().over(last)).filter(F.col("place") <= min(limit, LIMIT_MOST)).select("query_id", "id", "score", "place", "reranked")
+
+
+def ablation(
+    spark: SparkSession,
+    queries: DataFrame,
+    docs: DataFrame,
+    edges: DataFrame,
+    refs: DataFrame,
+    configurations: dict[str, dict[str, bool]],
+    limit: int = LIMIT_DEFAULT,
+    most: float = DISTANCE_MOST,
+    at: Column | None = None,
+) -> DataFrame:
+    """(config, query_id, id, place): :func:`pipeline` under several configurations (its switches by name). Each ranking, and each pool with all signals, is computed once."""
+    scratch = Scratch(spark, "ablation")
+    size = min(max(POOL, limit), LIMIT_MOST)
+    k = candidates_per_ranker(size)
+    on = {name: {"rerank": True, "graph": True, "use_recency": True, "use_stale": True, "vectors": True} | options for name, options in configurations.items()}
+    pool_of = {name: (o["vectors"], o["rerank"] and o["graph"]) for name, o in on.items()}
+    rankings = [_kept(scratch, lexical(queries, docs, k))]
+    if any(vectors for vectors, _ in pool_of.values()):
+        rankings.append(_kept(scratch, vector(queries, docs, k, most)))
+    first = {v: _kept(scratch, _fused(rankings if v else rankings[:1], docs, size)) for v in {v for v, _ in pool_of.values()}}
+    scratch.drop(*rankings)
+    out = []
+    for pool in dict.fromkeys(pool_of.values()):
+        base = _kept(scratch, _pool(first[pool[0]], queries, docs, edges if pool[1] else None))
+        rows = _overlaps(base, queries, docs).join(stale_factors(refs), "id", "left")
+        top = F.col("pre") <= RERANK_TOP
+        each = []
+        for name in (n for n, p in pool_of.items() if p == pool):
+            o = on[name]
+            reranked = top if o["rerank"] else F.lit(False)
+            score = F.when(reranked, F.col("overlap")).otherwise(F.col("score"))
+            score = score * F.coalesce("factor", F.lit(1.0)) if o["use_stale"] else score
+            score = score * recency(F.col("intent"), F.col("mem_type"), reranked, _age(at)) if o["use_recency"] else score
+            each.append(F.struct(F.lit(name).alias("config"), reranked.alias("reranked"), F.round(clamp_score(score), 6).alias("score")))
+        rows = rows.select("query_id", "id", "created_at", F.explode(F.array(*each)).alias("c")).select("query_id", "id", "created_at", "c.*")
+        w = Window.partitionBy("config", "query_id").orderBy(F.desc("reranked"), F.desc("score"), F.desc("created_at"), F.desc("id"))
+        rows = rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= min(limit, LIMIT_MOST)).select("config", "query_id", "id", "place")
+        out.append(_kept(scratch, rows))
+        scratch.drop(base)
+    return scratch.together(out)

@@ -370,3 +370,17 @@ def test_newest_versions_with_fewer_columns_are_the_same(spark, sf):
     few = records.memory(spark, sf, retrieval._STORED)
     assert few.columns == ["id", *retrieval._STORED] and "attrs" not in few._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(str, few.collect())) == sorted(map(str, records.memory(spark, sf).select("id", *retrieval._STORED).collect()))
+
+
+def test_ablation_ranks_once_and_agrees_with_the_pipeline(spark, monkeypatch):
+    from lorebase.plans.retrieval import CONFIGURATIONS
+
+    q = spark.createDataFrame([("q1", "alpha", "project:x", [1.0, 0.0]), ("q2", "gamma last week", "project:x", None)], "query_id string, text string, scope string, vec array<float>")
+    edges = spark.createDataFrame([("a", "b", "relates_to")], "src string, dst string, relation string")
+    stale = spark.createDataFrame([("a", "p", "s", "changed")], "memory_id string, path string, symbol string, state string")
+    some = ("full", "no_rerank", "lexical")
+    want = {(n, x.query_id, x.id, x.place) for n in some for x in search.pipeline(spark, q, docs(spark), edges, stale, most=0.5, **CONFIGURATIONS[n]).collect()}
+    calls, once = [], search.lexical
+    monkeypatch.setattr(search, "lexical", lambda *a: calls.append(a) or once(*a))
+    got = {(x.config, x.query_id, x.id, x.place) for x in search.ablation(spark, q, docs(spark), edges, stale, CONFIGURATIONS, most=0.5).collect()}
+    assert {x for x in got if x[0] in some} == want and {x[0] for x in got} == set(CONFIGURATIONS) and len(calls) == 1

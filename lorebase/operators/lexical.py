@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-#: Bytes of the texts of a part, and queries of a block.
-PART_BYTES, BLOCK = 24 << 20, 2048
+from lorebase.session import Scratch
+
+#: Bytes of the texts of a part, and queries of a block: every block takes the texts of a scope once more.
+PART_BYTES, BLOCK = 24 << 20, 8192
 #: A term that this share of a part's records has is added up for a whole block at once, for so many terms at most.
 COMMON, COMMON_MOST = 0.1, 32
 #: Scores held at a time.
@@ -23,17 +25,19 @@ CELLS = 1 << 22
 
 def best(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(query_id, id, lex): the k best of each query and part, ties to the larger id; the k best of all are among them. queries: query_id, scope, ts; docs: id, scope, ts: terms set apart by
-    blanks, those of a query distinct. lex: the sum of 1 / j**2 over the occurrences of each of the query's terms, over their number, to nine places."""
+    blanks, those of a query distinct. lex: the sum of 1 / j**2 over the occurrences of each of the query's terms, over their number, to nine places. Other columns of docs come along."""
     parts = docs.groupBy("scope").agg(F.greatest(F.ceil(F.sum(F.octet_length("ts")) / PART_BYTES), F.lit(1)).alias("_parts"))
     blocks = queries.groupBy("scope").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"))
-    cells = parts.join(blocks, "scope")
+    # one row a scope, from files: so its size is known, and where it is small no text is shuffled to meet it
+    cells = Scratch(docs.sparkSession, "cells").keep(parts.join(blocks, "scope"))
     to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     d = docs.join(cells, "scope").withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts"))).withColumn("_block", F.explode(to("_blocks")))
     q = queries.join(cells, "scope").withColumn("_block", F.pmod(F.xxhash64("query_id"), F.col("_blocks"))).withColumn("_part", F.explode(to("_parts")))
     at = ["scope", "_part", "_block"]
-    kind = StructType([queries.schema["query_id"], docs.schema["id"], StructField("lex", DoubleType())])
-    each = q.select(*at, "query_id", "ts").groupBy(*at).cogroup(d.select(*at, "id", "ts").groupBy(*at))
-    return each.applyInArrow(lambda asked, rows: _ranked(asked, rows, k), kind)
+    along = [c for c in docs.columns if c not in ("id", "scope", "ts")]
+    kind = StructType([queries.schema["query_id"], docs.schema["id"], StructField("lex", DoubleType()), *(docs.schema[c] for c in along)])
+    each = q.select(*at, "query_id", "ts").groupBy(*at).cogroup(d.select(*at, "id", "ts", *along).groupBy(*at))
+    return each.applyInArrow(lambda asked, rows: _ranked(asked, rows, k, along), kind)
 
 
 def _split(texts: pa.ChunkedArray | pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -62,12 +66,12 @@ def _postings(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.nda
     return coded.dictionary, starts, (key % n).astype(np.int32), gain
 
 
-def _ranked(asked: pa.Table, rows: pa.Table, k: int) -> pa.Table:
-    query_ids, ids = _whole(asked["query_id"]), _whole(rows["id"])
+def _ranked(asked: pa.Table, rows: pa.Table, k: int, along: list[str]) -> pa.Table:
+    query_ids, ids, others = _whole(asked["query_id"]), _whole(rows["id"]), [_whole(rows[c]) for c in along]
     out_q, out_d, out_s = [], [], []
     if len(query_ids) and len(ids):
         order = pc.sort_indices(ids)  # so that a larger place is a larger id
-        ids = ids.take(order)
+        ids, others = ids.take(order), [x.take(order) for x in others]
         terms, starts, where, gain = _postings(_whole(rows["ts"]).take(order))
         wanted, lengths = _split(_whole(asked["ts"]))
         codes = pc.fill_null(pc.index_in(wanted, value_set=terms), -1).to_numpy()
@@ -99,8 +103,9 @@ def _ranked(asked: pa.Table, rows: pa.Table, k: int) -> pa.Table:
                 out_d.append(at)
                 out_s.append(lex)
     flat = lambda xs, kind: np.concatenate(xs) if xs else np.empty(0, kind)
-    got = [query_ids.take(pa.array(flat(out_q, np.int64))), ids.take(pa.array(flat(out_d, np.int64))), pa.array(flat(out_s, np.float64), pa.float64())]
-    return pa.table(got, names=["query_id", "id", "lex"])
+    at = pa.array(flat(out_d, np.int64))
+    got = [query_ids.take(pa.array(flat(out_q, np.int64))), ids.take(at), pa.array(flat(out_s, np.float64), pa.float64()), *(x.take(at) for x in others)]
+    return pa.table(got, names=["query_id", "id", "lex", *along])
 
 
 def _top(row: np.ndarray, n_terms: int, k: int) -> tuple[np.ndarray, np.ndarray]:

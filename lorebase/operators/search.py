@@ -48,33 +48,41 @@ def seen_scopes(queries: DataFrame) -> DataFrame:
 
 def lexical(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(query_id, id, lex, rank): any query term may match; the k best of each query. A term's gain is the sum of 1 / j**2 over its occurrences: it saturates, and knows no other record."""
-    return _lexical_ranks(seen_scopes(queries.select("query_id", "scope", _joined("text", "ts", True))), docs.select("id", "scope", _joined("content", "ts", False)), k)
+    return _ranks(_lexical_hits(queries, docs, k), k)
+
+
+def _lexical_hits(queries: DataFrame, docs: DataFrame, k: int, *along: str) -> DataFrame:
+    """(query_id, id, lex): the k best of each query are among them, with more columns of docs if asked for."""
+    return _hits(seen_scopes(queries.select("query_id", "scope", _joined("text", "ts", True))), docs.select("id", "scope", _joined("content", "ts", False), *along), k)
 
 
 def lexical_everywhere(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """As :func:`lexical`, over the records of all scopes."""
     one = F.lit("").alias("scope")
-    return _lexical_ranks(queries.select("query_id", one, _joined("text", "ts", True)), docs.select("id", one, _joined("content", "ts", False)), k)
+    return _ranks(_hits(queries.select("query_id", one, _joined("text", "ts", True)), docs.select("id", one, _joined("content", "ts", False)), k), k)
+
 
+def _hits(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    return best(queries.filter("query_id is not null and ts <> ''"), docs.filter("id is not null and ts <> ''"), k)
 
-def _lexical_ranks(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    hits = best(queries.filter("query_id is not null and ts <> ''"), docs.filter("id is not null and ts <> ''"), k)
+
+def _ranks(hits: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("lex"), F.desc("id"))
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def vector(queries: DataFrame, docs: DataFrame, k: int, most: float = DISTANCE_MOST) -> DataFrame:
-    """(query_id, id, dist, rank): exact nearest neighbours by cosine, the k nearest first, then those within ``most``.
+def vector(queries: DataFrame, docs: DataFrame, k: int, most: float = DISTANCE_MOST, *along: str) -> DataFrame:
+    """(query_id, id, dist, rank): exact nearest neighbours by cosine, the k nearest first, then those within ``most``; with more columns of docs if asked for.
 
     A scope is cut into parts of bounded size, and only the k nearest of a task leave it; :mod:`lorebase.operators.vectorindex` reads less.
     """
     by = ["embedding_model"] if _same_model(queries, docs) else []
     q = seen_scopes(queries.filter("vec is not null").select("query_id", "scope", F.col("vec").alias("qv"), *by))
-    d = docs.filter("vec is not null").select("id", "scope", "vec", *by)
+    d = docs.filter("vec is not null").select("id", "scope", "vec", *by, *along)
     dist = F.round(1 - cosine(F.col("qv"), F.col("vec")), 9).alias("dist")
     w = Window.partitionBy("query_id").orderBy("dist", F.desc("id"))
     each, cut, keys = in_parts(q, d, ["scope", *by])
-    near = each.join(cut, keys).filter("id <> query_id").select("query_id", "id", dist)
+    near = each.join(cut, keys).filter("id <> query_id").select("query_id", "id", dist, *along)
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).filter(F.col("dist") <= most)
 
 
@@ -109,11 +117,23 @@ def hybrid(queries: DataFrame, docs: DataFrame, limit: int = LIMIT_DEFAULT, most
     """(query_id, id, score, place): lexical and vector rankings fused, or the lexical one alone. docs: id, scope, content, created_at, vec."""
     limit = min(limit, LIMIT_MOST)
     k = candidates_per_ranker(limit)
-    return _fused([lexical(queries, docs, k), *([vector(queries, docs, k, most)] if vectors else [])], docs, limit)
+    # all that a query needs from here on comes with its hits, so they are shuffled once
+    hits = _lexical_hits(queries, docs, k, "created_at").withColumn("vrank", F.lit(None).cast("int"))
+    if vectors:
+        near = vector(queries, docs, k, most, "created_at").select("query_id", "id", F.lit(None).cast("double").alias("lex"), "created_at", F.col("rank").alias("vrank"))
+        hits = hits.unionByName(near)
+    hits = hits.repartition("query_id")
+    by_lex = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("lex"), F.desc("id"))
+    ranked = hits.withColumn("rank", F.coalesce("vrank", F.row_number().over(by_lex))).filter(F.col("rank") <= k)
+    score = F.round(F.sum(1.0 / (RRF_K + F.col("rank"))) * (RRF_K + 1) / (1 + vectors), 9).alias("score")
+    return _placed(ranked.groupBy("query_id", "id").agg(score, F.first("created_at").alias("created_at")), limit)
 
 
 def _fused(rankings: list[DataFrame], docs: DataFrame, limit: int) -> DataFrame:
-    fused = fuse(*rankings).join(docs.select("id", "created_at"), "id")
+    return _placed(fuse(*rankings).join(docs.select("id", "created_at"), "id"), limit)
+
+
+def _placed(fused: DataFrame, limit: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("created_at"), F.desc("id"))
     return fused.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit).select("query_id", "id", "score", "place")
 

@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -384,3 +385,13 @@ def test_ablation_ranks_once_and_agrees_with_the_pipeline(spark, monkeypatch):
     monkeypatch.setattr(search, "lexical", lambda *a: calls.append(a) or once(*a))
     got = {(x.config, x.query_id, x.id, x.place) for x in search.ablation(spark, q, docs(spark), edges, stale, CONFIGURATIONS, most=0.5).collect()}
     assert {x for x in got if x[0] in some} == want and {x[0] for x in got} == set(CONFIGURATIONS) and len(calls) == 1
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hits_carry_what_their_query_needs_and_are_shuffled_once(spark):
+    q = spark.createDataFrame([("q1", "alpha", "project:x", [1.0, 0.0])], "query_id string, text string, scope string, vec array<float>")
+    plan = plan_of(search.hybrid(q, docs(spark), most=0.5))
+    assert "hashpartitioning(query_id" in plan and "hashpartitioning(query_id#" in plan and not re.search(r"hashpartitioning\(query_id#\d+, id#", plan) and not re.search(r"hashpartitioning\(id#", plan)

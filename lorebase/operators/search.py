@@ -175,15 +175,17 @@ def clamp_score(s: Column) -> Column:
 
 
 def expand(first: DataFrame, queries: DataFrame, docs: DataFrame, edges: DataFrame) -> DataFrame:
-    """(query_id, id, graph): neighbours of the best SEEDS hits of each query, scored by half of the seed's score (the best seed counts)."""
+    """(query_id, id, graph): neighbours of the best SEEDS hits of each query, scored by half of the seed's score (the best seed counts). What a hub joins is met by scope, so its
+    records outside the scopes that a query sees are no pairs."""
     seeds = first.filter(F.col("place") <= SEEDS).select("query_id", F.col("id").alias("seed"), "score")
+    seen = seen_scopes(queries.select("query_id", "scope"))
+    at = docs.select("id", "scope")
     both = edges.select(F.col("src").alias("seed"), F.col("dst").alias("id")).unionByName(edges.select(F.col("dst").alias("seed"), F.col("src").alias("id")))
-    direct = seeds.join(both, "seed").select("query_id", "id", "score")
+    direct = seeds.join(both, "seed").groupBy("query_id", "id").agg(F.max("score").alias("score")).join(at, "id").join(seen, ["query_id", "scope"], "left_semi").select("query_id", "id", "score")
     up = edges.filter("relation = 'derived_from'").select(F.col("src").alias("seed"), "dst")
-    sib = seeds.join(up, "seed").join(up.select("dst", F.col("seed").alias("id")), "dst").filter("id <> seed").select("query_id", "id", "score")
-    reached = direct.unionByName(sib).groupBy("query_id", "id").agg((F.max("score") * GRAPH_SHARE).alias("graph"))
-    seen = seen_scopes(queries.select("query_id", "scope"))
-    return reached.join(docs.select("id", "scope"), "id").join(seen, ["query_id", "scope"], "left_semi").filter("id <> query_id").select("query_id", "id", "graph")
+    held = up.select("dst", F.col("seed").alias("id")).join(at, "id")
+    sib = seeds.join(up, "seed").join(seen, "query_id").join(held, ["dst", "scope"]).filter("id <> seed").select("query_id", "id", "score")
+    return direct.unionByName(sib).filter("id <> query_id").groupBy("query_id", "id").agg((F.max("score") * GRAPH_SHARE).alias("graph"))
 
 
 def _pool(first: DataFrame, queries: DataFrame, docs: DataFrame, edges: DataFrame | None) -> DataFrame:
@@ -207,9 +209,9 @@ def _top_texts(rows: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFram
     return top.join(docs.select("id", "content"), "id").join(queries.select("query_id", "text"), "query_id").select("query_id", "id", "text", "content")
 
 
-def _overlaps(rows: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
+def _overlaps(scratch: Scratch, rows: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
     """The rows, with the overlap of those that are reranked."""
-    got = _top_texts(rows, queries, docs).select("query_id", "id", overlap_reranker(F.col("text"), F.col("content")).alias("overlap"))
+    got = _kept(scratch, _top_texts(rows, queries, docs).select("query_id", "id", overlap_reranker(F.col("text"), F.col("content")).alias("overlap")))
     return rows.join(got, ["query_id", "id"], "left")
 
 
@@ -257,7 +259,7 @@ def pipeline(
         rows = rows.join(got, ["query_id", "id"], "left").join(ok, "query_id", "left").filter("ok or first > 0")
         rows = rows.withColumn("reranked", F.col("rerank").isNotNull()).withColumn("score", F.coalesce("rerank", F.when(F.col("ok"), F.col("score")).otherwise(F.col("first"))))
     elif rerank:
-        rows = _overlaps(rows, queries, docs).withColumn("reranked", F.col("pre") <= RERANK_TOP)
+        rows = _overlaps(scratch, rows, queries, docs).withColumn("reranked", F.col("pre") <= RERANK_TOP)
         rows = rows.withColumn("score", F.when(F.col("reranked"), F.col("overlap")).otherwise(F.col("score")))
     else:
         rows = rows.withColumn("reranked", F.lit(False))
@@ -299,7 +301,7 @@ def ablation(
     out = []
     for pool in dict.fromkeys(pool_of.values()):
         base = _kept(scratch, _pool(first[pool[0]], queries, docs, edges if pool[1] else None))
-        rows = _overlaps(base, queries, docs).join(stale_factors(refs), "id", "left")
+        rows = _overlaps(scratch, base, queries, docs).join(stale_factors(refs), "id", "left")
         top = F.col("pre") <= RERANK_TOP
         each = []
         for name in (n for n, p in pool_of.items() if p == pool):

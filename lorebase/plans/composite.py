@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from lorebase.functions import secrets
 from lorebase.operators import consolidate, context, extract, graph, records, search, vectorindex
 from lorebase.plans.book import Book
-from lorebase.plans.retrieval import DISTANCE, _asked_of, _docs_of, _store
+from lorebase.plans.retrieval import _STORED, DISTANCE, _asked_of, _docs_of, _kept, _store
 from lorebase.plans.scalars import _collapse
 from lorebase.plans.sqlviews import AS_OF, EDGE, LIVE, MEM, PROP, REF, STALE, with_views
-from lorebase.session import Scratch, spread_cumsum
+from lorebase.session import spread_cumsum
 from lorebase.sources import records as S
 from lorebase.sources.tables import table
 
@@ -213,9 +213,9 @@ def resume_cached(spark, folder):
 @book.query()
 def reader_context(spark, folder):
     """(query_id, id, place, is_hit, used_bytes): hits and their neighbours in their sessions within 20,000 bytes."""
-    store = _store(spark, folder)
-    hits = Scratch(spark, "reader").keep(search.hybrid(_asked_of(store), _docs_of(store), most=DISTANCE).select("query_id", "id", "place"))
-    return context.reader_context(hits, S.live(S.memory(spark, folder)).select("id", "scope", "source_session", "content", "created_at"))
+    store = _store(spark, folder, columns=(*_STORED, "source_session"))
+    hits = _kept(spark, search.hybrid(_asked_of(store), _docs_of(store), most=DISTANCE).select("query_id", "id", "place"))
+    return context.reader_context(hits, _docs_of(store).select("id", "scope", "source_session", "content", "created_at"))
 
 
 @book.query(f"SELECT doc_id, len({_spans('text')})::INT n FROM documents WHERE text IS NOT NULL")

@@ -9,7 +9,7 @@ from lorebase.functions import math, secrets, text
 from lorebase.operators import consolidate, evaluation, graph, lifecycle, records, search
 from lorebase.plans.book import Book
 from lorebase.plans.hygiene import cid
-from lorebase.plans.retrieval import _NORM, _PIPE, _SEARCH, DISTANCE, _asked_of, _docs_of, _placed, _ranks, _store, _tok
+from lorebase.plans.retrieval import _NORM, _PIPE, _SEARCH, DISTANCE, _asked_of, _docs_of, _kept, _placed, _ranks, _store, _tok
 from lorebase.plans.sqlviews import AS_OF, EDGE, LIVE, MEM, PROP, REF, STALE, with_views
 from lorebase.session import Scratch
 from lorebase.sources import corpora
@@ -193,7 +193,7 @@ def session_log_append(spark, folder):
 def reader_prompt(spark, folder):
     """The hits of each query as a numbered text of 2,000 characters at most; a query has ten hits at most."""
     store = _store(spark, folder)
-    hits = search.hybrid(_asked_of(store), _docs_of(store), most=DISTANCE)
+    hits = _kept(spark, search.hybrid(_asked_of(store), _docs_of(store), most=DISTANCE))
     line = F.concat(F.col("place").cast("string"), F.lit(". "), F.coalesce("content", F.lit("")))
     rows = F.array_sort(F.collect_list(F.struct("place", line.alias("line"))))
     return hits.join(_docs_of(store).select("id", "content"), "id").groupBy("query_id").agg(F.substring(F.array_join(F.transform(rows, lambda x: x["line"]), "\n"), 1, 2000).alias("prompt"))
@@ -252,7 +252,7 @@ def search_all_scopes(spark, folder):
 def stage_trace(spark, folder):
     """How many rows each stage of the pipeline has."""
     store, trace = _store(spark, folder), []
-    search.pipeline(spark, _asked_of(store), _docs_of(store), S.edges(spark, folder), S.refs(spark, folder), most=DISTANCE, trace=trace)
+    search.pipeline(spark, _asked_of(store), _docs_of(store), S.edges(spark, folder), S.refs(spark, folder, ("state",)), most=DISTANCE, trace=trace)
     out = trace[0]
     for t in trace[1:]:
         out = out.unionByName(t)
@@ -265,7 +265,7 @@ def stage_trace(spark, folder):
 )
 def recall(spark, folder):
     """The pipeline's hits, with whether their references are stale."""
-    store, refs = _store(spark, folder), S.refs(spark, folder)
+    store, refs = _store(spark, folder), S.refs(spark, folder, ("state",))
     got = search.pipeline(spark, _asked_of(store), _docs_of(store), S.edges(spark, folder), refs, most=DISTANCE)
     stale = records.stale_ids(refs).withColumn("stale", F.lit(True))
     return got.join(stale, "id", "left").select("query_id", "id", "score", "place", F.coalesce("stale", F.lit(False)).alias("stale"))

@@ -395,3 +395,34 @@ def test_hits_carry_what_their_query_needs_and_are_shuffled_once(spark):
     q = spark.createDataFrame([("q1", "alpha", "project:x", [1.0, 0.0])], "query_id string, text string, scope string, vec array<float>")
     plan = plan_of(search.hybrid(q, docs(spark), most=0.5))
     assert "hashpartitioning(query_id" in plan and "hashpartitioning(query_id#" in plan and not re.search(r"hashpartitioning\(query_id#\d+, id#", plan) and not re.search(r"hashpartitioning\(id#", plan)
+
+
+def test_pipeline_reads_the_references_columns_it_needs(spark, sf):
+    from lorebase.plans import retrieval
+    from lorebase.sources import records
+
+    few = records.refs(spark, sf, ("state",))
+    assert few.columns == ["memory_id", "path", "symbol", "state"]
+    assert sorted(map(str, few.collect())) == sorted(map(str, records.refs(spark, sf).select("memory_id", "path", "symbol", "state").collect()))
+    assert "anchor_hash" not in plan_of(retrieval.retrieve_pipeline(spark, sf))
+
+
+def test_a_hub_is_met_by_scope(spark):
+    r = random.Random(23)
+    rows = [(f"{n:03d}", r.choice(["user", "project:x", "project:y"])) for n in range(120)]
+    scope = dict(rows)
+    edges = sorted({(r.choice(rows)[0], r.choice(["hub", "hub2", r.choice(rows)[0]]), r.choice(["derived_from", "relates_to"])) for _ in range(400)})
+    asked = [("q1", "project:x"), ("q2", None), ("003", "project:y")]
+    first = [(q, i, r.randint(1, 9) / 10, n) for q, _ in asked for n, (i, _) in enumerate(r.sample(rows, 10), 1)]
+    want = {}
+    for q, i, score, place in first:
+        up = {t for s, t, kind in edges if s == i and kind == "derived_from"}
+        near = {t for s, t, _ in edges if s == i} | {s for s, t, _ in edges if t == i} | {s for s, t, kind in edges if kind == "derived_from" and t in up and s != i}
+        for b in near if place <= search.SEEDS else ():
+            if b != q and scope.get(b) in ("user", dict(asked)[q] or "user"):
+                want[q, b] = max(want.get((q, b), 0), score / 2)
+    e = spark.createDataFrame(edges, "src string, dst string, relation string")
+    d = spark.createDataFrame(rows, "id string, scope string")
+    found = search.expand(spark.createDataFrame(first, "query_id string, id string, score double, place int"), spark.createDataFrame(asked, "query_id string, scope string"), d, e)
+    assert {(x.query_id, x.id): x.graph for x in found.collect()} == want and len(want) > 50
+    assert re.search(r"hashpartitioning\(dst#\d+, scope#|\[dst#\d+, scope#", plan_of(found))

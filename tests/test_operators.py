@@ -426,3 +426,31 @@ def test_a_hub_is_met_by_scope(spark):
     found = search.expand(spark.createDataFrame(first, "query_id string, id string, score double, place int"), spark.createDataFrame(asked, "query_id string, scope string"), d, e)
     assert {(x.query_id, x.id): x.graph for x in found.collect()} == want and len(want) > 50
     assert re.search(r"hashpartitioning\(dst#\d+, scope#|\[dst#\d+, scope#", plan_of(found))
+
+
+def test_trigram_pairs_are_counted_in_parts_and_no_trigram_is_shuffled(spark, monkeypatch):
+    from lorebase.functions import overlaps, similarity
+
+    monkeypatch.setattr(similarity, "SETS", 25)
+    monkeypatch.setattr(overlaps, "STEP", 4)
+    monkeypatch.setattr(overlaps, "COMMON_MOST", 9)
+    r = random.Random(29)
+    vocabulary = ["alpha", "alphabet", "beta", "betas", "gamma", "x", "über", "한국어", "d1", *[f"w{n}ord" for n in range(20)]]
+    rows = [(f"{n:03d}", r.choice([None, "b", "c"]), " ".join(r.choices(vocabulary, k=r.choice([1, 2, 4, 8, 20])))) for n in range(220)]
+    rep = {}
+    for i, b, t in rows:
+        rep.setdefault((b, t), i)
+    held = {"003", "010", "100"}
+    want = {(rep[b, t], i, 1.0) for i, b, t in rows if rep[b, t] != i}
+    for ((b, t), i), ((c, u), j) in itertools.combinations(rep.items(), 2):
+        g, h = grams(t), grams(u)
+        if b == c and round(len(g & h) / len(g | h), 9) >= 0.5:
+            want.add((min(i, j), max(i, j), round(len(g & h) / len(g | h), 9)))
+    want = {x for x in want if not held & set(x[:2])}
+    d = spark.createDataFrame(rows, "id string, b string, text string").select("id", F.struct("b").alias("block"), "text")
+    found = trigram_pairs(Scratch(spark, "t"), d, 0.5, spark.createDataFrame([(x,) for x in held], "id string"))
+    got = [(x.a, x.b, x.sim) for x in found.collect()]
+    assert len(got) == len(set(got)) and {x[:2] for x in got} == {x[:2] for x in want}
+    at = {x[:2]: x[2] for x in want}
+    assert all(math.isclose(s, at[a, b], abs_tol=2e-9) for a, b, s in got) and len(got) > 100
+    assert "explode(g" not in plan_of(found)

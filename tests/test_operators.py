@@ -454,3 +454,10 @@ def test_trigram_pairs_are_counted_in_parts_and_no_trigram_is_shuffled(spark, mo
     at = {x[:2]: x[2] for x in want}
     assert all(math.isclose(s, at[a, b], abs_tol=2e-9) for a, b, s in got) and len(got) > 100
     assert "explode(g" not in plan_of(found)
+
+
+def test_reader_context_reads_the_memories_once(spark, sf):
+    from lorebase.plans import composite
+
+    plan = plan_of(composite.reader_context(spark, sf))
+    assert "attrs" not in plan and "source_session" in plan and "supersedes" not in plan

@@ -461,3 +461,9 @@ def test_reader_context_reads_the_memories_once(spark, sf):
 
     plan = plan_of(composite.reader_context(spark, sf))
     assert "attrs" not in plan and "source_session" in plan and "supersedes" not in plan
+
+
+def test_eval_recall_keeps_its_hits(spark, sf):
+    from lorebase.plans import retrieval
+
+    assert "CoGroups" not in plan_of(retrieval.eval_recall_hit_mrr(spark, sf))

@@ -467,3 +467,9 @@ def test_eval_recall_keeps_its_hits(spark, sf):
     from lorebase.plans import retrieval
 
     assert "CoGroups" not in plan_of(retrieval.eval_recall_hit_mrr(spark, sf))
+
+
+def test_evidence_recall_keeps_its_ranking(spark, sf):
+    from lorebase.plans import retrieval
+
+    assert "CoGroups" not in plan_of(retrieval.evidence_recall(spark, sf))

@@ -473,3 +473,9 @@ def test_evidence_recall_keeps_its_ranking(spark, sf):
     from lorebase.plans import retrieval
 
     assert "CoGroups" not in plan_of(retrieval.evidence_recall(spark, sf))
+
+
+def test_reader_prompt_keeps_its_hits(spark, sf):
+    from lorebase.plans import extras
+
+    assert "CoGroups" not in plan_of(extras.reader_prompt(spark, sf))

@@ -479,3 +479,9 @@ def test_reader_prompt_keeps_its_hits(spark, sf):
     from lorebase.plans import extras
 
     assert "CoGroups" not in plan_of(extras.reader_prompt(spark, sf))
+
+
+def test_recall_reads_the_references_columns_it_needs(spark, sf):
+    from lorebase.plans import extras
+
+    assert "anchor_hash" not in plan_of(extras.recall(spark, sf))

@@ -485,3 +485,11 @@ def test_recall_reads_the_references_columns_it_needs(spark, sf):
     from lorebase.plans import extras
 
     assert "anchor_hash" not in plan_of(extras.recall(spark, sf))
+
+
+def test_stage_trace_reads_the_references_columns_it_needs(spark, sf, monkeypatch):
+    from lorebase.plans import extras
+
+    asked, refs_of = [], extras.S.refs
+    monkeypatch.setattr(extras.S, "refs", lambda *a: asked.append(a[2:]) or refs_of(*a))
+    assert {x.stage for x in extras.stage_trace(spark, sf).collect()} == {"first", "graph", "pool", "reranked"} and asked == [(("state",),)]

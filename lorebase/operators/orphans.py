@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorebase.functions.ids import canonical_id, said
-from lorebase.session import Scratch, exists, free_plans
+from lorebase.session import Scratch, exists, free_plans, short_plan_texts
 
 #: (table, field that names a memory)
 REFERENCES = (
@@ -252,9 +252,10 @@ def track(spark: SparkSession, tables: dict[str, DataFrame], months: int = MONTH
     parents = parent_rows(tables["memories"]).withColumn("loaded_at", F.col("first_loaded")).select("id", "first_loaded", "newest", at)
     refs = references(tables).select(*REF_COLUMNS, at)
     parents, refs = (tracker.scratch.keep(x.hint("rebalance", F.col("batch")), by="batch") for x in (parents, refs))
-    for n in range(1, len(days) + 1):
-        own = F.col("batch") == n
-        tracker.take(parents.filter(own).drop("batch"), refs.filter(own).drop("batch"))
-        if n % PLANS_KEPT == 0:
-            free_plans(spark)
+    with short_plan_texts(spark):
+        for n in range(1, len(days) + 1):
+            own = F.col("batch") == n
+            tracker.take(parents.filter(own).drop("batch"), refs.filter(own).drop("batch"))
+            if n % PLANS_KEPT == 0:
+                free_plans(spark)
     return tracker, days

@@ -146,6 +146,26 @@ def test_columns_of_clashing_names_change_nothing(spark):
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 
 
+def test_batches_leave_short_plan_texts_and_the_setting_as_it_was(spark):
+    # Spark keeps the text of each plan; over many batches they would fill the driver's heap
+    data = frames(spark, *random_archive(6))
+    key, store = "spark.sql.maxPlanStringLength", spark._jsparkSession.sharedState().statusStore()
+    for before in (None, "5000"):
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+        done = {e.executionId() for e in executions(store)}
+        orphans.track(spark, data, 12)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        took = [len(e.physicalPlanDescription()) for e in executions(store) if e.executionId() not in done]
+        assert len(took) > 6 and sum(n > 1000 for n in took) <= 3  # those before the first batch
+        assert spark.conf.get(key, None) == before
+    spark.conf.unset(key)
+
+
+def executions(store):
+    every = store.executionsList()
+    return [every.apply(n) for n in range(every.size())]
+
+
 def test_orphans_of_empty_tables(spark):
     tracker, _ = orphans.track(spark, frames(spark, [], [], []))
     assert tracker.refs().count() == 0

@@ -493,3 +493,23 @@ def test_stage_trace_reads_the_references_columns_it_needs(spark, sf, monkeypatc
     asked, refs_of = [], extras.S.refs
     monkeypatch.setattr(extras.S, "refs", lambda *a: asked.append(a[2:]) or refs_of(*a))
     assert {x.stage for x in extras.stage_trace(spark, sf).collect()} == {"first", "graph", "pool", "reranked"} and asked == [(("state",),)]
+
+
+def _shuffle_files(spark):
+    blocks = spark._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks()
+    return {n for n in (blocks.apply(i).name() for i in range(blocks.size())) if n.startswith("shuffle_")}
+
+
+def test_kept_hits_let_go_of_their_shuffles(spark):
+    from time import sleep
+
+    from lorebase.plans import retrieval
+
+    before = _shuffle_files(spark)
+    retrieval._kept(spark, spark.range(20_000).selectExpr("id % 100 as k", "id").repartition(3, "k").groupBy("k").count())
+    # the cleaner removes files a moment later
+    for _ in range(50):
+        if not _shuffle_files(spark) - before:
+            break
+        sleep(0.1)
+    assert not _shuffle_files(spark) - before

@@ -41,8 +41,6 @@ INDEX = "id string, first_loaded timestamp, newest struct<updated_at:timestamp,l
 JUDGED = "src_table string, line_no long, ref_field string, target string, loaded_at timestamp, was string, batch int, standing string"
 #: Months of arrivals that one batch takes, the period of the reports.
 MONTHS = 1
-#: Batches after which a driver that runs many of them in a row lets go of their plans.
-PLANS_KEPT = 3
 
 
 def references(tables: dict[str, DataFrame]) -> DataFrame:
@@ -256,6 +254,5 @@ def track(spark: SparkSession, tables: dict[str, DataFrame], months: int = MONTH
         for n in range(1, len(days) + 1):
             own = F.col("batch") == n
             tracker.take(parents.filter(own).drop("batch"), refs.filter(own).drop("batch"))
-            if n % PLANS_KEPT == 0:
-                free_plans(spark)
+            free_plans(spark)
     return tracker, days

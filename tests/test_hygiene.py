@@ -161,6 +161,13 @@ def test_batches_leave_short_plan_texts_and_the_setting_as_it_was(spark):
     spark.conf.unset(key)
 
 
+def test_plans_are_let_go_of_after_each_batch(spark, monkeypatch):
+    data, freed = frames(spark, *random_archive(6)), []
+    monkeypatch.setattr(orphans, "free_plans", lambda _: freed.append(1))
+    _, days = orphans.track(spark, data, 12)
+    assert len(freed) == len(days) > 1
+
+
 def executions(store):
     every = store.executionsList()
     return [every.apply(n) for n in range(every.size())]
